@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.langid import learn_languages, predict_language
+from tessera.llm.mixing import taken, with_draws
+from tessera.llm.pieces import decode_pieces, encode_pieces
 from tessera.llm.quality import QualityParams, learn_quality, score_quality
+from tessera.llm.sharding import shard_documents
 from tessera.llm.shared import held_out, in_training
 from tessera.llm.toxicity import ToxicityParams, score_toxicity, train_toxicity
 from tessera.llm.quality import labelled
@@ -41,9 +45,41 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from labelled training documents."""
+    documents = table(spark, sf_dir, "documents")
+    model = learn_languages(documents, in_training(F.col("doc_id")))
+    found = F.col("language")
+    named = predict_language(documents.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found["lang_pred"].alias("lang_pred"), found["score"].alias("score"), found["rate"].alias("rate"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix by source weights takes."""
+    drawn = with_draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    shards = F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
+    return drawn.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken(F.col("draws")).alias("taken"), shards.alias("shards"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = decode_pieces(encoded, text="decoded")
+    return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "piece_ids")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by bytes."""
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op5_langid": op5_langid,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op10_sharding": op10_sharding,
 }
 
 #: The queries that SQL can express, for a second engine on the same tables.
