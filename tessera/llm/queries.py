@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import END, START, format_conversations, masked_text
+from tessera.llm.imatch import fingerprint_edits
 from tessera.llm.langid import learn_languages, predict_language
 from tessera.llm.mixing import taken, with_draws
 from tessera.llm.pieces import decode_pieces, encode_pieces
@@ -104,6 +105,11 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by bytes."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_chat": op8_chat,
+    "op9_imatch": op9_imatch,
     "op10_sharding": op10_sharding,
 }
 
