@@ -56,6 +56,16 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, so that byte offsets stay."""
+    out = data.copy()
+    out[(data >= ord("A")) & (data <= ord("Z"))] += 32
+    if len(data) > 1:
+        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[second] += 32
+    return out
+
+
 @dataclass
 class Tokens:
     """Tokens of a few consecutive texts."""
@@ -86,6 +96,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive slices of whole texts of at most `most` bytes, or one longer text; with the index of each one's first."""
+    _, offsets = text_bytes(texts)
+    doc = 0
+    while doc < len(offsets) - 1:
+        last = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + most, "right")) - 1)
+        yield doc, texts.slice(doc, last - doc)
+        doc = last
+
+
 def tokenised(texts: pa.Array, classes: np.ndarray = CLASSES, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Tokens]:
     """Runs of bytes of one class, without those of class SPACE, in chunks of whole texts. `fold` maps bytes to bytes, such as to lower case."""
     data, offsets = text_bytes(texts)

@@ -11,6 +11,7 @@ from tessera.llm.chat import END, START, format_conversations, masked_text
 from tessera.llm.imatch import fingerprint_edits
 from tessera.llm.langid import learn_languages, predict_language
 from tessera.llm.mixing import taken, with_draws
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.pieces import decode_pieces, encode_pieces
 from tessera.llm.quality import QualityParams, learn_quality, score_quality
 from tessera.llm.sharding import shard_documents
@@ -70,6 +71,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "piece_ids")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal and near texts of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).rows.drop("uid")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and one of control strings only; what is read back from the output."""
     columns = ["conv_id", "turn", "role", "text"]
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_langid": op5_langid,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_neardup": op7_neardup,
     "op8_chat": op8_chat,
     "op9_imatch": op9_imatch,
     "op10_sharding": op10_sharding,

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import LETTER, Tokens, mix, segment_sums, tokenised
+from tessera.llm.kernels import LETTER, Tokens, lower_bytes, mix, segment_sums, tokenised
 from tessera.llm.linear import Leader, sigmoid
 
 
@@ -61,20 +61,10 @@ class Sentences:
 
 def sentences(texts: pa.Array, bits: int) -> Iterator[Sentences]:
     """Sentences end at . ! ? or a line's end. Features: words in lower case, their beginnings, and pairs of words next to each other in a sentence."""
-    for tok in tokenised(texts, fold=_lower):
+    for tok in tokenised(texts, fold=lower_bytes):
         yield _split(tok, bits)
 
 
-def _lower(data: np.ndarray) -> np.ndarray:
-    """ASCII and Latin-1 letters in lower case, so that byte offsets stay."""
-    out = data.copy()
-    out[(data >= ord("A")) & (data <= ord("Z"))] += 32
-    if len(data) > 1:
-        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        out[second] += 32
-    return out
-
-
 def _split(tok: Tokens, bits: int) -> Sentences:
     n_docs = len(tok.doc_starts) - 1
     marks = np.zeros(len(tok.data) + 1, np.int64)
