@@ -25,8 +25,8 @@ class MixParams:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  #: of the sources by code point, null last, repeating
     most: float = 3.0  #: times its size that a source is taken at most
     n_shards: int = 64
-    blocks: int = 500  #: of a source, unless they would be over max_block words or the tree too large
-    max_block: int = 1024
+    blocks: int = 64  #: of a source, unless they would be over max_block words or the tree too large; a document is cut only where a block ends
+    max_block: int = 16_384
     max_draws: int = 1 << 26  #: draws that the tree can hold; beyond, blocks get longer
     seed: int = 20
     rows_per_cell: int = 50_000
