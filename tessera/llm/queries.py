@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import END, START, format_conversations, masked_text
 from tessera.llm.imatch import fingerprint_edits
 from tessera.llm.langid import learn_languages, predict_language
+from tessera.llm.media import media_features, new_store, read_media, store_media
 from tessera.llm.mixing import taken, with_draws
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pieces import decode_pieces, encode_pieces
@@ -48,6 +49,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as audio in deduplicated chunks, read back and described."""
+    store = new_store(spark)
+    store_media(table(spark, sf_dir, "documents").select("doc_id", "text"), store, ["doc_id"])
+    return read_media(spark, store, ["doc_id"]).select("doc_id", "n_bytes", media_features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from labelled training documents."""
     documents = table(spark, sf_dir, "documents")
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_media": op4_media,
     "op5_langid": op5_langid,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_neardup": op7_neardup,
