@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import text_bytes
+from tessera.llm.kernels import segment_sums, slices, text_bytes
 
 #: Between words: any run of characters that are not letters.
 GAP = 0
@@ -32,7 +32,7 @@ class LangidParams:
     sample_chars: int = 120_000
     sample_docs: int = 64  #: of each language, the least by a hash of the id
     segment: int = 512  #: characters that are parsed together; no phrase crosses their end
-    chunk: int = 1 << 21  #: characters held at a time
+    chunk: int = 1 << 20  #: bytes of text that are parsed at a time
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kept[inner] = letter[inner]
     places = np.zeros(len(points) + 1, np.int64)
     np.cumsum(kept, out=places[1:])
-    return np.where(letter, points, GAP)[kept].astype(np.int64), places[starts]
+    return np.where(letter, points, GAP)[kept].astype(np.int32), places[starts]
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -157,20 +157,20 @@ def _tables(model: LangidModel) -> tuple[np.ndarray, np.ndarray]:
 def count_phrases(texts: pa.Array, model: LangidModel, step: np.ndarray, codes: np.ndarray, params: LangidParams) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text (rows) by each language (columns), and each text's characters."""
     n_langs, width, pad = len(model.languages), params.segment, step.shape[1] - 1
-    chars, starts = _characters(texts)
-    lengths = np.diff(starts)
-    phrases = np.zeros((len(texts), n_langs), np.int64)
+    phrases, lengths = np.zeros((len(texts), n_langs), np.int64), np.zeros(len(texts), np.int64)
     flat, row = step.ravel(), step.shape[1]
-    doc = 0
-    while doc < len(texts):
-        last = max(doc + 1, int(np.searchsorted(starts, starts[doc] + params.chunk, "right")) - 1)
-        own = lengths[doc:last]
+    for doc, part in slices(texts, params.chunk):
+        chars, starts = _characters(part)
+        rows = slice(doc, doc + len(part))
+        own = lengths[rows] = np.diff(starts)
         segments = -(-own // width)
         first = np.append(0, np.cumsum(segments))
+        if not first[-1]:
+            continue
         cells = np.full((first[-1], width), pad, np.int32)
-        owner = np.repeat(np.arange(last - doc), own)
-        place = np.arange(starts[last] - starts[doc]) - np.repeat(starts[doc:last] - starts[doc], own)
-        cells[first[owner] + place // width, place % width] = codes[chars[starts[doc] : starts[last]]]
+        owner = np.repeat(np.arange(len(part)), own)
+        place = np.arange(len(chars)) - np.repeat(starts[:-1], own)
+        cells[first[owner] + place // width, place % width] = codes[chars]
         state = np.repeat(model.roots.astype(np.int32), first[-1]).reshape(n_langs, -1)
         ended = np.ones_like(state)
         for column in np.ascontiguousarray(cells.T):
@@ -179,8 +179,7 @@ def count_phrases(texts: pa.Array, model: LangidModel, step: np.ndarray, codes:
             state ^= sign
             ended -= sign
         for k in range(n_langs):
-            phrases[doc:last, k] = np.add.reduceat(np.append(ended[k], 0), first[:-1]) * (segments > 0) if first[-1] else 0
-        doc = last
+            phrases[rows, k] = segment_sums(ended[k], first)
     return phrases, lengths
 
 
