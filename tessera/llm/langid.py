@@ -134,22 +134,24 @@ def _tables(model: LangidModel) -> tuple[np.ndarray, np.ndarray]:
     """Dense transitions, kept by each Python worker for the model it last used, and the code of each character.
 
     A missing transition holds ~(state after the character from the language's start): negative, so a phrase
-    ended. The last two codes: a letter no language has, and padding, which changes nothing.
+    begins. The states after all others, one for each language, have no transition: they stand before a text and
+    after a letter that the language lacks. The last two codes: a letter no language has, and padding, which changes nothing.
     """
     if (key := model.key) not in _TABLES:
         _TABLES.clear()
         chars = np.unique(np.append(model.edges[:, 1], GAP))
         codes = np.full(0x110000, len(chars), np.int32)
         codes[chars] = np.arange(len(chars))
-        step = np.zeros((model.n_states, len(chars) + 2), np.int32)
+        step = np.zeros((model.n_states + len(model.languages), len(chars) + 2), np.int32)
         sizes = np.diff(np.append(model.roots, model.n_states))
-        for root, size in zip(model.roots, sizes):
-            from_root = np.full(len(chars) + 1, root, np.int32)
+        for k, (root, size) in enumerate(zip(model.roots, sizes)):
+            from_root = np.full(len(chars) + 1, model.n_states + k, np.int32)
             own = model.edges[model.edges[:, 0] == root]
             from_root[codes[own[:, 1]]] = own[:, 2]
             step[root : root + size, :-1] = ~from_root
+            step[model.n_states + k, :-1] = ~from_root
         step[model.edges[:, 0], codes[model.edges[:, 1]]] = model.edges[:, 2]
-        step[:, -1] = np.arange(model.n_states)
+        step[:, -1] = np.arange(len(step))
         _TABLES[key] = (step, codes)
     return _TABLES[key]
 
@@ -171,15 +173,15 @@ def count_phrases(texts: pa.Array, model: LangidModel, step: np.ndarray, codes:
         owner = np.repeat(np.arange(len(part)), own)
         place = np.arange(len(chars)) - np.repeat(starts[:-1], own)
         cells[first[owner] + place // width, place % width] = codes[chars]
-        state = np.repeat(model.roots.astype(np.int32), first[-1]).reshape(n_langs, -1)
-        ended = np.ones_like(state)
+        state = np.repeat(np.arange(model.n_states, model.n_states + n_langs, dtype=np.int32), first[-1]).reshape(n_langs, -1)
+        begun = np.zeros_like(state)
         for column in np.ascontiguousarray(cells.T):
             state = flat.take(state * row + column)
             sign = state >> 31
             state ^= sign
-            ended -= sign
+            begun -= sign
         for k in range(n_langs):
-            phrases[rows, k] = segment_sums(ended[k], first)
+            phrases[rows, k] = segment_sums(begun[k], first)
     return phrases, lengths
 
 
@@ -215,4 +217,5 @@ def predict_language(documents: DataFrame, model: LangidModel, params: LangidPar
         found = pa.array([*own.languages, "und"]).take(pa.array(names))
         return pa.StructArray.from_arrays([found, pa.array(np.where(none, 0.0, score)), pa.array(rate)], ["lang_pred", "score", "rate"])
 
-    return documents.withColumn(result, predicted(F.col(text)))
+    # so declared, Spark doesn't parse once more for a filter on the result
+    return documents.withColumn(result, predicted.asNondeterministic()(F.col(text)))
