@@ -22,7 +22,7 @@ from tessera.llm.shared import materialize, ranked
 class ShardParams:
     n_shards: int = 8
     cells: int = 4096  #: of hashed groups; with the heavy groups' pieces they are all the driver sees
-    piece_share: float = 1 / 2048  #: part of all bytes, tokens or rows above which a group is split
+    piece_share: float = 1 / 16  #: part of all bytes, tokens or rows above which a group is split
     rows_per_cell: int = 50_000  #: rows that one window partition numbers
 
 
