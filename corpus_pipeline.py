@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Phrases per letter from which on no learnt language explains a text: about one for each second letter.
 UNEXPLAINED = 0.6
 #: Score below which a document's text is rejected as of low quality.
-LEAST_QUALITY = 0.5
+LEAST_QUALITY = 0.7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
