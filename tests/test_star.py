@@ -39,5 +39,6 @@ def test_no_query_multiplies_tables(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = star.QUERIES["conditional_count"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "l_extendedprice" not in plan
