@@ -145,15 +145,16 @@ transform(
 """
 
 
-def with_draws(documents: DataFrame, params: MixParams = MixParams(), text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Adds size, source_size, target, and `draws`: structs of pass, draw, shard, from_word and to_word (not included), in words of the text.
+def with_draws(documents: DataFrame, params: MixParams = MixParams(), text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(row, size, source_size, target, draws). draws: structs of pass, draw, shard, from_word and to_word (not included), in words of the text.
 
+    `row` is a struct of the columns to keep, all if not given: what isn't kept isn't shuffled, such as the text where only sizes matter.
     The plan is one small row for each source and is joined to the documents by broadcast; the number of
     sources is the only thing it grows with. Null texts have size 0; null sources are one source, the last.
     A document without words is never drawn: its draws are null. Repeated rows are documents of their own.
     """
     own = {"size": words_in(F.col(text)), "source": F.col(source), "doc_id": F.col(doc_id)}
-    sized = documents.select(F.struct(*documents.columns).alias("row"), *[c.alias(k) for k, c in own.items()])
+    sized = documents.select(F.struct(*(keep or documents.columns)).alias("row"), *[c.alias(k) for k, c in own.items()])
     plans, n = mix_plan(documents.select(own["source"].alias("source"), own["size"].alias("size")), params)
     schema = "plan_source string, source_size long, target double, block long, n_blocks long, step long, shift long, draws long, cut long, bounds array<long>"
     table = [(p.source, p.size, p.target, p.block, p.n_blocks, p.step, p.shift, p.draws, p.cut, list(p.bounds)) for p in plans]

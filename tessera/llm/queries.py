@@ -67,7 +67,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix by source weights takes."""
-    drawn = with_draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    drawn = with_draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     shards = F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken(F.col("draws")).alias("taken"), shards.alias("shards"))
 
