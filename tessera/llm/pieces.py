@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.kernels import slices
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_NOTHING: dict = {}
 _READY: dict[str, Encoder] = {}
 
 
@@ -32,19 +34,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass
+class _Node:
+    """Of a trie of pieces read backwards."""
+
+    below: dict[str, _Node] = field(default_factory=dict)
+    piece: str | None = None  #: the piece that ends here
+    after: dict[str, bool] = field(default_factory=dict)  #: of each piece met so far, whether `piece` may come after it
+
+
 @dataclass
 class Encoder:
     """Pieces, their ranks, and caches of what has been found about them; one lives in each Python worker."""
 
     ids: dict[str, int]
     scores: dict[str, float]
-    tails: dict  #: trie of the pieces read backwards; "" holds the piece that ends there
     byte_ids: list[int]
-    words: dict[str, list[int]] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    whole: dict[str, bool] = field(default_factory=dict)
-    #: Words kept between batches; the cache is emptied beyond it.
-    max_words: int = 400_000
+    tails: _Node = field(default_factory=_Node)
+    #: Ids of words met of late, as bytes of int32. When `words` is full it becomes `older`, and what was there goes.
+    words: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
+    max_words: int = 300_000
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -55,98 +65,101 @@ class Encoder:
         ids = {model.id_to_piece(i): i for i in plain}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in ids):
             raise ValueError("a piece reaches over the end of a word")
-        byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        tails: dict = {}
+        out = cls(ids, {p: model.get_score(i) for p, i in ids.items()}, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         for piece in ids:
-            node = tails
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
-        return cls(ids, {p: model.get_score(i) for p, i in ids.items()}, tails, byte_ids)
+            if len(piece) == 1 or out.merged(piece) == [piece]:  # the others never come out of merging
+                node = out.tails
+                for c in reversed(piece):
+                    node = node.below.setdefault(c, _Node())
+                node.piece = piece
+        return out
 
     def merged(self, text: str) -> list[str]:
         """Pair merging by rank, the definition that the transition rule rests on: best score first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.scores[a + b], k) for k, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in self.scores]
-            if not found:
-                break
-            k = min(found)[1]
+        parts, scores = list(text), self.scores
+        joint = [scores.get(a + b) for a, b in itertools.pairwise(parts)]
+        while True:
+            best, k = None, -1
+            for i, x in enumerate(joint):
+                if x is not None and (best is None or x > best):
+                    best, k = x, i
+            if best is None:
+                return parts
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def follows(self, left: str, right: str) -> bool:
-        """Whether `right` may come after `left`: merging the joined text gives these two again."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
-
-    def reachable(self, piece: str) -> bool:
-        if (known := self.whole.get(piece)) is None:
-            known = self.whole[piece] = self.merged(piece) == [piece]
-        return known
-
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+            del joint[k]
+            if k < len(joint):
+                joint[k] = scores.get(parts[k] + parts[k + 1])
+            if k:
+                joint[k - 1] = scores.get(parts[k - 1] + parts[k])
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, sorted: depth-first through their trie."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         before, last = "", [""]  # last[i]: last piece of the prefix of i characters
-        follows, pairs, reachable, tails = self.follows, self.pairs, self.reachable, self.tails
+        root, merged = self.tails, self.merged
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                node, found = tails, None
+                node, found = root, None
                 for start in range(end - 1, -1, -1):  # backwards through the pieces that end here
-                    node = node.get(word[start], _NOTHING)
-                    piece = node.get("") or (word[start] if start == end - 1 else None)
-                    if piece is not None and reachable(piece):
+                    node = node.below.get(word[start])
+                    if node is None:
+                        break
+                    piece = node.piece
+                    if piece is not None:
+                        if not start:
+                            found = piece
+                            break
                         left = last[start]
-                        known = pairs.get((left, piece)) if start else True
-                        if known or (known is None and follows(left, piece)):
+                        may = node.after.get(left)
+                        if may is None:
+                            may = node.after[left] = merged(left + piece) == [left, piece]
+                        if may:
                             found = piece
                             break
-                    if not node:
-                        break
                 if found is None:
-                    raise AssertionError(f"no path to {word[:end]!r}")
+                    if word[end - 1] in self.ids:
+                        raise AssertionError(f"no path to {word[:end]!r}")
+                    found = word[end - 1]  # a character without a piece never merges
                 last.append(found)
             before = word
             out[word] = self._path(word, last)
         return out
 
-    def _path(self, word: str, last: list[str]) -> list[int]:
-        ids: list[int] = []
-        end = len(word)
+    def _path(self, word: str, last: list[str]) -> bytes:
+        ids, known, end = [], self.ids, len(word)
         while end:
             piece = last[end]
-            if (known := self.ids.get(piece)) is not None:
-                ids.append(known)
+            if piece in known:
+                ids.append(known[piece])
             else:  # one character without a piece: its bytes
                 ids.extend(self.byte_ids[b] for b in reversed(piece.encode()))
             end -= len(piece)
         ids.reverse()
-        return ids
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text: a space mark is put before it, spaces become marks; null and empty texts give none."""
         cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(itertools.chain.from_iterable(cut))
         if len(self.words) > self.max_words:
-            self.words.clear()
-        words = self.words
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = set(itertools.chain.from_iterable(cut))
         new.difference_update(words)
-        words.update(self.encode_words(sorted(new)))
-        return [np.fromiter(itertools.chain.from_iterable(map(words.__getitem__, c)), np.int32) for c in cut]
+        met = new.intersection(older)
+        words.update({w: older[w] for w in met})
+        words.update(self.encode_words(sorted(new - met)))
+        return [np.frombuffer(b"".join(map(words.__getitem__, c)), np.int32) for c in cut]
 
 
 @dataclass
 class Decoder:
-    pieces: list[bytes]  #: UTF-8 of each id, with spaces for marks
+    """UTF-8 of each id, with spaces for marks; then the same without a leading space, for a text's first id."""
+
+    pieces: pa.Array
 
     @classmethod
     def load(cls, path: str) -> Decoder:
@@ -154,11 +167,21 @@ class Decoder:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         as_bytes = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode()
-        return cls([as_bytes(i) for i in range(model.get_piece_size())])
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.pieces.__getitem__, ids))
-        return text.removeprefix(b" ").decode("utf-8", "replace")
+        pieces = [as_bytes(i) for i in range(model.get_piece_size())]
+        return cls(pa.array(pieces + [p.removeprefix(b" ") for p in pieces], pa.large_binary()))
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """Texts of the ids from each start to the next; bytes are joined before they are read as UTF-8."""
+        ids = ids.astype(np.int64)
+        first = starts[:-1][starts[:-1] < starts[1:]]
+        ids[first] += len(self.pieces) // 2
+        found = self.pieces.take(pa.array(ids))
+        _, offsets, data = found.buffers()
+        if not len(ids):
+            return [""] * (len(starts) - 1)
+        ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1][starts].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [str(view[a:b], "utf-8", "replace") for a, b in itertools.pairwise(ends)]
 
 
 def _ready(path: str, kind: type):
@@ -170,7 +193,7 @@ def _ready(path: str, kind: type):
 @dataclass(frozen=True)
 class PieceParams:
     vocabulary: str = field(default_factory=default_vocabulary)  #: path of the vocabulary, on every machine
-    batch_chars: int = 4_000_000  #: characters whose words make one trie
+    batch_bytes: int = 1 << 22  #: of text whose words make one trie
 
 
 def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text: str = "text", ids: str = "piece_ids") -> DataFrame:
@@ -179,24 +202,19 @@ def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text:
     Null texts give null, empty texts an empty array. All columns are kept; one called `piece_ids` is
     replaced. The ids are those of the vocabulary's own library, special strings being ordinary text.
     """
-    path, most = (params or PieceParams()).vocabulary, (params or PieceParams()).batch_chars
+    path, most = (params or PieceParams()).vocabulary, (params or PieceParams()).batch_bytes
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        encoder, offsets, parts, own, size = _ready(path, Encoder), [0], [], [], 0
-        for t in itertools.chain(texts, [None]):
-            own.append(t.as_py() if t is not None else None)
-            size += len(own[-1] or "")
-            if size > most or t is None:
-                own = own[: -1 if t is None else None]
-                for found in encoder.encode(own):
-                    offsets.append(offsets[-1] + len(found))
-                    parts.append(found)
-                own, size = [], 0
-        values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=texts.is_null())
-
-    return documents.withColumn(ids, encoded(F.col(text)))
+        encoder, counts, parts = _ready(path, Encoder), [0], [np.zeros(0, np.int32)]
+        for _, part in slices(texts, most):
+            for found in encoder.encode(part.to_pylist()):
+                counts.append(len(found))
+                parts.append(found)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(parts)), mask=texts.is_null())
+
+    # so declared, Spark doesn't encode once more for each later use of the ids
+    return documents.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
 
 
 def decode_pieces(encoded: DataFrame, params: PieceParams | None = None, ids: str = "piece_ids", text: str = "text") -> DataFrame:
@@ -205,7 +223,11 @@ def decode_pieces(encoded: DataFrame, params: PieceParams | None = None, ids: st
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        decoder = _ready(path, Decoder)
-        return pa.array([None if x.as_py() is None else decoder.decode(x.as_py()) for x in lists], pa.string())
+        decoder, out = _ready(path, Decoder), []
+        for at in range(0, len(lists), 500):
+            part = lists.slice(at, 500)
+            counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out += decoder.decode(part.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))
+        return pa.array(out, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return encoded.withColumn(text, decoded(F.col(ids)))
