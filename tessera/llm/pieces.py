@@ -54,7 +54,7 @@ class Encoder:
     #: Ids of words met of late, as bytes of int32. When `words` is full it becomes `older`, and what was there goes.
     words: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
-    max_words: int = 300_000
+    max_words: int = 100_000
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -193,7 +193,7 @@ def _ready(path: str, kind: type):
 @dataclass(frozen=True)
 class PieceParams:
     vocabulary: str = field(default_factory=default_vocabulary)  #: path of the vocabulary, on every machine
-    batch_bytes: int = 1 << 22  #: of text whose words make one trie
+    batch_bytes: int = 1 << 21  #: of text whose words make one trie
 
 
 def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text: str = "text", ids: str = "piece_ids") -> DataFrame:
