@@ -2,9 +2,8 @@
 
 Each of a text's sketches takes the several least of its occurrence-labelled shingles and keeps them in text
 order, so that texts meet when the same shingles stand in the same order: a sign of a small edit distance.
-Texts that meet in a bucket are compared with the bucket's leaders by alignment of their words, never all
-with all. Texts that are like no leader are sketched again without the shingles that many of them share.
-Connected components of what is verified are the classes.
+Texts that meet in a bucket are compared with the bucket's leaders by alignment of their words, then all with all that links
+don't join yet, if bits of their words allow a link. Connected components of what is verified are the classes.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import DIGIT, LETTER, Tokens, lower_bytes, mix, slices, tokenised
@@ -25,8 +24,9 @@ class NeardupParams:
     words: int = 5  #: of a shingle
     sketches: int = 32
     picks: int = 2  #: least shingles of a sketch
-    bottom: int = 128  #: shingles of a text that the second sketches begin with
-    light: int = 32  #: texts that a shingle may occur in, in the second sketches
+    bits: int = 1024  #: of the words that a text has an odd number of times
+    rounds: int = 2  #: of comparing with leaders, before all members of a bucket that are not joined yet
+    block: int = 2000  #: members of a bucket that are compared with each other at a time
     similarity: float = 0.8  #: 1 - edit distance in words / words of the longer text
     slice_bytes: int = 1 << 20
 
@@ -86,6 +86,15 @@ def order_sketches(shingles: np.ndarray, starts: np.ndarray, params: NeardupPara
     return out
 
 
+def word_bits(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """For each text (rows) `size` bits, as 64-bit values: whether it has an odd number of words of that hash modulo `size`."""
+    out = np.zeros((len(starts) - 1, size // 64), np.uint64)
+    cells = mix(words, 29) % np.uint64(size)
+    at = np.repeat(np.arange(len(out)) * out.shape[1], np.diff(starts)) + (cells >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out.ravel(), at, np.uint64(1) << (cells & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def banded_distances(left: list[np.ndarray], right: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     """Edit distance in words of each pair, or -1 where it is over the pair's limit.
 
@@ -169,14 +178,16 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], group: list[int], band: in
 
 
 def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFrame:
-    """Adds struct `__sketch`: n, the text's words, and bands, the hashes of the sketches; of a text without a word none."""
+    """Adds struct `__sketch`: n, the text's words, bands, the hashes of the sketches, of a text without a word none, and bits."""
 
-    @F.arrow_udf("struct<n: bigint, bands: array<bigint>>")
+    @F.arrow_udf("struct<n: bigint, bands: array<bigint>, bits: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
         counts, parts, n = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        bits = np.zeros((len(texts), params.bits // 64), np.int64)
         for first, part in slices(texts, params.slice_bytes):
             for tok in tokenised(part, fold=lower_bytes):
                 words, starts = _words(tok)
+                bits[first + tok.first_doc : first + tok.first_doc + len(starts) - 1] = word_bits(words, starts, params.bits)
                 full = np.flatnonzero(np.diff(starts))
                 n[first + tok.first_doc : first + tok.first_doc + len(starts) - 1] = np.diff(starts)
                 if len(full):
@@ -184,7 +195,8 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
                     parts.append(order_sketches(shingles, begins, params).view(np.int64).ravel())
                     counts[first + tok.first_doc + full] = params.sketches
         bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts)))
-        return pa.StructArray.from_arrays([pa.array(n), bands], ["n", "bands"])
+        ends = pa.array(np.arange(len(texts) + 1) * bits.shape[1], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(n), bands, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], ["n", "bands", "bits"])
 
     return documents.withColumn("__sketch", sketch(F.coalesce(F.col(text), F.lit(""))))
 
@@ -220,39 +232,6 @@ def _length_class(n: Column, params: NeardupParams) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1 / params.similarity))).cast("int")
 
 
-def _star_rounds(members: DataFrame, texts: DataFrame, done: DataFrame | None, params: NeardupParams, rounds: int | None, growth: int) -> tuple[DataFrame, DataFrame]:
-    """(done, open): verified pairs (a, b, similarity), and the members (band, node, n) that no leader matched.
-
-    In each round the first so many open members of a bucket and length class become leaders, `growth` times as many as in
-    the round before, and are compared with all its members of this and the neighbouring classes. A member is done in its
-    bucket once it was a leader or matched one. Without a number of rounds they go on until no member is open.
-    """
-    members = members.withColumn("class", _length_class(F.col("n"), params))
-    open_, leaders, count = members, 1, 0
-    while True:
-        if leaders == 1:
-            lead = open_.groupBy("band", "class").agg(F.min(F.struct("node", "n")).alias("first")).select("band", F.col("class").alias("of"), F.col("first.node").alias("leader"), F.col("first.n").alias("words"))
-        else:
-            by = Window.partitionBy("band", "class").orderBy("node")
-            lead = open_.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= leaders).select("band", F.col("class").alias("of"), F.col("node").alias("leader"), F.col("n").alias("words"))
-        lead = materialize(lead, "neardup-leaders")
-        near = lead.withColumn("class", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
-        may_match = F.least("n", "words") >= F.greatest("n", "words") * params.similarity - 1e-6
-        met = members.join(near, ["band", "class"]).where((F.col("node") != F.col("leader")) & may_match)
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = materialize(_verified(pairs, texts, params), "neardup-verified")
-        done = found if done is None else done.unionByName(found)
-        links = done.where("similarity is not null")
-        matched = links.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("leader")))
-        closed = open_.join(near, ["band", "class"]).join(matched, ["node", "leader"], "left_semi").select("band", "node").unionByName(lead.select("band", F.col("leader").alias("node"))).distinct()
-        open_ = materialize(open_.join(closed, ["band", "node"], "left_anti"), "neardup-open")
-        leaders, count = leaders * growth, count + 1
-        if count == rounds or open_.isEmpty():
-            return done, open_.drop("class")
-
-
 def _in_buckets(sketched: DataFrame) -> DataFrame:
     """(band, node, n) of the buckets with several nodes; `sketched`: (node, n, bands)."""
     single = sketched.select("node", "n", F.explode("bands").alias("band"))
@@ -260,55 +239,74 @@ def _in_buckets(sketched: DataFrame) -> DataFrame:
     return single.join(several, "band").select("band", "node", "n")
 
 
-def _light_sketches(nodes: DataFrame, texts: DataFrame, params: NeardupParams) -> DataFrame:
-    """(node, n, bands): sketches of the shingles that at most `params.light` of these texts have.
+def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams) -> Column:
+    """Whether lengths and word bits allow the similarity: an edit of one word changes at most two bits."""
+    longest = F.greatest(*n) * (1 - params.similarity)
+    changed = sum((F.bit_count(F.get(bits[0], F.lit(k)).bitwiseXOR(F.get(bits[1], F.lit(k)))) for k in range(params.bits // 64)), F.lit(0))
+    return (F.abs(F.col(n[0]) - F.col(n[1])) <= longest + 1e-6) & (changed <= 2 * longest + 1e-6)
 
-    What many texts share, such as a passage, then fills no bucket: none gets more than `light` texts. Of each text only the
-    `bottom` least shingles by a hash are looked at, which is a sketch too: like texts have like ones. A text all of
-    whose shingles are common has no sketch here; it met its like among the leaders.
-    """
 
-    @F.arrow_udf("array<bigint>")
-    def shingled(values: pa.Array) -> pa.Array:
-        counts, parts = np.zeros(len(values), np.int64), [np.zeros(0, np.int64)]
-        for first, part in slices(values, params.slice_bytes):
-            for tok in tokenised(part, fold=lower_bytes):
-                words, starts = _words(tok)
-                shingles, begins = _shingles(words, starts, params.words)
-                for k, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
-                    own = shingles[a:b]
-                    if b - a > params.bottom:
-                        own = own[np.sort(np.argpartition(mix(own, 23), params.bottom)[: params.bottom])]
-                    counts[first + tok.first_doc + k] = len(own)
-                    parts.append(own.view(np.int64))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts)))
-
-    @F.arrow_udf("array<bigint>")
-    def sketch(lists: pa.Array) -> pa.Array:
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        bands = order_sketches(hashes, np.append(0, np.cumsum(counts)), params).view(np.int64).ravel()
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * params.sketches, pa.int32()), pa.array(bands))
-
-    own = texts.join(nodes.select(F.col("node").alias("uid"), "n"), "uid").select(F.col("uid").alias("node"), "n", F.posexplode(shingled("__text")).alias("place", "shingle"))
-    own = materialize(own, "neardup-shingles")
-    light = own.select("node", "shingle").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, params.light)).select("shingle")
-    kept = own.join(light, "shingle", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("s"))
-    return kept.select("node", "n", sketch(F.transform("s", lambda x: x["shingle"])).alias("bands"))
+def _met_leaders(members: DataFrame, lead: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
+    """(a, b): members and the leaders of their bucket in this and the neighbouring length classes, of different roots."""
+    near = lead.withColumn("class", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
+    met = members.join(near, ["band", "class"]).where((F.col("node") != F.col("leader")) & (F.col("root") != F.col("led")))
+    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    left = facts.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
+    right = facts.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
+    return pairs.join(left, "a").join(right, "b").where(_may_link(("an", "bn"), ("abits", "bbits"), params)).select("a", "b")
+
+
+def _met_all(members: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
+    """(a, b, ra, rb): all members of a bucket with each other, where their roots differ.
+
+    A bucket is dealt into blocks of about `params.block` members, so that no task has all pairs of a large one.
+    """
+    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("blocks"))
+    own = members.join(blocks, "band").join(facts.select("node", "bits"), "node")
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = own.select("band", "block", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ra"), F.col("bits").alias("abits"))
+    right = own.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("rb"), F.col("bits").alias("bbits"))
+    met = left.join(right, ["band", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(("an", "bn"), ("abits", "bbits"), params))
+    return met.select("a", "b", "ra", "rb").distinct()
 
 
 def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> DataFrame:
-    """(a, b, similarity) of verified pairs. Two rounds settle all buckets whose members are like a leader, however large.
+    """(a, b, similarity) of verified pairs, enough to join all nodes that links between members of a bucket join.
 
-    Texts that are left open share a bucket with texts unlike them. They are sketched anew without the shingles that
-    many of them share, and those buckets, small by construction, are gone through until no member is open.
+    `sketched`: (node, n, bands, bits). In each of `params.rounds` rounds one member of a bucket and length class is compared with all its members
+    of this and the neighbouring classes: at first the least node, so that a node meets the same leaders in many buckets, then
+    the member with the most links. Nodes that links join already need no comparison, so a bucket whose members all have
+    one root is done. In those that are left, one pair of each two roots is compared, and at last all members of
+    different roots with each other.
     """
-    members = materialize(_in_buckets(sketched), "neardup-members")
-    done, open_ = _star_rounds(members, texts, None, params, 2, 1)
-    if not open_.isEmpty():
-        again = materialize(_light_sketches(open_.select("node", "n").distinct(), texts, params), "neardup-light")
-        done, _ = _star_rounds(materialize(_in_buckets(again), "neardup-members"), texts, done, params, None, 4)
-    return done.where("similarity is not null")
+    facts = sketched.select("node", "n", "bits")
+    members = materialize(_in_buckets(sketched).withColumn("class", _length_class(F.col("n"), params)), "neardup-members")
+    open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
+    for step in range(params.rounds + 2):
+        if step < params.rounds:
+            first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
+            lead = open_.groupBy("band", F.col("class").alias("of")).agg(first).select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"))
+            pairs = _met_leaders(open_, lead, facts, params)
+        else:
+            pairs = _met_all(open_, facts, params)
+            if step == params.rounds:
+                pairs = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+            pairs = pairs.select("a", "b")
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        found = materialize(_verified(materialize(pairs, "neardup-pairs"), texts, params), "neardup-verified")
+        done = found if done is None else done.unionByName(found)
+        links = done.where("similarity is not null")
+        if step == params.rounds + 1:
+            return links
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        known = components(links).join(degree, "node")
+        placed = open_.drop("root", "degree").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
+        # two members have met in the first round
+        several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("k > 2 and r != s").select("band")
+        open_ = materialize(placed.join(several, "band", "left_semi"), "neardup-open")
+        if open_.isEmpty():
+            return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,7 +358,7 @@ def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(
     texts = table.select("uid", F.coalesce(F.col("row")[text], F.lit("")).alias("__text"))
     nodes = table.groupBy("digest").agg(F.min("uid").alias("node"))
     slim = materialize(table.select("uid", "__doc_id", "digest").join(nodes, "digest").drop("digest"), "neardup-nodes")
-    unique = table.join(slim.where("uid = node").select("uid"), "uid", "left_semi").select(F.col("uid").alias("node"), "__sketch.n", "__sketch.bands")
+    unique = materialize(table.join(slim.where("uid = node").select("uid"), "uid", "left_semi").select(F.col("uid").alias("node"), "__sketch.n", "__sketch.bands", "__sketch.bits"), "neardup-unique")
     links = _links(unique, texts, params)
     roots = materialize(components(links), "neardup-roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

@@ -171,6 +171,46 @@ def test_unlike_members_of_one_bucket_are_all_compared(spark, texts):
     assert out[100] == 39 and len(set(out.values())) == 40
 
 
+def bucketed(spark, rows):
+    """(sketched, texts) of (node, text) rows that all meet in one bucket only."""
+    texts = spark.createDataFrame(rows, "uid long, __text string")
+    sketched = N._sketched(texts, "__text", N.NeardupParams())
+    return sketched.select(F.col("uid").alias("node"), "__sketch.*").withColumn("bands", F.array(F.lit(1).cast("long"))), texts
+
+
+def letters(value):
+    """A word of letters only: digits would be words of their own."""
+    return "q" + "".join(chr(ord("a") + int(c, 16)) for c in value.encode().hex())
+
+
+def changed(words, places, name):
+    return [letters(f"{name} {k}") if k in places else w for k, w in enumerate(words)]
+
+
+def test_a_hub_of_a_bucket_joins_all_its_variants(spark, texts):
+    base, rng = texts(1, 120, 50)[0].split(), random.Random(3)
+    rows = [(k, " ".join(changed(base, rng.sample(range(120), 15), f"own {k}"))) for k in range(40) if k != 30] + [(30, " ".join(base))]
+    links = N._links(*bucketed(spark, rows), N.NeardupParams())
+    assert {r["root"] for r in N.components(links).collect()} == {0} and N.components(links).count() == 40
+
+
+def test_bits_of_words_never_hide_a_link(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(200):
+        a = [letters(str(rng.randrange(300))) for _ in range(rng.randrange(5, 1000))]
+        b = list(a)
+        for _ in range(len(a) // 5):
+            p = rng.randrange(len(b))
+            b[p : p + rng.randrange(2)] = [letters(str(rng.randrange(300)))]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    sketched, texts = bucketed(spark, rows)
+    left, right = (sketched.where(f"node % 2 = {k}").select(F.col("node").alias("ab"[k]), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in (0, 1))
+    pairs = left.join(right, F.expr("a + 1 = b")).withColumn("may", N._may_link(("n0", "n1"), ("bits0", "bits1"), N.NeardupParams()))
+    like = N._verified(pairs.select("a", "b"), texts, N.NeardupParams()).where("similarity is not null").join(pairs, ["a", "b"])
+    assert like.count() > 100 and like.where("not may").count() == 0
+
+
 def test_odd_near_duplicates(odd_documents, empty_documents):
     out = N.near_duplicates(odd_documents).rows.collect()
     assert len(out) == 19
