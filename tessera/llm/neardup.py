@@ -336,7 +336,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """rows: (uid, doc_id, class_id, n_links, stays) for each document. links: (a, b, similarity) of texts, by the uid
+    """rows: (uid, doc_id, class_id, n_evidence, stays) for each document. links: (a, b, similarity) of texts, by the uid
     of one row of each. table: (uid, row), the documents' columns as a struct."""
 
     rows: DataFrame
@@ -347,8 +347,8 @@ class NearDuplicates:
 def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(), doc_id: str = "doc_id", text: str = "text") -> NearDuplicates:
     """Classes of equal and near texts.
 
-    class_id is the least id in the class, n_links the verified links of the row's text to other texts; stays is
-    true for one row of each class, which has that id. Null and empty texts are equal texts. Texts without a
+    class_id is the least id in the class, n_evidence the verified links of the row's text that the search needed, not all
+    that it has (nodes joined already aren't compared); stays is true for one row of each class, which has that id. Null and empty texts are equal texts. Texts without a
     letter or digit are near only their equals. Repeated rows and equal texts are grouped by a digest before
     anything is compared. A class without any id has a null class_id. An empty table gives empty results.
     """
@@ -361,13 +361,13 @@ def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(
     unique = materialize(table.join(slim.where("uid = node").select("uid"), "uid", "left_semi").select(F.col("uid").alias("node"), "__sketch.n", "__sketch.bands", "__sketch.bits"), "neardup-unique")
     links = _links(unique, texts, params)
     roots = materialize(components(links), "neardup-roots")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_evidence"))
     placed = slim.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("__doc_id").alias("class_id"))
     placed = materialize(placed.join(least, "root"), "neardup-placed")
     first = placed.where(F.col("__doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("uid").alias("first"))
     stays = F.col("uid") == F.col("first")
-    rows = placed.join(first, "root").select("uid", F.col("__doc_id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), stays.alias("stays"))
+    rows = placed.join(first, "root").select("uid", F.col("__doc_id").alias("doc_id"), "class_id", F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"), stays.alias("stays"))
     return NearDuplicates(rows, links, table.select("uid", "row"))
 
 

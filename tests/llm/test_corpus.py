@@ -194,6 +194,15 @@ def test_a_hub_of_a_bucket_joins_all_its_variants(spark, texts):
     assert {r["root"] for r in N.components(links).collect()} == {0} and N.components(links).count() == 40
 
 
+def test_a_link_between_members_of_two_leaders_is_found(spark, texts):
+    # 0 - 2 - 3 - 1, each like the next only
+    words = texts(1, 100, 51)[0].split()
+    chain = [changed(words, range(20 * k), "other") for k in range(4)]
+    rows = [(node, " ".join(w)) for node, w in zip([0, 2, 3, 1], chain)]
+    links = {(r["a"], r["b"]) for r in N._links(*bucketed(spark, rows), N.NeardupParams()).collect()}
+    assert links == {(0, 2), (2, 3), (1, 3)}
+
+
 def test_bits_of_words_never_hide_a_link(spark):
     rng = random.Random(6)
     rows = []
