@@ -19,11 +19,16 @@ from tessera.llm.kernels import DIGIT, LETTER, Tokens, lower_bytes, mix, slices,
 from tessera.llm.shared import materialize
 
 
+#: Cells of a table of two texts' words up to which a pair is aligned by bit vectors.
+BIT_CELLS = 1 << 28
+
+
 @dataclass(frozen=True)
 class NeardupParams:
-    words: int = 5  #: of a shingle
-    sketches: int = 32
-    picks: int = 2  #: least shingles of a sketch
+    words: int = 2  #: of a shingle
+    sketches: int = 64
+    picks: int = 3  #: least shingles of a sketch
+    short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 1024  #: of the words that a text has an odd number of times
     rounds: int = 2  #: of comparing with leaders, before all members of a bucket that are not joined yet
     block: int = 2000  #: members of a bucket that are compared with each other at a time
@@ -66,26 +71,35 @@ def order_sketches(shingles: np.ndarray, starts: np.ndarray, params: NeardupPara
     occurrence[order] = np.arange(len(order)) - run
     labelled = mix(shingles + occurrence * np.uint64(0xD1342543DE82EF95), 5)
     factors = mix(np.arange(params.sketches, dtype=np.uint64), 17) | np.uint64(1)
-    out = np.empty((len(counts), params.sketches), np.uint64)
-    rows = np.arange(len(counts))
-    for j, factor in enumerate(factors):
-        value = labelled * factor
-        picked = []
-        for _ in range(params.picks):
-            least = np.minimum.reduceat(value, starts[:-1])
-            at = np.flatnonzero(value == least[doc])
-            first = at[np.searchsorted(doc[at], rows)]
-            picked.append(first)
-            value[first] = np.uint64(2**64 - 1)
-        places = np.sort(np.stack(picked, 1), axis=1)
-        h = np.full(len(counts), j, np.uint64)
-        for k in range(params.picks):
-            # a text of fewer shingles than picks repeats its first
-            h = mix(h * np.uint64(3) + shingles[places[:, k]], 11)
-        out[:, j] = h
+    places = np.empty((len(counts), params.sketches, params.picks), np.int64)
+    for i, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        own, most = labelled[x:y], max(1, (1 << 17) // (y - x))
+        for first in range(0, params.sketches, most):
+            value = factors[first : first + most, None] * own
+            rows = np.arange(len(value))
+            for k in range(params.picks):
+                # a text of fewer shingles than picks repeats its first
+                at = value.argmin(axis=1)
+                places[i, first : first + most, k] = at + x
+                value[rows, at] = np.uint64(2**64 - 1)
+    places.sort(axis=2)
+    out = np.arange(params.sketches, dtype=np.uint64)[None, :].repeat(len(counts), 0)
+    for k in range(params.picks):
+        out = mix(out * np.uint64(3) + shingles[places[:, :, k]], 11)
     return out
 
 
+def short_bands(words: np.ndarray, params: NeardupParams) -> np.ndarray:
+    """Hashes of all words, and of all but each one: texts that differ by one word have one in common."""
+    n = len(words)
+    left = np.array([[j for j in range(n) if j != k] for k in range(n)], np.int64).reshape(n, max(n - 1, 0))
+    out = [np.full(1, n, np.uint64), np.full(n, n - 1, np.uint64)]
+    for h, chosen in zip(out, (np.arange(n)[None, :], left)):
+        for column in chosen.T:
+            h[:] = mix(h * np.uint64(3) + words[column], 41)
+    return np.unique(np.concatenate(out))
+
+
 def word_bits(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """For each text (rows) `size` bits, as 64-bit values: whether it has an odd number of words of that hash modulo `size`."""
     out = np.zeros((len(starts) - 1, size // 64), np.uint64)
@@ -98,12 +112,16 @@ def word_bits(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def banded_distances(left: list[np.ndarray], right: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     """Edit distance in words of each pair, or -1 where it is over the pair's limit.
 
-    Only cells within a band around the diagonal are computed, for many pairs at once; the band is widened for the
+    Pairs of up to BIT_CELLS cells are aligned by bit vectors. Of longer ones only cells within a band around the diagonal are computed, for many pairs at once; the band is widened for the
     pairs whose distance is not within it, until it is as wide as their limit.
     """
     out = np.full(len(left), -1, np.int64)
     trimmed = [_trim(a, b) for a, b in zip(left, right)]
     open_ = [p for p, (a, b) in enumerate(trimmed) if abs(len(a) - len(b)) <= limits[p]]
+    for p in open_:
+        if len(trimmed[p][0]) * len(trimmed[p][1]) <= BIT_CELLS:
+            out[p] = _bit_distance(*trimmed[p], int(limits[p]))
+    open_ = [p for p in open_ if len(trimmed[p][0]) * len(trimmed[p][1]) > BIT_CELLS]
     band = 12
     while open_:
         open_.sort(key=lambda p: len(trimmed[p][0]))
@@ -130,6 +148,33 @@ def banded_distances(left: list[np.ndarray], right: list[np.ndarray], limits: np
     return out
 
 
+def _bit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Edit distance, or -1 over the limit: a column of the table at a time, its steps up and down as bits of two integers."""
+    n, rest, a, b = len(a), len(b), a.tolist(), b.tolist()
+    if not n:
+        return rest if rest <= limit else -1
+    places: dict[int, int] = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << k
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n
+    for word in b:
+        same = places.get(word, 0)
+        down_or_same = same | down
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(level | up)), up & level
+        rest -= 1
+        if rise & last:
+            score += 1
+        elif fall & last:
+            score -= 1
+        if score - rest > limit:
+            return -1
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(down_or_same | rise)), rise & down_or_same
+    return score if score <= limit else -1
+
+
 def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both without what they begin and end with in common."""
     n = min(len(a), len(b))
@@ -182,7 +227,7 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
 
     @F.arrow_udf("struct<n: bigint, bands: array<bigint>, bits: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        counts, parts, n = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        counts, parts, n = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
         bits = np.zeros((len(texts), params.bits // 64), np.int64)
         for first, part in slices(texts, params.slice_bytes):
             for tok in tokenised(part, fold=lower_bytes):
@@ -192,9 +237,12 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
                 n[first + tok.first_doc : first + tok.first_doc + len(starts) - 1] = np.diff(starts)
                 if len(full):
                     shingles, begins = _shingles(words, np.append(starts[full], starts[-1]), params.words)
-                    parts.append(order_sketches(shingles, begins, params).view(np.int64).ravel())
-                    counts[first + tok.first_doc + full] = params.sketches
-        bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts)))
+                    own = order_sketches(shingles, begins, params)
+                    for k, bands in zip(full.tolist(), own):
+                        x, y = starts[k], starts[k + 1]
+                        parts.append(np.concatenate([bands, short_bands(words[x:y], params)]) if y - x <= params.short else bands)
+                        counts[first + tok.first_doc + k] = len(parts[-1])
+        bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
         ends = pa.array(np.arange(len(texts) + 1) * bits.shape[1], pa.int32())
         return pa.StructArray.from_arrays([pa.array(n), bands, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], ["n", "bands", "bits"])
 

@@ -109,6 +109,11 @@ def test_banded_distances_equal_plain_ones():
     assert N.banded_distances(left, right, limits).tolist() == want and -1 in want
 
 
+def test_long_pairs_are_aligned_in_bands(monkeypatch):
+    monkeypatch.setattr(N, "BIT_CELLS", -1)
+    test_banded_distances_equal_plain_ones()
+
+
 def test_sketches_are_sensitive_to_order():
     params = N.NeardupParams()
     words = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +208,32 @@ def test_a_link_between_members_of_two_leaders_is_found(spark, texts):
     assert links == {(0, 2), (2, 3), (1, 3)}
 
 
+@pytest.mark.parametrize("spread", [lambda rng, n: rng.sample(range(n), n // 5), lambda rng, n: range(2, n, 5)], ids=["random", "every fifth"])
+def test_sketches_meet_at_the_threshold(spread):
+    rng, params, met, rows = random.Random(8), N.NeardupParams(), 0, 400
+    for k in range(rows):
+        n = rng.randrange(40, 300)
+        a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        b = a.copy()
+        for place in spread(rng, n):
+            b[place] = rng.getrandbits(64)
+        assert (a != b).sum() >= 0.19 * n - 1
+        shingles, starts = N._shingles(np.concatenate([a, b]), np.array([0, n, 2 * n]), params.words)
+        x, y = N.order_sketches(shingles, starts, params)
+        met += (x == y).any()
+    assert met >= 0.98 * rows
+
+
+def test_short_texts_of_one_edit_always_meet():
+    rng, params = random.Random(3), N.NeardupParams()
+    for _ in range(500):
+        a = [rng.getrandbits(64) for _ in range(rng.randrange(2, 10))]
+        b, place, kind = list(a), rng.randrange(len(a)), rng.randrange(3)
+        b[place : place + (kind > 0)] = [rng.getrandbits(64)] if kind < 2 else []
+        x, y = (N.short_bands(np.array(w, np.uint64), params) for w in (a, b))
+        assert len(np.intersect1d(x, y)) > 0
+
+
 def test_bits_of_words_never_hide_a_link(spark):
     rng = random.Random(6)
     rows = []
