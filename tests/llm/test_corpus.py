@@ -115,7 +115,7 @@ def test_long_pairs_are_aligned_in_bands(monkeypatch):
 
 
 def test_sketches_are_sensitive_to_order():
-    params = N.NeardupParams()
+    params = N.NeardupParams(sketches=256, picks=3)
     words = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     swapped = np.concatenate([words[20:], words[:20]])
     shingles, starts = N._shingles(np.concatenate([words, words, swapped]), np.array([0, 40, 80, 120]), 5)
@@ -208,6 +208,30 @@ def test_a_link_between_members_of_two_leaders_is_found(spark, texts):
     assert links == {(0, 2), (2, 3), (1, 3)}
 
 
+def test_unlinked_pairs_equal_brute_force():
+    rng, params = np.random.default_rng(7), N.NeardupParams()
+    n, root, bits = rng.integers(1, 60, 80), rng.integers(0, 30, 80), rng.integers(0, 4, (80, 3)).astype(np.uint64)
+    left, right = np.arange(20), np.arange(20, 80)
+    want = [(i, j) for i in left for j in right if root[i] != root[j] and abs(n[i] - n[j]) <= 0.2 * max(n[i], n[j]) + 1e-6 and sum(int(x ^ y).bit_count() for x, y in zip(bits[i], bits[j])) <= 0.4 * max(n[i], n[j]) + 1e-6]
+    assert sorted(zip(*N.unlinked_pairs(n, root, bits, left, right, params))) == want and 0 < len(want) < 1200
+
+
+def test_links_at_10_15_and_19_percent_equal_brute_force(spark, texts):
+    rng, rows, want = random.Random(12), [], collections.defaultdict(set)
+    for k, share in enumerate((0.10, 0.15, 0.19)):
+        for i, (size, words) in enumerate((n, texts(1, n, 1000 * k + 10 * n + s)[0].split()) for n in (60, 200, 600) for s in range(12)):
+            node = 1000 * k + 2 * i
+            rows += [(node, " ".join(words)), (node + 1, " ".join(changed(words, rng.sample(range(size), int(share * size)), f"own {node}")))]
+            want[k].add((node, node + 1))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = N.near_duplicates(table)
+    ids = {r["uid"]: r["doc_id"] for r in found.rows.select("uid", "doc_id").collect()}
+    links = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in found.links.collect()}
+    assert links <= set().union(*want.values())  # brute force: random texts of different bases are far apart
+    for k in want:
+        assert len(links & want[k]) >= 0.95 * len(want[k]), (k, len(links & want[k]))
+
+
 @pytest.mark.parametrize("spread", [lambda rng, n: rng.sample(range(n), n // 5), lambda rng, n: range(2, n, 5)], ids=["random", "every fifth"])
 def test_sketches_meet_at_the_threshold(spread):
     rng, params, met, rows = random.Random(8), N.NeardupParams(), 0, 400
@@ -247,7 +271,7 @@ def test_bits_of_words_never_hide_a_link(spark):
     sketched, texts = bucketed(spark, rows)
     left, right = (sketched.where(f"node % 2 = {k}").select(F.col("node").alias("ab"[k]), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in (0, 1))
     pairs = left.join(right, F.expr("a + 1 = b")).withColumn("may", N._may_link(("n0", "n1"), ("bits0", "bits1"), N.NeardupParams()))
-    like = N._verified(pairs.select("a", "b"), texts, N.NeardupParams()).where("similarity is not null").join(pairs, ["a", "b"])
+    like = N._verified(pairs.select("a", "b"), N.word_lists(texts, N.NeardupParams()), N.NeardupParams()).where("similarity is not null").join(pairs, ["a", "b"])
     assert like.count() > 100 and like.where("not may").count() == 0
 
 
