@@ -1,11 +1,14 @@
-"""SentencePiece encoding and decoding with a given vocabulary, by a Viterbi pass over a shared-prefix trie of words.
+"""SentencePiece encoding and decoding with a given vocabulary: no maximum of summed scores, but the one path that merging by rank leaves,
+found by a forward pass over a shared-prefix trie of words.
 
 The text is cut into marked words (a run of the space mark, then other characters); no piece of the
-vocabulary reaches over a word's end. The distinct words of a batch are sorted, which is a depth-first
+vocabulary reaches over a word's end. The distinct words of a slice of texts are sorted, which is a depth-first
 traversal of their trie: a word keeps the forward states of the prefix it shares with the word before.
 The forward state of a prefix is its last piece. A piece may follow another only if merging would leave
 the two apart; under this transition rule exactly one path through a word lives, and it is the one that
 pair merging by rank gives. (Adding the pieces' scores, as for a unigram vocabulary, would not give it.)
+
+A worker's memory is bounded: its caches by bytes and entries, a slice of texts by bytes, and a longer text is taken in windows.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from __future__ import annotations
 import itertools
 import re
 from array import array
+from collections import ChainMap
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +29,8 @@ from tessera.llm.kernels import slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: A place where one word ends and another begins.
+_BREAK = re.compile(f"[^ {MARK}][ {MARK}]")
 _READY: dict[str, Encoder] = {}
 
 
@@ -34,13 +41,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Node:
     """Of a trie of pieces read backwards."""
 
     below: dict[str, _Node] = field(default_factory=dict)
     piece: str | None = None  #: the piece that ends here
-    after: dict[str, bool] = field(default_factory=dict)  #: of each piece met so far, whether `piece` may come after it
+    after: dict[str, bool] | None = None  #: of pieces met of late, whether `piece` may come after them
 
 
 @dataclass
@@ -54,7 +61,12 @@ class Encoder:
     #: Ids of words met of late, as bytes of int32. When `words` is full it becomes `older`, and what was there goes.
     words: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
-    max_words: int = 100_000
+    held: int = 0  #: bytes of `words`, about
+    most_held: int = 6 << 20
+    longest: int = 256  #: characters of a word that is kept
+    judged: list[_Node] = field(default_factory=list)  #: a node for each verdict in any `after`
+    most_judged: int = 60_000
+    window: int = 1 << 18  #: characters of a text that are taken at a time
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -96,8 +108,12 @@ class Encoder:
         """Ids of distinct words, sorted: depth-first through their trie."""
         out: dict[str, bytes] = {}
         before, last = "", [""]  # last[i]: last piece of the prefix of i characters
-        root, merged = self.tails, self.merged
+        root, merged, judged = self.tails, self.merged, self.judged
         for word in words:
+            if len(judged) > self.most_judged:
+                for node in judged:
+                    node.after = None
+                judged.clear()
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
@@ -114,9 +130,12 @@ class Encoder:
                             found = piece
                             break
                         left = last[start]
+                        if node.after is None:
+                            node.after = {}
                         may = node.after.get(left)
                         if may is None:
                             may = node.after[left] = merged(left + piece) == [left, piece]
+                            judged.append(node)
                         if may:
                             found = piece
                             break
@@ -141,18 +160,40 @@ class Encoder:
         ids.reverse()
         return array("i", ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text: a space mark is put before it, spaces become marks; null and empty texts give none."""
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > self.max_words:
-            self.older, self.words = self.words, {}
+    def _windows(self, text: str) -> Iterator[str]:
+        """The text from one word's beginning to another's, at least `window` characters at a time, spaces as marks and one mark before it."""
+        at = 0
+        while at < len(text):
+            found = _BREAK.search(text, at + self.window)
+            end = found.end() - 1 if found else len(text)
+            yield (MARK if not at else "") + text[at:end].replace(" ", MARK)
+            at = end
+
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        if self.held > self.most_held:
+            self.older, self.words, self.held = self.words, {}, 0
         words, older = self.words, self.older
         new = set(itertools.chain.from_iterable(cut))
         new.difference_update(words)
         met = new.intersection(older)
-        words.update({w: older[w] for w in met})
-        words.update(self.encode_words(sorted(new - met)))
-        return [np.frombuffer(b"".join(map(words.__getitem__, c)), np.int32) for c in cut]
+        found = self.encode_words(sorted(new - met))
+        found.update({w: older[w] for w in met})
+        short = {w: ids for w, ids in found.items() if len(w) <= self.longest}
+        words.update(short)
+        self.held += sum(200 + 2 * len(w) + len(ids) for w, ids in short.items())
+        known = words if len(short) == len(found) else ChainMap(found, words)
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text: a space mark is put before it, spaces become marks; null and empty texts give none."""
+        out: list[bytes] = []
+        for longer, own in itertools.groupby(texts, lambda t: len(t or "") > self.window):
+            if longer:
+                out += [b"".join(self._joined([_WORD.findall(part)])[0] for part in self._windows(text)) for text in own]
+            else:
+                out += self._joined([_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in own])
+        return [np.frombuffer(x, np.int32) for x in out]
 
 
 @dataclass
@@ -170,18 +211,17 @@ class Decoder:
         pieces = [as_bytes(i) for i in range(model.get_piece_size())]
         return cls(pa.array(pieces + [p.removeprefix(b" ") for p in pieces], pa.large_binary()))
 
-    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
-        """Texts of the ids from each start to the next; bytes are joined before they are read as UTF-8."""
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Texts, as UTF-8, of the ids from each start to the next; bytes are joined before they are read as UTF-8."""
+        if not len(ids):
+            return [b""] * (len(starts) - 1)
         ids = ids.astype(np.int64)
         first = starts[:-1][starts[:-1] < starts[1:]]
         ids[first] += len(self.pieces) // 2
-        found = self.pieces.take(pa.array(ids))
-        _, offsets, data = found.buffers()
-        if not len(ids):
-            return [""] * (len(starts) - 1)
+        _, offsets, data = self.pieces.take(pa.array(ids)).buffers()
         ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1][starts].tolist()
         view = memoryview(data) if data is not None else memoryview(b"")
-        return [str(view[a:b], "utf-8", "replace") for a, b in itertools.pairwise(ends)]
+        return [str(view[a:b], "utf-8", "replace").encode() for a, b in itertools.pairwise(ends)]
 
 
 def _ready(path: str, kind: type):
@@ -193,7 +233,8 @@ def _ready(path: str, kind: type):
 @dataclass(frozen=True)
 class PieceParams:
     vocabulary: str = field(default_factory=default_vocabulary)  #: path of the vocabulary, on every machine
-    batch_bytes: int = 1 << 21  #: of text whose words make one trie
+    batch_bytes: int = 1 << 20  #: of text whose words make one trie
+    batch_ids: int = 1 << 18  #: that are decoded at a time, or those of one text
 
 
 def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text: str = "text", ids: str = "piece_ids") -> DataFrame:
@@ -206,12 +247,12 @@ def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text:
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        encoder, counts, parts = _ready(path, Encoder), [0], [np.zeros(0, np.int32)]
-        for _, part in slices(texts, most):
-            for found in encoder.encode(part.to_pylist()):
-                counts.append(len(found))
-                parts.append(found)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(parts)), mask=texts.is_null())
+        encoder, ends, out = _ready(path, Encoder), np.zeros(len(texts) + 1, np.int32), bytearray()
+        for first, part in slices(texts, most):
+            for k, found in enumerate(encoder.encode(part.to_pylist()), first + 1):
+                out += found
+                ends[k] = len(out) // 4
+        return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(out) // 4, [None, pa.py_buffer(out)]), mask=texts.is_null())
 
     # so declared, Spark doesn't encode once more for each later use of the ids
     return documents.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
@@ -219,15 +260,23 @@ def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text:
 
 def decode_pieces(encoded: DataFrame, params: PieceParams | None = None, ids: str = "piece_ids", text: str = "text") -> DataFrame:
     """Adds `text`, what the ids stand for: bytes are joined before they are read as UTF-8. Null ids give null."""
-    path = (params or PieceParams()).vocabulary
+    path, most = (params or PieceParams()).vocabulary, (params or PieceParams()).batch_ids
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        decoder, out = _ready(path, Decoder), []
-        for at in range(0, len(lists), 500):
-            part = lists.slice(at, 500)
-            counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            out += decoder.decode(part.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))
-        return pa.array(out, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+        decoder, out = _ready(path, Decoder), bytearray()
+        ends, at = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))), 0
+        offsets = np.zeros(len(lists) + 1, np.int32)
+        while at < len(lists):
+            last = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            part = lists.slice(at, last - at).flatten().to_numpy(zero_copy_only=False)
+            for k, text in enumerate(decoder.decode(part, ends[at : last + 1] - ends[at]), at + 1):
+                out += text
+                offsets[k] = len(out)
+            at = last
+        valid = None
+        if lists.null_count:
+            valid = pa.array(lists.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
+        return pa.Array.from_buffers(pa.string(), len(lists), [valid, pa.py_buffer(offsets), pa.py_buffer(out)])
 
     return encoded.withColumn(text, decoded(F.col(ids)))

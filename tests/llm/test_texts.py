@@ -41,12 +41,19 @@ def test_prefixes_are_shared_without_harm():
 
 def test_words_move_between_caches():
     encoder = P.Encoder.load(P.default_vocabulary())
-    encoder.max_words = 2
+    encoder.most_held = 2
     first = [x.tolist() for x in encoder.encode(["one two three four"])]
     encoder.encode(["five six seven"])
     assert [x.tolist() for x in encoder.encode(["one two three four"])] == first
 
 
+def test_long_texts_are_encoded_in_windows(library):
+    encoder, rng = P.Encoder.load(P.default_vocabulary()), random.Random(4)
+    encoder.window, encoder.most_judged, encoder.longest = 50, 20, 4
+    texts = ["".join(rng.choice("ab  ▁\nthe ing") for _ in range(n)) for n in (49, 50, 51, 400, 3000)] + ["x" * 300 + " y", "   " * 60]
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t) for t in texts]
+
+
 def test_pieces_round_trip(spark, odd_documents, empty_documents, library):
     encoded = P.encode_pieces(odd_documents)
     out = P.decode_pieces(encoded, text="back").collect()
