@@ -22,7 +22,7 @@ from tessera.llm.kernels import segment_sums, slices, text_bytes
 #: Between words: any run of characters that are not letters.
 GAP = 0
 _LETTERS: list[np.ndarray] = []
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: dict[str, Transitions] = {}
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,9 @@ class LangidParams:
 
     sample_chars: int = 120_000
     sample_docs: int = 64  #: of each language, the least by a hash of the id
-    segment: int = 512  #: characters that are parsed together; no phrase crosses their end
+    segment: int = 512  #: characters that are parsed side by side; phrases go on over their ends
+    settled: int = 64  #: characters of a segment after which its parse seldom depends on where it began
+    dense: int = 62  #: most frequent letters, which have a column in the table of transitions; the others' are looked up
     chunk: int = 1 << 20  #: bytes of text that are parsed at a time
 
 
@@ -39,7 +41,7 @@ class LangidParams:
 class LangidModel:
     languages: list[str]  #: the most common first
     roots: np.ndarray  #: state of each language
-    edges: np.ndarray  #: rows of state, character, next state; at most 3 x sample_chars rows
+    edges: np.ndarray  #: rows of state, character, next state (int32); at most 3 x sample_chars rows
     n_states: int
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -104,63 +106,129 @@ def learn_languages(documents: DataFrame, usable: Column, params: LangidParams =
     knows no language, and every prediction is `und`.
     """
     own = documents.where(usable & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    common = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    room = params.sample_chars // max(1, len(common))
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     sample = own.withColumn("__rank", F.row_number().over(least)).where(F.col("__rank") <= params.sample_docs)
-    n_langs = F.size(F.collect_set("lang").over(Window.partitionBy(F.lit(0))))
-    sample = sample.withColumn("__langs", n_langs)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__rank")
-        chars, starts = _characters(pa.array(rows["text"], pa.large_string()))
-        parts = [x for a, b in zip(starts[:-1], starts[1:]) for x in (chars[a:b], [GAP])]
-        taught = np.concatenate(parts)[: params.sample_chars // int(rows["__langs"].iloc[0])]
+        taught = _taught(*_characters(pa.array(rows.sort_values("__rank")["text"], pa.large_string())), room)
         step = suffix_automaton(taught.tolist())
-        found = [(s, c, t) for s, out in enumerate(step) for c, t in out.items()]
-        table = pd.DataFrame(found, columns=["state", "char", "next"])
-        return table.assign(lang=rows["lang"].iloc[0], states=len(step))
+        edges = np.array([(s, c, t) for s, out in enumerate(step) for c, t in out.items()], np.int32)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "states": [len(step)], "edges": [edges.tobytes()]})
 
-    edges = sample.groupBy("lang").applyInPandas(build, "lang string, state long, char long, next long, states long").toPandas()
-    common = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages, roots, rows, n = sorted(edges["lang"].unique(), key=lambda name: (-common[name], name)), [], [np.zeros((0, 3), np.int64)], 0
+    built = {r["lang"]: r for r in sample.groupBy("lang").applyInPandas(build, "lang string, states long, edges binary").collect()}
+    languages, roots, edges, n = sorted(built, key=lambda name: (-common[name], name)), [], [np.zeros((0, 3), np.int32)], 0
     for name in languages:
-        own_edges = edges[edges["lang"] == name]
         roots.append(n)
-        rows.append(own_edges[["state", "char", "next"]].to_numpy() + np.array([n, 0, n]))
-        n += int(own_edges["states"].iloc[0])
-    return LangidModel(languages, np.array(roots, np.int64), np.concatenate(rows), n)
+        edges.append(np.frombuffer(built[name]["edges"], np.int32).reshape(-1, 3) + np.array([n, 0, n], np.int32))
+        n += built[name]["states"]
+    return LangidModel(languages, np.array(roots, np.int64), np.concatenate(edges), n)
 
 
-def _tables(model: LangidModel) -> tuple[np.ndarray, np.ndarray]:
-    """Dense transitions, kept by each Python worker for the model it last used, and the code of each character.
+def _taught(chars: np.ndarray, starts: np.ndarray, room: int) -> np.ndarray:
+    """At most `room` characters of the texts, GAP after each: shorter texts whole, of longer ones an equally long stretch around the middle."""
+    lengths = np.diff(starts)
+    left, parts = room, {}
+    for place, k in enumerate(np.argsort(lengths, kind="stable").tolist()):
+        own = min(int(lengths[k]), max(0, left // (len(lengths) - place) - 1))
+        first = int(starts[k]) + (int(lengths[k]) - own) // 2
+        parts[k] = np.append(chars[first : first + own], GAP)
+        left -= own + 1
+    return np.concatenate([parts[k] for k in sorted(parts)])[:room] if parts else np.zeros(0, np.int64)
 
-    A missing transition holds ~(state after the character from the language's start): negative, so a phrase
+
+@dataclass(frozen=True)
+class Transitions:
+    """From state and character to state, with a column for each of the most frequent letters, and sorted keys for the others.
+
+    A missing transition gives ~(state after the character from the language's start): negative, so a phrase
     begins. The states after all others, one for each language, have no transition: they stand before a text and
-    after a letter that the language lacks. The last two codes: a letter no language has, and padding, which changes nothing.
+    after a letter that the language lacks.
     """
+
+    table: np.ndarray  #: states x columns; the last column but one is of all other letters, the last of padding, which changes nothing
+    columns: np.ndarray  #: of each character
+    codes: np.ndarray  #: of each character in the keys; one code stands for all letters that no language has
+    keys: np.ndarray  #: state * number of codes + code, sorted, of the letters without a column
+    states: np.ndarray  #: after each key
+    roots: np.ndarray  #: state of each language
+    n_codes: int
+    n_states: int
+
+    def rare(self, state: np.ndarray, code: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """States after letters without a column."""
+
+        def after(state: np.ndarray) -> np.ndarray:
+            wanted = state.astype(np.int64) * self.n_codes + code
+            at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+            return np.where(self.keys[at] == wanted, self.states[at], -1) if len(self.keys) else np.full(len(wanted), -1, np.int32)
+
+        found, fresh = after(state), after(self.roots[lang])
+        return np.where(found >= 0, found, ~np.where(fresh >= 0, fresh, self.n_states + lang)).astype(np.int32)
+
+
+def transitions(model: LangidModel, params: LangidParams) -> Transitions:
+    """Kept by each Python worker for the model it last used."""
     if (key := model.key) not in _TABLES:
         _TABLES.clear()
-        chars = np.unique(np.append(model.edges[:, 1], GAP))
-        codes = np.full(0x110000, len(chars), np.int32)
-        codes[chars] = np.arange(len(chars))
-        step = np.zeros((model.n_states + len(model.languages), len(chars) + 2), np.int32)
+        chars, uses = np.unique(np.append(model.edges[:, 1], GAP), return_counts=True)
+        dense = np.sort(chars[np.lexsort((chars, -uses))[: params.dense]])
+        columns, codes = np.full(0x110000, len(dense), np.int16), np.full(0x110000, len(chars), np.int32)
+        columns[dense], codes[chars] = np.arange(len(dense)), np.arange(len(chars))
+        table = np.zeros((model.n_states + len(model.languages), len(dense) + 2), np.int32)
+        of_edge = columns[model.edges[:, 1]]
         sizes = np.diff(np.append(model.roots, model.n_states))
         for k, (root, size) in enumerate(zip(model.roots, sizes)):
-            from_root = np.full(len(chars) + 1, model.n_states + k, np.int32)
-            own = model.edges[model.edges[:, 0] == root]
-            from_root[codes[own[:, 1]]] = own[:, 2]
-            step[root : root + size, :-1] = ~from_root
-            step[model.n_states + k, :-1] = ~from_root
-        step[model.edges[:, 0], codes[model.edges[:, 1]]] = model.edges[:, 2]
-        step[:, -1] = np.arange(len(step))
-        _TABLES[key] = (step, codes)
+            from_root = np.full(len(dense) + 1, model.n_states + k, np.int32)
+            own = (model.edges[:, 0] == root) & (of_edge < len(dense))
+            from_root[of_edge[own]] = model.edges[own, 2]
+            table[root : root + size, :-1] = ~from_root
+            table[model.n_states + k, :-1] = ~from_root
+        own = of_edge < len(dense)
+        table[model.edges[own, 0], of_edge[own]] = model.edges[own, 2]
+        table[:, -1] = np.arange(len(table))
+        n_codes = len(chars) + 1
+        keys = model.edges[~own, 0].astype(np.int64) * n_codes + codes[model.edges[~own, 1]]
+        order = np.argsort(keys)
+        _TABLES[key] = Transitions(table, columns, codes, keys[order], model.edges[~own, 2][order], model.roots, n_codes, model.n_states)
     return _TABLES[key]
 
 
-def count_phrases(texts: pa.Array, model: LangidModel, step: np.ndarray, codes: np.ndarray, params: LangidParams) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of each text (rows) by each language (columns), and each text's characters."""
-    n_langs, width, pad = len(model.languages), params.segment, step.shape[1] - 1
+def _parse(step: Transitions, state: np.ndarray, columns: np.ndarray, codes: np.ndarray, stops: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """States (languages x segments) and phrases begun after so many characters as each of `stops` says, from the given states on.
+
+    `columns` and `codes`: segments x characters.
+    """
+    flat, row, other, out = step.table.ravel(), step.table.shape[1], step.table.shape[1] - 2, []
+    begun = np.zeros_like(state)
+    langs = np.repeat(np.arange(len(state)), state.shape[1]).reshape(state.shape)
+    seldom = (columns == other).any(axis=0)
+    turned = np.ascontiguousarray(columns.T).astype(np.int32)
+    for k in range(stops[-1]):
+        column, before = turned[k], state
+        state = flat.take(state * row + column)
+        if seldom[k]:
+            at = np.flatnonzero(column == other)
+            state[:, at] = step.rare(before[:, at].ravel(), np.tile(codes[at, k], len(state)), langs[:, at].ravel()).reshape(len(state), -1)
+        sign = state >> 31
+        state ^= sign
+        begun -= sign
+        if k + 1 in stops:
+            out.append((state.copy(), begun.copy()))
+    return out
+
+
+def count_phrases(texts: pa.Array, model: LangidModel, step: Transitions, params: LangidParams) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of each text (rows) by each language (columns), and each text's characters.
+
+    Segments of all texts are parsed side by side, as if a phrase began at the start of each. Where the segment before
+    ends within a phrase, the beginning is parsed again from that state; as soon as both parses are in the same state they
+    are one. This goes on until every segment begins where the one before it ends, so the count is that of one parse of the whole text.
+    """
+    n_langs, width, pad = len(model.languages), params.segment, step.table.shape[1] - 1
     phrases, lengths = np.zeros((len(texts), n_langs), np.int64), np.zeros(len(texts), np.int64)
-    flat, row = step.ravel(), step.shape[1]
+    stops = (min(params.settled, width), width) if params.settled < width else (width,)
     for doc, part in slices(texts, params.chunk):
         chars, starts = _characters(part)
         rows = slice(doc, doc + len(part))
@@ -169,19 +237,34 @@ def count_phrases(texts: pa.Array, model: LangidModel, step: np.ndarray, codes:
         first = np.append(0, np.cumsum(segments))
         if not first[-1]:
             continue
-        cells = np.full((first[-1], width), pad, np.int32)
+        columns, codes = np.full((first[-1], width), pad, np.int16), np.zeros((first[-1], width), np.int32)
         owner = np.repeat(np.arange(len(part)), own)
         place = np.arange(len(chars)) - np.repeat(starts[:-1], own)
-        cells[first[owner] + place // width, place % width] = codes[chars]
-        state = np.repeat(np.arange(model.n_states, model.n_states + n_langs, dtype=np.int32), first[-1]).reshape(n_langs, -1)
-        begun = np.zeros_like(state)
-        for column in np.ascontiguousarray(cells.T):
-            state = flat.take(state * row + column)
-            sign = state >> 31
-            state ^= sign
-            begun -= sign
+        columns[first[owner] + place // width, place % width] = step.columns[chars]
+        codes[first[owner] + place // width, place % width] = step.codes[chars]
+        begin = np.repeat(np.arange(model.n_states, model.n_states + n_langs, dtype=np.int32), first[-1]).reshape(n_langs, -1)
+        entered, parsed = begin.copy(), _parse(step, begin, columns, codes, stops)
+        inner = np.ones(first[-1], bool)
+        inner[first[:-1][segments > 0]] = False
+        while True:
+            due = begin.copy()
+            due[:, 1:] = np.where(inner[1:], parsed[-1][0][:, :-1], due[:, 1:])
+            open_ = np.flatnonzero((due != entered).any(axis=0))
+            if not len(open_):
+                break
+            entered[:, open_] = due[:, open_]
+            again = _parse(step, due[:, open_], columns[open_], codes[open_], stops[:1])
+            joined = (again[0][0] == parsed[0][0][:, open_]).all(axis=0)
+            if len(stops) > 1:
+                same = open_[joined]
+                parsed[1][1][:, same] += again[0][1][:, joined] - parsed[0][1][:, same]
+                parsed[0][1][:, same] = again[0][1][:, joined]
+                open_ = open_[~joined]
+                again = _parse(step, due[:, open_], columns[open_], codes[open_], stops) if len(open_) else []
+            for old, new in zip(parsed, again):
+                old[0][:, open_], old[1][:, open_] = new
         for k in range(n_langs):
-            phrases[rows, k] = segment_sums(begun[k], first)
+            phrases[rows, k] = segment_sums(parsed[-1][1][k], first)
     return phrases, lengths
 
 
@@ -202,8 +285,7 @@ def predict_language(documents: DataFrame, model: LangidModel, params: LangidPar
         n = len(texts)
         if not own.languages:
             return pa.StructArray.from_arrays([pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.ones(n))], ["lang_pred", "score", "rate"])
-        step, codes = _tables(own)
-        phrases, lengths = count_phrases(texts, own, step, codes, params)
+        phrases, lengths = count_phrases(texts, own, transitions(own, params), params)
         none = lengths == 0
         best = phrases.argmin(1)
         least = phrases.min(1)

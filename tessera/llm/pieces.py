@@ -250,7 +250,7 @@ def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text:
         encoder, ends, out = _ready(path, Encoder), np.zeros(len(texts) + 1, np.int32), bytearray()
         for first, part in slices(texts, most):
             for k, found in enumerate(encoder.encode(part.to_pylist()), first + 1):
-                out += found
+                out += found.tobytes()
                 ends[k] = len(out) // 4
         return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(out) // 4, [None, pa.py_buffer(out)]), mask=texts.is_null())
 

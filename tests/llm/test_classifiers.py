@@ -1,6 +1,7 @@
 """Quality, toxicity and language: held-out accuracy, slopes against plain sums, brute-force parsing, odd input."""
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -118,20 +119,39 @@ def plain_phrases(text, taught):
     return n
 
 
-def test_phrases_equal_plain_parsing(spark):
+@pytest.mark.parametrize("params", [L.LangidParams(segment=16, settled=4, dense=5), L.LangidParams(segment=7, settled=7, dense=0), L.LangidParams()], ids=["short segments", "no column", "default"])
+def test_phrases_equal_plain_parsing(spark, params):
     docs = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat on the mat with that hat", "en"), ("der hund und die katze sind da", "de")] * 2)]
-    params = L.LangidParams(segment=16)
     model = L.learn_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), params)
-    texts = ["that cat und", "", "the mat die zzz katze the hat sat on that cat again and again", None, "q"]
-    step, codes = L._tables(model)
-    counts, lengths = L.count_phrases(pa.array(texts), model, step, codes, params)
+    rng = random.Random(6)
+    made = [" ".join(rng.choice("the cat mat hund katze da zzz ж sonder".split()) for _ in range(n)) for n in (300, 1, 40, 900)]
+    texts = ["that cat und", "", "the mat die zzz katze the hat sat on that cat again and again", None, "q", *made, "katzeundhund" * 200]
+    counts, lengths = L.count_phrases(pa.array(texts), model, L.transitions(model, params), params)
     for text, row, n in zip(texts, counts, lengths):
         whole = text or ""
         assert n == len(whole)
         for lang, got in zip(model.languages, row):
-            taught = " ".join(t for _, t, la in docs if la == lang)
-            want = sum(plain_phrases(whole[a : a + 16], taught) for a in range(0, len(whole), 16))
-            assert got == want, (text, lang)
+            taught = " ".join(t for _, t, la in docs if la == lang) + " "
+            assert got == plain_phrases(whole, taught), (text, lang)
+
+
+def test_transitions_of_many_letters_stay_small():
+    rng = random.Random(2)
+    text = [rng.randrange(0x4E00, 0x4E00 + 3000) for _ in range(60_000)]
+    edges = np.array([(s, c, t) for s, out in enumerate(L.suffix_automaton(text)) for c, t in out.items()], np.int32)
+    model, params = L.LangidModel(["zh"], np.zeros(1, np.int64), edges, int(edges[:, 2].max()) + 1), L.LangidParams()
+    step = L.transitions(model, params)
+    assert sum(x.nbytes for x in (step.table, step.columns, step.codes, step.keys, step.states)) < 64 << 20
+    known = "".join(map(chr, text[1000:1100]))
+    counts, _ = L.count_phrases(pa.array([known, known + "Ω" + known]), model, step, params)
+    assert counts.tolist() == [[1], [3]]
+
+
+def test_what_is_taught_of_long_texts_is_bounded():
+    chars, starts = L._characters(pa.array(["abc" * 5000, "tiny", None, "x" * 100]))
+    taught = L._taught(chars, starts, 1000)
+    assert 900 <= len(taught) <= 1000 and (taught == ord("x")).sum() == 100 and (taught == L.GAP).sum() == 4
+    assert len(L._taught(*L._characters(pa.array([], pa.string())), 10)) == 0
 
 
 def test_language_on_held_out_documents(documents):
