@@ -11,12 +11,12 @@ from tessera.llm.chat import END, START, format_conversations, masked_text
 from tessera.llm.imatch import fingerprint_edits
 from tessera.llm.langid import learn_languages, predict_language
 from tessera.llm.media import media_features, new_store, read_media, store_media
-from tessera.llm.mixing import taken, with_draws
+from tessera.llm.mixing import draw, mix_sources, words_in
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pieces import decode_pieces, encode_pieces
 from tessera.llm.quality import QualityParams, learn_quality, score_quality
 from tessera.llm.sharding import shard_documents
-from tessera.llm.shared import held_out, in_training
+from tessera.llm.shared import held_out, in_training, materialize
 from tessera.llm.toxicity import ToxicityParams, score_toxicity, train_toxicity
 from tessera.llm.quality import labelled
 
@@ -66,10 +66,15 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document a mix by source weights takes."""
-    drawn = with_draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
-    shards = F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
-    return drawn.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken(F.col("draws")).alias("taken"), shards.alias("shards"))
+    """How many words of every document are in a mix by source weights, counted in the mixed rows as they were written."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    drawn = draw(documents)
+    mixed = materialize(mix_sources(documents, drawn=drawn), "mixed")
+    counted = mixed.select("source", "mix_first", words_in(F.col("text")).alias("words"), "mix_shard")
+    taken = counted.groupBy(F.col("source").alias("of"), "mix_first").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("mix_shard")).alias("shards"))
+    found = F.col("source").eqNullSafe(F.col("of")) & (F.col("first_word") == F.col("mix_first")) & (F.col("size") > 0)
+    rows = drawn.rows.select(F.col("row.doc_id").alias("doc_id"), "source", "first_word", "size", "source_size", "target").join(taken, found, "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "shards")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

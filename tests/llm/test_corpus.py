@@ -13,7 +13,7 @@ import corpus_pipeline
 from tessera.llm import mixing as X
 from tessera.llm import neardup as N
 from tessera.llm import sharding as S
-from tessera.llm.shared import ranked
+from tessera.llm.shared import materialize, ranked
 
 
 def test_ranks_without_one_window(spark):
@@ -32,19 +32,29 @@ def test_targets_are_shared_again():
 
 def test_plans_take_exactly_the_target():
     rng = random.Random(2)
-    for _ in range(300):
+    for k in range(300):
         size = rng.randint(1, 5000)
         target = rng.random() * 3 * size
-        p = X.plan("s", size, target, X.MixParams(blocks=rng.choice([1, 7, 64])), size * 4)
+        p = X.plan("s", size, target, X.MixParams(blocks=rng.choice([1, 7, 64])), size * 4, k)
+        orders = {}
         got = 0
         for draw in range(p.draws):
-            place = draw % p.n_blocks
-            block = next(j for j in range(p.n_blocks) if (p.step * j + p.shift) % p.n_blocks == place) if p.n_blocks < 100 else None
-            if block is None:
-                break
-            got += min((block + 1) * p.block, size) - block * p.block
-        else:
-            assert got - p.cut == p.words == round(target) and 0 <= p.cut < max(1, p.block)
+            of = draw // p.n_blocks
+            if of not in orders:
+                orders[of] = {X.place_of(j, p.n_blocks, p.key, of, 12): j for j in range(p.n_blocks)}
+                assert len(orders[of]) == p.n_blocks
+            j = orders[of][draw % p.n_blocks]
+            got += min((j + 1) * p.block, size) - j * p.block
+        assert got - p.cut == p.words == round(target) and 0 <= p.cut < max(1, p.block)
+
+
+def test_permutations_depend_on_seed_and_pass(spark):
+    orders = {(key, of): [X.place_of(j, 100, key, of, 12) for j in range(100)] for key in (1, 2) for of in (0, 1)}
+    assert all(sorted(o) == list(range(100)) for o in orders.values()) and len({tuple(o) for o in orders.values()}) == 4
+    steps = collections.Counter((b - a) % 100 for a, b in itertools.pairwise(orders[1, 0]))
+    assert max(steps.values()) < 10  # no progression
+    row = spark.sql(f"select j, {X._PLACE.format(last=11)} as place from (select id as j, 100L as n_blocks, 2L as key, 1 as pass from range(100))")
+    assert [r["place"] for r in row.orderBy("j").collect()] == orders[2, 1]
 
 
 def test_the_tree_splits_exactly():
@@ -57,7 +67,7 @@ def test_the_tree_splits_exactly():
 
 
 def test_mix_of_documents(spark, documents):
-    drawn = X.with_draws(documents).select("row.*", "size", "target", "draws", X.taken(F.col("draws")).alias("taken")).collect()
+    drawn = X.draw(documents).rows.select("row.*", "size", "target", "draws", X.taken(F.col("draws")).alias("taken")).collect()
     assert len(drawn) == documents.count()
     by = collections.defaultdict(list)
     for r in drawn:
@@ -70,19 +80,32 @@ def test_mix_of_documents(spark, documents):
     assert set(shards) <= set(range(64))
     mixed = X.mix_sources(documents).collect()
     words = collections.Counter()
+    by_shard = collections.Counter()
+    for r in mixed:
+        by_shard[r["mix_shard"]] += len(r["text"].split())
+    planned = collections.Counter()
+    for r in drawn:
+        for d in r["draws"] or []:
+            planned[d["shard"]] += d["to_word"] - d["from_word"]
+    assert by_shard == planned and len(planned) == 64
+    again = materialize(X.mix_sources(documents), "test-mixed").withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    orders = collections.defaultdict(list)
+    for r in again.orderBy("at").collect():
+        orders[r["file"], r["mix_shard"]].append(r["mix_place"])
+    assert len(orders) == 64 and all(o == sorted(o) for o in orders.values())
     texts = {r["doc_id"]: r["text"] for r in drawn}
     for r in mixed:
         words[r["doc_id"]] += len(r["text"].split())
         assert " ".join(r["text"].split()) in " ".join(texts[r["doc_id"]].split())
     assert words == collections.Counter({r["doc_id"]: r["taken"] for r in drawn if r["taken"]})
-    again = {(r["doc_id"], X_taken) for r, X_taken in ((r, r["taken"]) for r in X.with_draws(documents).select("row.*", X.taken(F.col("draws")).alias("taken")).collect())}
+    again = {(r["doc_id"], X_taken) for r, X_taken in ((r, r["taken"]) for r in X.draw(documents).rows.select("row.*", X.taken(F.col("draws")).alias("taken")).collect())}
     assert again == {(r["doc_id"], r["taken"]) for r in drawn}
 
 
 def test_odd_mixes(odd_documents, empty_documents):
-    out = X.with_draws(odd_documents).select("row.row", "source_size", X.taken(F.col("draws")).alias("taken"), "size").collect()
+    out = X.draw(odd_documents).rows.select("row.row", "source_size", X.taken(F.col("draws")).alias("taken"), "size").collect()
     assert len(out) == 19 and all(r["taken"] <= 3 * r["size"] for r in out)
-    assert X.with_draws(empty_documents).count() == 0 and X.mix_sources(empty_documents).count() == 0
+    assert X.draw(empty_documents).rows.count() == 0 and X.mix_sources(empty_documents).count() == 0
 
 
 def plain_distance(a, b):
