@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import mix, slices, text_bytes
-from tessera.llm.shared import shared_path
+from tessera.llm.shared import materialize, shared_path
 
 #: Random value of each byte; fixed by rule.
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 41) >> np.uint64(32)).astype(np.uint32)
@@ -33,7 +35,8 @@ class MediaParams:
     mask_bits: int = 10  #: a cut every 2**mask_bits bytes or so
     max_chunk: int = 8192
     rate: int = 8000  #: samples a second
-    filter_bits: int = 23  #: size of the filter that tells which digests may be shared
+    cells_each: int = 16  #: bits of the filter that tells which digests may be shared, for each of them
+    most_bits: int = 28  #: of the filter: 2**most_bits, 32 MB; beyond, more chunks are taken for shared that aren't
 
 
 def wav_header(n: int, rate: int) -> bytes:
@@ -99,28 +102,34 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _possibly_shared(documents: DataFrame, text: str, params: MediaParams) -> np.ndarray:
-    """A bitmap of 2**filter_bits cells in which every digest that occurs more than once has its cell set.
+_BLOCK = 1 << 16  #: bits of the filter that are made in one group
 
-    Its size doesn't grow with the corpus. A full one would only send more chunks to the chunk table.
+
+def _possibly_shared(digests: DataFrame, params: MediaParams) -> np.ndarray:
+    """A bitmap in which each digest (a long) that occurs more than once in `digests` has its cell set.
+
+    It has `params.cells_each` cells for each such digest, up to a fixed bound, so as the corpus grows the part of its cells that is
+    set stays; where the bound is met, more chunks go to the chunk table than need to.
     """
+    seen = materialize(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "media-shared")
+    bits = min(params.most_bits, max(16, (params.cells_each * seen.count()).bit_length()))
+    cell = F.col("digest").bitwiseAND((1 << bits) - 1)
 
-    @F.arrow_udf("array<bigint>")
-    def digests(texts: pa.Array) -> pa.Array:
-        return pa.array([[_short(hashlib.sha256(c).digest()) for c in chunks] for _, _, chunks in _chunked(texts, params)], pa.list_(pa.int64()))
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(_BLOCK, bool)
+        own[rows["cell"].to_numpy() % _BLOCK] = True
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    seen = documents.select(F.explode(digests(F.col(text))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cell = F.col("digest").bitwiseAND((1 << params.filter_bits) - 1)
-    bits = F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
-    words = seen.select(cell.alias("cell")).groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(bits).toPandas()
-    out = np.zeros((1 << params.filter_bits) // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    cells = seen.select(cell.alias("cell")).distinct().withColumn("block", F.shiftright("cell", _BLOCK.bit_length() - 1))
+    out = np.zeros((1 << bits) // _BLOCK * (_BLOCK // 8), np.uint8).reshape(-1, _BLOCK // 8)
+    for r in cells.groupBy("block").applyInPandas(block, "block long, bits binary").collect():  # at most 2**most_bits bits in all
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 @dataclass(frozen=True)
 class MediaStore:
-    """Folders of the two tables. manifests: (medium, keys..., n_bytes, media_sha256, header, chunks) with chunks an
+    """Folders of the two tables. manifests: (medium, keys, n_bytes, media_sha256, header, chunks), with keys a struct and chunks an
     ordered array of digest and, if kept there, bytes. chunks: (digest, bytes), each digest once."""
 
     manifests: str
@@ -128,21 +137,32 @@ class MediaStore:
 
 
 def store_media(documents: DataFrame, store: MediaStore, keys: list[str], params: MediaParams = MediaParams(), text: str = "text") -> None:
-    """Write every text (null: empty) as a medium. Adds to a store that exists: chunks it has are not written again.
+    """Write every text (null: empty) as a medium. Adds to a store that exists: chunks that its chunk table has are not written again, and of
+    a chunk that so far only one manifest holds the table gets a copy, to which all later media refer.
 
-    `keys` are kept in the manifests. Repeated rows and equal texts are media of their own whose chunks are shared.
+    `keys` are kept in the manifests, whatever they are called. Repeated rows and equal texts are media of their own whose chunks are shared.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(_possibly_shared(documents, text, params))
     piece = "struct<digest: binary, bytes: binary>"
 
+    @F.arrow_udf("array<bigint>")
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array([[_short(hashlib.sha256(c).digest()) for c in chunks] for _, _, chunks in _chunked(texts, params)], pa.list_(pa.int64()))
+
+    all_digests = documents.select(F.explode(digests(F.col(text))).alias("digest"))
+    manifests = _existing(spark, store.manifests, f"chunks array<{piece}>")
+    if manifests is not None:
+        first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+        all_digests = all_digests.unionByName(manifests.select(F.explode("chunks.digest").alias("digest")).select(first.alias("digest")))
+    shared = spark.sparkContext.broadcast(_possibly_shared(all_digests, params))
+
     def listed(counts: list[int], digests: list[bytes], content: list[bytes | None]) -> pa.Array:
         values = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(content, pa.binary())], ["digest", "bytes"])
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
 
     def may_share(digest: bytes) -> bool:
-        cell = _short(digest) & ((1 << params.filter_bits) - 1)
-        return bool(int(shared.value[cell >> 6]) >> (cell & 63) & 1)
+        cell = _short(digest) & (8 * len(shared.value) - 1)
+        return bool(int(shared.value[cell >> 3]) >> (cell & 7) & 1)
 
     @F.arrow_udf(f"struct<n_bytes: bigint, media_sha256: string, header: binary, chunks: array<{piece}>>")
     def manifest(texts: pa.Array) -> pa.Array:
@@ -168,21 +188,22 @@ def store_media(documents: DataFrame, store: MediaStore, keys: list[str], params
             content += found.values()
         return listed(counts, digests, content)
 
-    own = documents.select(F.monotonically_increasing_id().alias("medium"), *keys, manifest(F.col(text)).alias("m"))
-    own.select("medium", *keys, "m.*").write.mode("append").option("compression", "zstd").parquet(store.manifests)
+    medium = F.concat(F.lit(f"{uuid.uuid4().hex}-"), F.monotonically_increasing_id().cast("string"))
+    own = documents.select(medium.alias("medium"), F.struct(*keys).alias("keys"), manifest(F.col(text)).alias("m"))
+    own.select("medium", "keys", "m.*").write.mode("append").option("compression", "zstd").parquet(store.manifests)
     found = documents.select(F.explode(sharable(F.col(text))).alias("c")).select("c.*")
     once = found.groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    known = _existing(spark, store.chunks)
+    known = _existing(spark, store.chunks, "digest binary")
     if known is not None:
-        once = once.join(known.select("digest"), "digest", "left_anti")
+        once = once.join(known, "digest", "left_anti")
     once.write.mode("append").option("compression", "zstd").parquet(store.chunks)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("digest binary, bytes binary").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing there yet
         return None
 
@@ -191,12 +212,12 @@ def read_media(spark: SparkSession, store: MediaStore, keys: list[str]) -> DataF
     """(keys..., n_bytes, media_sha256, media): media rebuilt from their chunk lists, in order, and verified.
 
     A medium whose chunks are all in its manifest needs no join. A chunk that is missing, or bytes that don't give
-    the medium's digest, end the job with an error.
+    the medium's digest, end the job with an error. Keys called n_bytes, media_sha256 or media give way to these columns.
     """
     manifests = spark.read.parquet(store.manifests)
     chunks = spark.read.parquet(store.chunks).select("digest", F.col("bytes").alias("stored"))
     incomplete = F.exists("chunks", lambda c: c["bytes"].isNull())
-    columns = ["medium", *keys, "n_bytes", "media_sha256", "header"]
+    columns = ["medium", "keys", "n_bytes", "media_sha256", "header"]
     alone = manifests.where(~incomplete).select(*columns, F.transform("chunks", lambda c: c["bytes"]).alias("parts"))
     lists = manifests.where(incomplete).select("medium", F.posexplode("chunks").alias("place", "chunk")).select("medium", "place", "chunk.*")
     found = lists.join(chunks, "digest", "left").select("medium", F.struct("place", F.coalesce("bytes", "stored").alias("bytes")).alias("part"))
@@ -213,7 +234,8 @@ def read_media(spark: SparkSession, store: MediaStore, keys: list[str]) -> DataF
             out.append(media)
         return pa.array(out, pa.binary())
 
-    return alone.unionByName(joined).select(*keys, "n_bytes", "media_sha256", rebuilt("header", "parts", "media_sha256").alias("media"))
+    own = [F.col("keys")[k].alias(k) for k in keys if k not in ("n_bytes", "media_sha256", "media")]
+    return alone.unionByName(joined).select(*own, "n_bytes", "media_sha256", rebuilt("header", "parts", "media_sha256").alias("media"))
 
 
 def media_features(media: Column) -> Column:

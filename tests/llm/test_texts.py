@@ -78,15 +78,32 @@ def test_media_equal_plain_bytes(spark, documents):
         assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
     chunks = spark.read.parquet(store.chunks)
     assert chunks.count() == chunks.select("digest").distinct().count() > 0
-    before = chunks.count()
-    M.store_media(documents.select("doc_id", "text"), store, ["doc_id"])  # once more: its shared chunks are there
+    M.store_media(documents.select("doc_id", "text"), store, ["doc_id"])  # now all its chunks are shared
+    known = spark.read.parquet(store.chunks)
+    before = known.count()
+    assert before == known.select("digest").distinct().count() and chunks.join(known, "digest", "left_anti").count() == 0
+    M.store_media(documents.select("doc_id", "text"), store, ["doc_id"])
     assert spark.read.parquet(store.chunks).count() == before
+    assert spark.read.parquet(store.manifests).select("medium").distinct().count() == 3 * len(want)
+    again = M.read_media(spark, store, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.substring("media", 45, 10**6)).alias("media")).collect()
+    assert all(r["n"] == 3 and len(r["media"]) == 1 and r["media"][0].rstrip(b"\0") == want[r["doc_id"]].rstrip(b"\0") for r in again) and len(again) == len(want)
+
+
+def test_the_filter_has_every_shared_digest_and_few_others(spark):
+    params = M.MediaParams()
+    digests = spark.range(20_000).select(F.xxhash64("id").alias("digest")).cache()
+    shared = digests.limit(5000)
+    bitmap = M._possibly_shared(digests.unionByName(shared), params)
+    cells = [d["digest"] & (8 * len(bitmap) - 1) for d in digests.collect()]
+    hits = sum(int(bitmap[c >> 3]) >> (c & 7) & 1 for c in cells)
+    assert 5000 <= hits < 5000 + 0.2 * 15_000 and len(bitmap) <= 1 << (params.most_bits - 3)
 
 
 def test_odd_media(spark, odd_documents, empty_documents):
     store = M.new_store(spark)
-    M.store_media(odd_documents, store, ["doc_id", "row"])
-    got = M.read_media(spark, store, ["doc_id", "row"])
+    M.store_media(odd_documents.withColumn("chunks", F.lit(1)).withColumn("medium", F.lit("m")), store, ["doc_id", "row", "chunks", "medium"])
+    got = M.read_media(spark, store, ["doc_id", "row", "chunks", "medium"])
+    assert got.where("chunks = 1 and medium = 'm'").count() == 19
     assert got.count() == 19 and got.where("n_bytes = 0 and length(media) = 44 + 64").count() == 5
     store = M.new_store(spark)
     M.store_media(empty_documents, store, ["doc_id"])
