@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time; a longer text is still taken whole.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are hashed at a time; a longer text is taken in windows, each as long as that or one token.
+CHUNK_BYTES = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
@@ -79,6 +79,7 @@ class Tokens:
     data: np.ndarray  #: the bytes
     offsets: np.ndarray  #: each text's first byte, and the end
     sums: np.ndarray  #: prefix hashes of `data`
+    before: int = 0  #: bytes of the (only) text that earlier windows held
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes from each start to each end."""
@@ -106,18 +107,45 @@ def slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.A
         doc = last
 
 
-def tokenised(texts: pa.Array, classes: np.ndarray = CLASSES, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Tokens]:
-    """Runs of bytes of one class, without those of class SPACE, in chunks of whole texts. `fold` maps bytes to bytes, such as to lower case."""
+def windows(data: np.ndarray, breaks: tuple[np.ndarray, ...], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most `most` bytes, each to the last byte of the first table of `breaks` that has one there; without any, up to the next of the last table."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + most)
+        if end < len(data):
+            for table in breaks:
+                found = np.flatnonzero(table[data[at:end]])
+                if len(found):
+                    end = at + int(found[-1]) + 1
+                    break
+            else:
+                while end < len(data) and not breaks[-1][data[end - 1]]:
+                    step = np.flatnonzero(breaks[-1][data[end : end + most]])
+                    end = end + int(step[0]) + 1 if len(step) else min(len(data), end + most)
+        yield at, end
+        at = end
+
+
+def tokenised(texts: pa.Array, classes: np.ndarray = CLASSES, fold: Callable[[np.ndarray], np.ndarray] | None = None, breaks: tuple[np.ndarray, ...] = ()) -> Iterator[Tokens]:
+    """Runs of bytes of one class, without those of class SPACE, in chunks of whole texts, or of windows of a longer text. `fold` maps bytes to bytes, such as to lower case.
+
+    Windows end with a byte of `breaks`, or of class SPACE if there is none. All windows of a text have its number as `first_doc`, the later ones a `before`.
+    """
     data, offsets = text_bytes(texts)
-    data = fold(data) if fold else data
+    fold = fold or (lambda x: x)
     doc = 0
     while doc < len(offsets) - 1:
         last = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + CHUNK_BYTES, "right")) - 1)
-        yield _tokens(data[offsets[doc] : offsets[last]], offsets[doc : last + 1] - offsets[doc], doc, classes)
+        own = data[offsets[doc] : offsets[last]]
+        if len(own) <= CHUNK_BYTES:
+            yield _tokens(fold(own), offsets[doc : last + 1] - offsets[doc], doc, classes)
+        else:
+            for a, b in windows(own, (*breaks, classes == SPACE), CHUNK_BYTES):
+                yield _tokens(fold(own[a:b]), np.array([0, b - a]), doc, classes, a)
         doc = last
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray, first_doc: int, table: np.ndarray) -> Tokens:
+def _tokens(data: np.ndarray, offsets: np.ndarray, first_doc: int, table: np.ndarray, before: int = 0) -> Tokens:
     n = len(data)
     kinds = table[data]
     cut = np.ones(n + 1, bool)
@@ -129,7 +157,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, first_doc: int, table: np.nda
     starts, ends = starts[kept], ends[kept]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * _powers(n + 1)[0][:n], out=sums[1:])
-    tokens = Tokens(first_doc, sums, kinds[starts], starts, ends, np.searchsorted(starts, offsets), data, offsets, sums)
+    tokens = Tokens(first_doc, sums, kinds[starts], starts, ends, np.searchsorted(starts, offsets), data, offsets, sums, before)
     tokens.hashes = tokens.span_hashes(starts, ends)
     return tokens
 

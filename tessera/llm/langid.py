@@ -33,8 +33,8 @@ class LangidParams:
     sample_docs: int = 64  #: of each language, the least by a hash of the id
     segment: int = 512  #: characters that are parsed side by side; phrases go on over their ends
     settled: int = 64  #: characters of a segment after which its parse seldom depends on where it began
-    dense: int = 62  #: most frequent letters, which have a column in the table of transitions; the others' are looked up
-    chunk: int = 1 << 20  #: bytes of text that are parsed at a time
+    dense: int = 46  #: most frequent letters, which have a column in the table of transitions; the others' are looked up
+    chunk: int = 1 << 19  #: bytes of text that are parsed at a time
 
 
 @dataclass(frozen=True)

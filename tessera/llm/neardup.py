@@ -48,6 +48,16 @@ def _words(tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return tok.hashes[kept], before[tok.doc_starts]
 
 
+def _all_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of all texts of a slice, long ones joined from their windows."""
+    parts, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for tok in tokenised(texts, fold=lower_bytes):
+        words, starts = _words(tok)
+        parts.append(words)
+        counts[tok.first_doc : tok.first_doc + len(starts) - 1] += np.diff(starts)
+    return np.concatenate(parts), np.append(0, np.cumsum(counts))
+
+
 def _shingles(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of `width` words, and where each text's begin; a shorter text has one run of all its words."""
     n = np.diff(starts)
@@ -234,18 +244,17 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
         counts, parts, n = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
         bits = np.zeros((len(texts), params.bits // 64), np.int64)
         for first, part in slices(texts, params.slice_bytes):
-            for tok in tokenised(part, fold=lower_bytes):
-                words, starts = _words(tok)
-                bits[first + tok.first_doc : first + tok.first_doc + len(starts) - 1] = word_bits(words, starts, params.bits)
-                full = np.flatnonzero(np.diff(starts))
-                n[first + tok.first_doc : first + tok.first_doc + len(starts) - 1] = np.diff(starts)
-                if len(full):
-                    shingles, begins = _shingles(words, np.append(starts[full], starts[-1]), params.words)
-                    own = order_sketches(shingles, begins, params)
-                    for k, bands in zip(full.tolist(), own):
-                        x, y = starts[k], starts[k + 1]
-                        parts.append(np.concatenate([bands, short_bands(words[x:y], params)]) if y - x <= params.short else bands)
-                        counts[first + tok.first_doc + k] = len(parts[-1])
+            words, starts = _all_words(part)
+            bits[first : first + len(part)] = word_bits(words, starts, params.bits)
+            full = np.flatnonzero(np.diff(starts))
+            n[first : first + len(part)] = np.diff(starts)
+            if len(full):
+                shingles, begins = _shingles(words, np.append(starts[full], starts[-1]), params.words)
+                own = order_sketches(shingles, begins, params)
+                for k, bands in zip(full.tolist(), own):
+                    x, y = starts[k], starts[k + 1]
+                    parts.append(np.concatenate([bands, short_bands(words[x:y], params)]) if y - x <= params.short else bands)
+                    counts[first + k] = len(parts[-1])
         bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
         ends = pa.array(np.arange(len(texts) + 1) * bits.shape[1], pa.int32())
         return pa.StructArray.from_arrays([pa.array(n), bands, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], ["n", "bands", "bits"])
@@ -260,10 +269,9 @@ def word_lists(texts: DataFrame, params: NeardupParams) -> DataFrame:
     def listed(values: pa.Array) -> pa.Array:
         out = []
         for _, part in slices(values, params.slice_bytes):
-            for tok in tokenised(part, fold=lower_bytes):
-                words, starts = _words(tok)
-                words = (words >> np.uint64(32)).astype(np.uint32)
-                out += [words[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])]
+            words, starts = _all_words(part)
+            words = (words >> np.uint64(32)).astype(np.uint32)
+            out += [words[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])]
         return pa.array(out, pa.binary())
 
     return texts.select(F.col("uid").alias("node"), listed("__text").alias("words"))

@@ -62,10 +62,10 @@ class Encoder:
     words: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
     held: int = 0  #: bytes of `words`, about
-    most_held: int = 6 << 20
+    most_held: int = 24 << 20
     longest: int = 256  #: characters of a word that is kept
     judged: list[_Node] = field(default_factory=list)  #: a node for each verdict in any `after`
-    most_judged: int = 60_000
+    most_judged: int = 250_000
     window: int = 1 << 18  #: characters of a text that are taken at a time
 
     @classmethod

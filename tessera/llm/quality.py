@@ -43,22 +43,30 @@ _REPEATED = mix(np.arange(8, dtype=np.uint64), 99)
 
 
 def _features(texts: pa.Array, bits: int, grams: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For a few texts at a time: index of the first, feature numbers, and where each text's begin (and the end)."""
+    """For a few texts at a time: index of the first, feature numbers, and where each text's begin (and the end).
+
+    A long text comes in several parts of the same index, whose n-grams reach back into the part before.
+    """
     shift = np.uint64(64 - bits)
+    tail = np.zeros(0, np.uint64)
     for tok in tokenised(texts):
         n_docs = len(tok.doc_starts) - 1
-        doc = np.repeat(np.arange(n_docs), np.diff(tok.doc_starts))
-        hashes, owners, last = [tok.hashes], [doc], tok.hashes
+        tail = tail[len(tail) - (grams - 1) :] if tok.before else tail[:0]
+        all_hashes = np.concatenate([tail, tok.hashes])
+        doc = np.concatenate([np.zeros(len(tail), np.int64), np.repeat(np.arange(n_docs), np.diff(tok.doc_starts))])
+        new = np.arange(len(doc)) >= len(tail)
+        hashes, owners, last = [all_hashes[new]], [doc[new]], all_hashes
         for n in range(1, grams):
-            if len(tok.hashes) <= n:
+            if len(all_hashes) <= n:
                 break
-            same = doc[:-n] == doc[n:]
-            last = mix(last[:-1] * np.uint64(3) + tok.hashes[n:], n)
-            hashes.append(np.where(tok.hashes[:-n] == tok.hashes[n:], _REPEATED[n % len(_REPEATED)], last))
+            same = (doc[:-n] == doc[n:]) & new[n:]
+            last = mix(last[:-1] * np.uint64(3) + all_hashes[n:], n)
+            hashes.append(np.where(all_hashes[:-n] == all_hashes[n:], _REPEATED[n % len(_REPEATED)], last))
             owners.append(np.where(same, doc[:-n], -1))
         at, owner = np.concatenate(hashes) >> shift, np.concatenate(owners)
         at, owner = at[owner >= 0].astype(np.int64), owner[owner >= 0]
         order = np.argsort(owner, kind="stable")
+        tail = all_hashes
         yield tok.first_doc, at[order], np.searchsorted(owner[order], np.arange(n_docs + 1))
 
 
@@ -74,6 +82,22 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, usable: Column
     return found.drop("__id").where(F.col("text").isNotNull())
 
 
+def _counted(texts: pa.Array, bits: int, grams: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct features of each text and how often it has them."""
+    held, at_doc = (np.zeros(0, np.int64), np.zeros(0, np.int64)), -1
+    for first, at, starts in _features(texts, bits, grams):
+        for doc, (a, b) in enumerate(zip(starts[:-1], starts[1:]), first):
+            found, counts = np.unique(at[a:b], return_counts=True)
+            if doc == at_doc:  # a further part of a long text
+                found, place = np.unique(np.concatenate([held[0], found]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([held[1], counts]), len(found)).astype(np.int64)
+            elif at_doc >= 0:
+                yield held
+            held, at_doc = (found, counts), doc
+    if at_doc >= 0:
+        yield held
+
+
 def train_quality(sample: DataFrame, params: QualityParams = QualityParams()) -> LinearModel:
     """Learn from (doc_id, text, label 0/1): each shard of the sample runs its updates in order of ids, and Spark averages the shards.
 
@@ -85,10 +109,8 @@ def train_quality(sample: DataFrame, params: QualityParams = QualityParams()) ->
         rows = rows.sort_values(["doc_id", "text"])
         y = rows["label"].to_numpy()
         docs = []
-        for _, at, starts in _features(pa.array(rows["text"], pa.large_string()), params.bits, params.grams):
-            for a, b in zip(starts[:-1], starts[1:]):
-                found, counts = np.unique(at[a:b], return_counts=True)
-                docs.append((np.append(found, size), np.append(counts * (params.scale / max(1, b - a)), 1.0)))
+        for found, counts in _counted(pa.array(rows["text"], pa.large_string()), params.bits, params.grams):
+            docs.append((np.append(found, size), np.append(counts * (params.scale / max(1, counts.sum())), 1.0)))
         model = Leader(size, params.alpha, params.beta, params.l1, params.l2)
         for _ in range(params.epochs):
             for (found, x), label in zip(docs, y):
@@ -118,11 +140,11 @@ def score_quality(documents: DataFrame, model: LinearModel, params: QualityParam
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        w, out = shared.value, np.zeros(len(texts))
+        w, out, n = shared.value, np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for first, at, starts in _features(texts, params.bits, params.grams):
-            n = np.maximum(1, np.diff(starts))
-            out[first : first + len(n)] = segment_sums(w[at].astype(np.float64), starts) * (params.scale / n)
-        return pa.array(sigmoid(out + float(w[-1])))
+            out[first : first + len(starts) - 1] += segment_sums(w[at].astype(np.float64), starts)
+            n[first : first + len(starts) - 1] += np.diff(starts)
+        return pa.array(sigmoid(out * (params.scale / np.maximum(1, n)) + float(w[-1])))
 
     return documents.withColumn(score, scored(F.col(text)))
 

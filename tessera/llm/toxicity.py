@@ -60,8 +60,11 @@ class Sentences:
 
 
 def sentences(texts: pa.Array, bits: int) -> Iterator[Sentences]:
-    """Sentences end at . ! ? or a line's end. Features: words in lower case, their beginnings, and pairs of words next to each other in a sentence."""
-    for tok in tokenised(texts, fold=lower_bytes):
+    """Sentences end at . ! ? or a line's end. Features: words in lower case, their beginnings, and pairs of words next to each other in a sentence.
+
+    A text of over kernels.CHUNK_BYTES comes in windows of whole sentences, with the same first_doc; a sentence longer than that ends with the last word that fits.
+    """
+    for tok in tokenised(texts, fold=lower_bytes, breaks=(_ENDS,)):
         yield _split(tok, bits)
 
 
@@ -87,8 +90,8 @@ def _split(tok: Tokens, bits: int) -> Sentences:
     owner, found = np.concatenate(owners), np.concatenate(grams) >> np.uint64(64 - bits)
     order = np.argsort(owner, kind="stable")
     last = np.append(first[1:], len(key))
-    begin = starts[first] - tok.offsets[doc[first]]
-    return Sentences(tok.first_doc, found[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(first) + 1)), np.searchsorted(doc[first], np.arange(n_docs + 1)), begin, ends[last - 1] - tok.offsets[doc[first]] if len(first) else begin)
+    begin = starts[first] - tok.offsets[doc[first]] + tok.before
+    return Sentences(tok.first_doc, found[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(first) + 1)), np.searchsorted(doc[first], np.arange(n_docs + 1)), begin, ends[last - 1] - tok.offsets[doc[first]] + tok.before if len(first) else begin)
 
 
 def noisy_or(p: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
@@ -107,12 +110,14 @@ def train_toxicity(sample: DataFrame, params: ToxicityParams = ToxicityParams())
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"])
-        y, docs = rows["label"].to_numpy(), []
+        y, parts = rows["label"].to_numpy(), [[] for _ in range(len(rows))]
         for s in sentences(pa.array(rows["text"], pa.large_string()), params.bits):
-            for a, b in zip(s.doc_starts[:-1], s.doc_starts[1:]):
-                at = s.features[s.starts[a] : s.starts[b]]
-                found, place = np.unique(at, return_inverse=True)
-                docs.append((np.append(found, size), place, s.starts[a : b + 1] - s.starts[a]))
+            for k, (a, b) in enumerate(zip(s.doc_starts[:-1], s.doc_starts[1:]), s.first_doc):
+                parts[k].append((s.features[s.starts[a] : s.starts[b]], np.diff(s.starts[a : b + 1])))
+        docs = []
+        for own in parts:
+            found, place = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+            docs.append((np.append(found, size), place, np.append(0, np.cumsum(np.concatenate([n for _, n in own])))))
         model = Leader(size, params.alpha, params.beta, params.l1, params.l2)
         for _ in range(params.epochs):
             for (found, place, starts), label in zip(docs, y):
@@ -156,9 +161,10 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, params: ToxicityP
         for s in sentences(texts, params.bits):
             p = sigmoid(segment_sums(w[s.features].astype(np.float64), s.starts) + float(w[-1]) + params.prior)
             rows = slice(s.first_doc, s.first_doc + len(s.doc_starts) - 1)
-            score[rows], count[rows] = noisy_or(p, s.doc_starts), np.diff(s.doc_starts)
+            score[rows] = 1 - (1 - score[rows]) * (1 - noisy_or(p, s.doc_starts))
+            count[rows] += np.diff(s.doc_starts)
             hit = p >= params.offending
-            bad[rows] = segment_sums(hit.astype(np.float64), s.doc_starts).astype(np.int64)
+            bad[rows] += segment_sums(hit.astype(np.float64), s.doc_starts).astype(np.int64)
             begin.append(s.begin[hit]), end.append(s.end[hit]), own.append(p[hit])
         parts = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((begin, np.int64), (end, np.int64), (own, np.float64))]
         spans = pa.StructArray.from_arrays([pa.array(x) for x in parts], fields=list(span))

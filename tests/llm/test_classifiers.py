@@ -1,7 +1,10 @@
 """Quality, toxicity and language: held-out accuracy, slopes against plain sums, brute-force parsing, odd input."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm import langid as L
+from tessera.llm import neardup as N
 from tessera.llm import quality as Q
 from tessera.llm import toxicity as T
 from tessera.llm.linear import Leader, sigmoid
@@ -175,3 +179,47 @@ def test_odd_documents(spark, odd_documents, empty_documents):
         assert named.where("score < 0 or score > 1 or rate > 1").count() == 0 and named.count() == 19
         for f in (lambda d: Q.score_quality(d, model), lambda d: T.score_toxicity(d, toxic), lambda d: L.predict_language(d, langs)):
             assert f(empty_documents).count() == 0
+
+
+def test_long_texts_in_windows_give_the_same(monkeypatch):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["The", "cat", "sat.", "Mat!", "on\n", "éa", "x9y"]) for _ in range(400))
+    texts = pa.array(["a b c", long, None, long[:70], "y" * 200 + ". end of"])
+    w = np.random.default_rng(1).normal(size=(1 << 12) + 1)
+
+    def all_of():
+        counted = [(f.tolist(), c.tolist()) for f, c in Q._counted(texts, 12, 3)]
+        score, n, spans = np.zeros(5), np.zeros(5, int), [[] for _ in range(5)]
+        for s in T.sentences(texts, 12):
+            rows = slice(s.first_doc, s.first_doc + len(s.doc_starts) - 1)
+            p = sigmoid(K.segment_sums(w[s.features], s.starts))
+            score[rows] = 1 - (1 - score[rows]) * (1 - T.noisy_or(p, s.doc_starts))
+            n[rows] += np.diff(s.doc_starts)
+            for k, (a, b) in enumerate(zip(s.doc_starts[:-1], s.doc_starts[1:]), s.first_doc):
+                spans[k] += list(zip(s.begin[a:b].tolist(), s.end[a:b].tolist()))
+        words, starts = N._all_words(texts)
+        return counted, np.round(score, 9).tolist(), n.tolist(), spans, words.tolist(), starts.tolist()
+
+    whole = all_of()
+    monkeypatch.setattr(K, "CHUNK_BYTES", 64)
+    assert all_of() == whole and whole[2][1] > 100
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, sys.argv[1])
+from tessera.llm import quality as Q, toxicity as T, langid as L
+texts = pa.array(["the quick brown fox. " * 1_500_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+w = np.zeros((1 << 20) + 1, np.float32)
+for _, at, starts in Q._features(texts, 18, 3):
+    w[at].sum()
+for s in T.sentences(texts, 20):
+    w[s.features].sum()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, check=True).stdout
+    assert int(out) < 200, out
