@@ -151,10 +151,10 @@ def number_with_commas(text: Column) -> Column:
 
 
 def attendance(text: Column) -> Column:
-    """Head count from text: `1.234.567` and `19,234` by thousands, `19234.0` without its fraction."""
-    text = F.trim(text.cast("string"))
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    whole = F.when(text.rlike(r"^\d{1,3}(\.\d{3})+$"), digits).when(text.rlike(r"^\d+\.\d+$"), F.substring_index(text, ".", 1)).otherwise(digits)
+    """Head count from text: commas and white space don't count; `1234.567` and `1.234.567` are by thousands, `19,234.0` loses its fraction."""
+    bare = F.regexp_replace(text.cast("string"), r"[,\s]", "")
+    digits = F.regexp_replace(bare, "[^0-9]", "")
+    whole = F.when(bare.rlike(r"^\d+(\.\d{3})+$"), digits).when(bare.rlike(r"^\d+\.\d+$"), F.substring_index(bare, ".", 1)).otherwise(digits)
     return F.nullif(whole, F.lit("")).try_cast("int")
 
 

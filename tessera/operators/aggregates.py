@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_sum(value: Column, scale: int = 2) -> Column:
-    """Sum of money-like doubles that doesn't depend on the order of rows."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+def sum_of(value: Column, scale: int | None = None) -> Column:
+    """Sum as a double. With a scale, of values rounded to so many decimals, which doesn't depend on the order of rows; they must be below 10**(30 - scale)."""
+    return F.sum(value) if scale is None else F.sum(value.cast(f"decimal(30,{scale})")).cast("double")
 
 
-def sum_avg_count(df: DataFrame, keys: list[str], value: str, names: tuple[str, str, str] = ("total_points", "avg_points", "games")) -> DataFrame:
-    """Sum, mean and count of a value by key. Null values count in none; a group of nulls has null sum and mean and count 0."""
-    total = exact_sum(F.col(value))
+def sum_avg_count(df: DataFrame, keys: list[str], value: str, names: tuple[str, str, str] = ("total_points", "avg_points", "games"), scale: int | None = None) -> DataFrame:
+    """Sum, mean and count of a value by key. Null values count in none; a group of nulls has null sum and mean and count 0. `scale` as in sum_of."""
+    total = sum_of(F.col(value), scale)
     return df.groupBy(*keys).agg(total.alias(names[0]), F.try_divide(total, F.count(value)).alias(names[1]), F.count(value).alias(names[2]))
 
 
@@ -43,10 +43,10 @@ def win_share(df: DataFrame, keys: list[str], own: str, other: str, digits: int
     return df.groupBy(*keys).agg(F.round(won, digits).alias("win_pct"), F.round(F.avg(F.col(own) - F.col(other)), digits).alias("avg_margin"), F.count(F.lit(1)).alias("games"))
 
 
-def rounded_mean(df: DataFrame, keys: list[str], value: str, name: str, count: str) -> DataFrame:
-    """Mean of the known values, rounded to an integer, and their number."""
-    mean = F.sum(F.col(value).cast("decimal(18,2)")) / F.count(value)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.round(mean).cast("int").alias(name), F.count(value).alias(count))
+def rounded_mean(df: DataFrame, keys: list[str], value: str, name: str, count: str, scale: int | None = None) -> DataFrame:
+    """Mean of the known values, rounded to an integer (null beyond 32 bits), and their number. `scale` as in sum_of."""
+    mean = sum_of(F.col(value), scale) / F.count(value)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.round(mean).try_cast("int").alias(name), F.count(value).alias(count))
 
 
 def latest_by(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

@@ -42,8 +42,8 @@ def resolve(left: DataFrame, right: DataFrame, rules: list[Rule], keys: list[str
         prio = F.when(found.isNotNull(), F.lit(rule.priority)).otherwise(prio)
         chosen = F.coalesce(found, chosen) if rule is not max(rules, key=lambda r: r.priority) else found
     picked = out.select(*left.columns, prio.alias("prio"), chosen.alias("match"))
-    by = Window.partitionBy(*keys).orderBy("prio", F.col("match")[right_id].asc_nulls_last())
-    return picked.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
+    order = F.struct("prio", F.col("match")[right_id].isNull(), F.col("match")[right_id])
+    return picked.groupBy(*keys).agg(F.min_by(F.struct(*picked.columns), order).alias("__row")).select("__row.*")
 
 
 def fused(column: str, sources: dict[str, Column], provenance: bool = True) -> list[Column]:

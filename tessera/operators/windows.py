@@ -31,9 +31,13 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flag: str) -> Data
     return islands.withColumn("streak", F.row_number().over(within)).drop("__island")
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Rows of one page (from 1). The sort stops at the page's end, so no more rows than that are kept anywhere."""
-    return df.orderBy(*order).limit(number * size).offset((number - 1) * size)
+def page(df: DataFrame, order: list[Column], number: int, size: int, total: str | None = None) -> DataFrame:
+    """Rows of one page (from 1). The sort stops at the page's end, so no more rows than that are kept anywhere.
+
+    With `total` a column of that name has the number of all rows, from a count of its own. A page after the last one is empty.
+    """
+    rows = df.orderBy(*order).limit(number * size).offset((number - 1) * size)
+    return rows if total is None else rows.withColumn(total, df.agg(F.count(F.lit(1))).scalar())
 
 
 def standings(results: DataFrame, group: str, team: str, order: list[str], won: str) -> DataFrame:

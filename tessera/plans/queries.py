@@ -142,9 +142,9 @@ def head_to_head(games: DataFrame, home: str = "home", away: str = "away", home_
 
 
 def meetings(games: DataFrame, a: str, b: str, number: int = 1, size: int = 10) -> DataFrame:
-    """One page of the games of a pair, latest first."""
+    """One page of the games of a pair, latest first, and how many there are."""
     rows = games.where(((F.col("home_id") == a) & (F.col("away_id") == b)) | ((F.col("home_id") == b) & (F.col("away_id") == a)))
-    return W.page(rows, [F.col("game_date").desc_nulls_last(), F.col("game_id").asc_nulls_last()], number, size)
+    return W.page(rows, [F.col("game_date").desc_nulls_last(), F.col("game_id").asc_nulls_last()], number, size, total="total")
 
 
 def conference_standings(games: DataFrame) -> DataFrame:

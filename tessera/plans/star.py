@@ -53,7 +53,7 @@ SELECT CAST({_SEASON} AS INTEGER) AS season, o_custkey, CAST(sum(CAST(o_totalpri
 FROM orders GROUP BY 1, 2""")
 def agg_points(spark: SparkSession, d: str) -> DataFrame:
     """Sum, mean and count by season and team."""
-    return A.sum_avg_count(_orders(spark, d), ["season", "o_custkey"], "o_totalprice")
+    return A.sum_avg_count(_orders(spark, d), ["season", "o_custkey"], "o_totalprice", scale=2)
 
 
 @_query(f"""
@@ -119,13 +119,11 @@ def season_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""
-WITH t AS (SELECT doc_id, regexp_extract(text, '^[^\\n]*') AS line FROM documents),
-n AS (SELECT doc_id, regexp_replace(translate(lower(line), 'áàäâãåéèëêíìïîóòöôõúùüûñçčćšžđ', 'aaaaaaeeeeiiiiooooouuuuncccszd'), '[^a-z0-9]', '', 'g') AS name_key, line FROM t)
-SELECT doc_id, name_key, substr(name_key, 1, 2) AS short_key FROM n""")
+WITH n AS (SELECT doc_id, text, regexp_replace(translate(lower(text), 'áàäâãåéèëêíìïîóòöôõúùüûñçčćšžđ', 'aaaaaaeeeeiiiiooooouuuuncccszd'), '[^a-z0-9]', '', 'g') AS name_key FROM documents)
+SELECT doc_id, sha256(name_key) AS name_key, substr(regexp_replace(lower(nullif(regexp_extract(text, '^([A-Za-z0-9]+)', 1), '')), '[^a-z0-9]', '', 'g'), 1, 2) AS short_key FROM n""")
 def name_norm(spark: SparkSession, d: str) -> DataFrame:
-    """comparison keys of each document's first line."""
-    line = F.substring_index("text", "\n", 1)
-    return _table(spark, d, "documents").select("doc_id", S.norm_name(line).alias("name_key"), F.substring(S.norm_name(line), 1, 2).alias("short_key"))
+    """comparison keys of each document's whole text, the long one as a digest."""
+    return _table(spark, d, "documents").select("doc_id", F.sha2(S.norm_name(F.col("text")), 256).alias("name_key"), S.first_letters_key(F.col("text")).alias("short_key"))
 
 
 @_query("""
@@ -428,11 +426,11 @@ def latest_k_global(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""
-SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 50""")
+SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 50""")
 def page_slice(spark: SparkSession, d: str) -> DataFrame:
-    """The third page of 25."""
+    """The third page of 25, and how many rows there are."""
     order = [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey")]
-    return W.page(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), order, 3, 25)
+    return W.page(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), order, 3, 25, total="total")
 
 
 @_query(f"""
@@ -442,7 +440,7 @@ def avg_rounded_int(spark: SparkSession, d: str) -> DataFrame:
     """Means rounded to integers by season and name."""
     nation = _table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     rows = _orders(spark, d).join(_table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(nation, "c_nationkey")
-    return A.rounded_mean(rows, ["season", "n_name"], "o_totalprice", "avg_price", "orders")
+    return A.rounded_mean(rows, ["season", "n_name"], "o_totalprice", "avg_price", "orders", scale=2)
 
 
 @_query(f"""

@@ -252,10 +252,17 @@ def teams_dim(points: DataFrame) -> DataFrame:
     return first_known(points, "team_id", ["team_city", "team_name"], "game_id")
 
 
-def teams_from_details(points: DataFrame, details: DataFrame) -> DataFrame:
-    """A4: every team of the facts, with city and name of the last detail row that has it."""
-    known = details.groupBy("team_id").agg(F.max_by("meta.city", "team_name").alias("team_city"), F.max("team_name").alias("team_name"))
-    return points.select("team_id").distinct().join(known, "team_id", "left").select("team_id", F.coalesce("team_city", F.lit("")).alias("team_city"), F.coalesce("team_name", F.lit("")).alias("team_name"))
+def teams_from_details(points: DataFrame, details: DataFrame, order: list[str]) -> DataFrame:
+    """A4: every team of the facts, with city and name of its last detail row in an order of the details' columns.
+
+    The name is the row's, or else its nickname; rows with neither a name nor a city don't count. What the row doesn't have is empty, as is a team without details.
+    """
+    name = F.coalesce(F.nullif(F.col("team_name"), F.lit("")), F.nullif(F.col("nickname"), F.lit("")))
+    city = F.nullif(F.col("meta.city"), F.lit(""))
+    last = F.max_by(F.struct(city.alias("team_city"), name.alias("team_name")), F.when(name.isNotNull() | city.isNotNull(), F.struct(*order)))
+    known = details.groupBy("team_id").agg(last.alias("last"))
+    joined = points.select("team_id").distinct().join(known, "team_id", "left")
+    return joined.select("team_id", *[F.coalesce(F.col("last")[c], F.lit("")).alias(c) for c in ("team_city", "team_name")])
 
 
 def prepare_team_points(games: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:

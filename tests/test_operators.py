@@ -167,3 +167,17 @@ def test_multifactor_rank(spark):
     assert lal[0]["score"] == pytest.approx(0.3 * share / 100 + 0.15 + 0.075 + 0.15 + 0.15, abs=6e-4) and lal[0]["team_pts_share"] is None and lal[0]["player_name"] == "ann"
     other = next(r for r in out if r["player_id"] == "other")
     assert other["score"] == pytest.approx(0.3 + 0.075 + 0.15, abs=6e-4)
+
+
+def test_sums_keep_all_digits_unless_a_scale_is_given(spark):
+    df = spark.createDataFrame([(1, 0.333)] * 3 + [(2, 1e17), (2, None)], "k int, v double")
+    got = {r["k"]: (r["total_points"], r["games"]) for r in A.sum_avg_count(df, ["k"], "v").collect()}
+    assert abs(got[1][0] - 0.999) < 1e-12 and got[2] == (1e17, 1)
+    assert {r["k"]: r["total_points"] for r in A.sum_avg_count(df, ["k"], "v", scale=2).collect()} == {1: 0.99, 2: 1e17}
+    assert A.rounded_mean(df.where("k = 2"), ["k"], "v", "mean", "n").where("mean is not null").count() <= 1
+
+
+def test_a_page_says_how_many_rows_there_are(spark):
+    df = spark.range(53)
+    got = W.page(df, [F.col("id").desc()], 6, 10, total="total").collect()
+    assert [(r["id"], r["total"]) for r in got] == [(2, 53), (1, 53), (0, 53)]

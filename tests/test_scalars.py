@@ -78,3 +78,9 @@ def test_season(spark):
 )
 def test_numbers(spark, f, cases):
     check(spark, f, cases, "double")
+
+
+def test_head_counts_of_every_form(spark):
+    told = {"19,234.0": 19234, "1234.567": 1234567, "1.234.567": 1234567, "19 234": 19234, " 19,234 ": 19234, "19234.0": 19234, "": None, "n/a": None, "1,234,567": 1234567}
+    got = spark.createDataFrame([(t,) for t in told], "t string").select("t", S.attendance(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == told

@@ -85,7 +85,7 @@ def test_points_and_dimensions(spark, rows, tmp_path):
     stored = spark.read.schema(fact.schema).parquet(f"{tmp_path}/team_game_points")
     assert rows(C.difference(stored.select(fact.columns), fact)) == []
     assert len(list((tmp_path / "teams_dim_tsv").glob("part-*"))) == 1
-    assert rows(V.teams_from_details(fact, X.team_details(spark).select("team_id", "team_name", "meta"))) == [("1", "Los Angeles", "Los Angeles Lakers"), ("2", "Boston", "Boston Celtics"), ("3", "", "")]
+    assert rows(V.teams_from_details(fact, X.team_details(spark), ["abbreviation"])) == [("1", "Los Angeles", "Los Angeles Lakers"), ("2", "Boston", "Boston Celtics"), ("3", "", "")]
 
 
 def test_multifactor_fact(spark):
