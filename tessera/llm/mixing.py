@@ -171,11 +171,17 @@ filter(sequence(0, size(draws) - 1), i ->
 
 @dataclass(frozen=True)
 class Draws:
-    """rows: (row, source, size, source_size, target, told, first_word, draws), one for each document; words: that the mix takes."""
+    """What is drawn of each document, and the documents. words: that the mix takes."""
 
-    rows: DataFrame
+    slim: DataFrame  #: (uid, source, size, source_size, target, told, first_word, draws)
+    table: DataFrame  #: (uid, row)
     words: int
 
+    @property
+    def rows(self) -> DataFrame:
+        """(row, source, size, source_size, target, told, first_word, draws), one for each document."""
+        return self.table.join(self.slim, "uid").drop("uid")
+
 
 def draw(documents: DataFrame, params: MixParams = MixParams(), text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> Draws:
     """What is drawn of each document. draws: structs of pass, draw, shard, from_word and to_word (not included), in words of the text.
@@ -186,16 +192,18 @@ def draw(documents: DataFrame, params: MixParams = MixParams(), text: str = "tex
     A document without words is never drawn: its draws are null. Repeated rows are documents of their own.
     """
     own = {"size": words_in(F.col(text)), "source": F.col(source), "doc_id": F.col(doc_id), "told": F.xxhash64(F.col(text))}
-    sized = materialize(documents.select(F.struct(*(keep or documents.columns)).alias("row"), *[c.alias(k) for k, c in own.items()]), "mix-sized")
+    sized = documents.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(keep or documents.columns)).alias("row"), *[c.alias(k) for k, c in own.items()])
+    sized = materialize(sized, "mix-sized")
     plans, n = mix_plan(sized.select("source", "size"), params)
     schema = "plan_source string, source_size long, target double, block long, n_blocks long, key long, draws long, cut long, bounds array<long>"
     table = [(p.source, p.size, p.target, p.block, p.n_blocks, p.key, p.draws, p.cut, list(p.bounds)) for p in plans]
     known = documents.sparkSession.createDataFrame(table, schema)
-    placed = ranked(sized, ["source"], ["doc_id", "size", "told"], F.col("size"), "first_word", max(16, math.ceil(n / params.rows_per_cell)))
+    placed = ranked(sized.drop("row"), ["source"], ["doc_id", "size", "told"], F.col("size"), "first_word", max(16, math.ceil(n / params.rows_per_cell)))
     joined = placed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("plan_source")))
     draws = F.expr(_DRAWS.format(place=_PLACE.format(last=params.rounds - 1)))
     drawn = F.when((F.col("size") > 0) & (F.col("draws") > 0), F.filter(draws, lambda d: d["to_word"] > d["from_word"]))
-    return Draws(joined.select("row", "source", "size", "source_size", "target", "told", "first_word", drawn.alias("draws")), sum(p.words for p in plans))
+    slim = joined.select("uid", "source", "size", "source_size", "target", "told", "first_word", drawn.alias("draws"))
+    return Draws(slim, sized.select("uid", "row"), sum(p.words for p in plans))
 
 
 def taken(draws: Column) -> Column:
@@ -214,10 +222,11 @@ def mix_sources(documents: DataFrame, params: MixParams = MixParams(), text: str
     `drawn`: what `draw` gave for the same documents.
     """
     drawn = drawn or draw(documents, params, text, source, doc_id)
-    starts = drawn.rows.where(F.size("draws") > 0).withColumn("starts", F.expr(_SPANS))
+    starts = drawn.slim.where(F.size("draws") > 0).withColumn("starts", F.expr(_SPANS))
     spans = F.expr("""transform(starts, (i, k) -> named_struct('pass', draws[i].pass, 'shard', draws[i].shard, 'from_word', draws[i].from_word,
       'to_word', draws[if(k + 1 < size(starts), starts[k + 1], size(draws)) - 1].to_word))""")
-    rows = starts.select("row", "size", "told", "first_word", F.explode(spans).alias("span"))
+    slim = materialize(starts.select("uid", "size", "told", "first_word", F.explode(spans).alias("span")), "mix-spans")
+    rows = drawn.table.join(slim, "uid")
     content = F.col("row")[text]
     whole = (F.col("span.from_word") == 0) & (F.col("span.to_word") == F.col("size"))
     words = F.expr(r"regexp_extract_all(row.`%s`, '\\s*[^\\x20\\x09-\\x0D]+', 0)" % text)

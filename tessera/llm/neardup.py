@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import DIGIT, LETTER, Tokens, lower_bytes, mix, slices, tokenised
-from tessera.llm.shared import materialize
+from tessera.llm.shared import Scratch, materialize
 
 
 #: Cells of a table of two texts' words up to which a pair is aligned by bit vectors.
@@ -302,9 +302,9 @@ def _length_class(n: Column, params: NeardupParams) -> Column:
 
 def _in_buckets(sketched: DataFrame) -> DataFrame:
     """(band, node, n) of the buckets with several nodes; `sketched`: (node, n, bands)."""
-    single = sketched.select("node", "n", F.explode("bands").alias("band"))
+    single = sketched.select("node", F.explode("bands").alias("band"))
     several = single.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
-    return single.join(several, "band").select("band", "node", "n")
+    return single.join(several, "band").join(sketched.select("node", "n"), "node").select("band", "node", "n")
 
 
 def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams) -> Column:
@@ -373,18 +373,18 @@ def _met_all(members: DataFrame, facts: DataFrame, params: NeardupParams) -> Dat
     return met.distinct()
 
 
-def _rooted(links: DataFrame) -> DataFrame:
+def _rooted(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root, degree) of the nodes that have a link."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return components(links).join(degree, "node")
+    return scratch.keep(components(links, scratch).join(degree, "node"), "neardup-known")
 
 
-def _still_open(members: DataFrame, known: DataFrame) -> DataFrame:
+def _still_open(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """Members with their roots so far, of the buckets whose members have several."""
     placed = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
     # two members have met in the first round
     several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("k > 2 and r != s").select("band")
-    return materialize(placed.join(several, "band", "left_semi"), "neardup-open")
+    return scratch.keep(placed.join(several, "band", "left_semi"), "neardup-open")
 
 
 def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> DataFrame:
@@ -396,41 +396,50 @@ def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> Data
     one root is done. In those that are left, all members of different roots are compared by bits of words; of the pairs that
     these allow, one of each two roots is aligned first, and then all whose roots still differ.
     """
+    scratch = Scratch(sketched.sparkSession)
+    links = materialize(_found_links(sketched, texts, params, scratch), "neardup-links")
+    scratch.drop()
+    return links
+
+
+def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, scratch: Scratch) -> DataFrame:
     facts = sketched.select("node", "n", "bits")
-    members = materialize(_in_buckets(sketched).withColumn("class", _length_class(F.col("n"), params)), "neardup-members")
-    words = materialize(word_lists(texts.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi"), params), "neardup-words")
+    members = scratch.keep(_in_buckets(sketched).withColumn("class", _length_class(F.col("n"), params)), "neardup-members")
+    scratch.release()
+    words = scratch.keep(word_lists(texts.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi"), params), "neardup-words")
 
     def verify(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = materialize(_verified(materialize(pairs, "neardup-pairs"), words, params), "neardup-verified")
-        return found if done is None else materialize(done.unionByName(found), "neardup-done")
+        found = scratch.keep(_verified(scratch.keep(pairs, "neardup-pairs"), words, params), "neardup-verified")
+        return found if done is None else scratch.keep(done.unionByName(found), "neardup-done")
 
     open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
     for _ in range(params.rounds):
         first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
         lead = open_.groupBy("band", F.col("class").alias("of")).agg(first).select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"))
         done = verify(_met_leaders(open_, lead, facts, params), done)
-        known = materialize(_rooted(done.where("similarity is not null")), "neardup-known")
-        open_ = _still_open(members, known)
+        known = _rooted(done.where("similarity is not null"), scratch)
+        open_ = _still_open(members, known, scratch)
         if open_.isEmpty():
             return done.where("similarity is not null")
-    met = materialize(_met_all(open_, facts, params), "neardup-met")
+    met = scratch.keep(_met_all(open_, facts, params), "neardup-met")
     done = verify(met.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), done)
-    known = materialize(_rooted(done.where("similarity is not null")), "neardup-known")
+    known = _rooted(done.where("similarity is not null"), scratch)
     for side in ("a", "b"):
         met = met.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     return verify(met.where(apart).select("a", "b"), done).where("similarity is not null")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes of `edges` (a, b).
 
     Large-star and small-star steps in turn, until nothing changes; each halves long chains. Sums and a count are all
     the driver sees.
     """
-    edges = materialize(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u != v").distinct(), "components")
+    keep = scratch.keep if scratch else materialize
+    edges = keep(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u != v").distinct(), "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -440,7 +449,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "components")
+        edges = keep(small, "components")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state == before:
             break
@@ -474,13 +483,15 @@ def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(
     nodes = table.groupBy("digest").agg(F.min("uid").alias("node"))
     slim = materialize(table.select("uid", "__doc_id", "digest").join(nodes, "digest").drop("digest"), "neardup-nodes")
     distinct = texts.join(slim.where("uid = node").select("uid"), "uid", "left_semi")
-    unique = materialize(_sketched(distinct, "__text", params).select(F.col("uid").alias("node"), "__sketch.*"), "neardup-unique")
+    scratch = Scratch(documents.sparkSession)
+    unique = scratch.keep(_sketched(distinct, "__text", params).select(F.col("uid").alias("node"), "__sketch.*"), "neardup-unique")
     links = _links(unique, texts, params)
-    roots = materialize(components(links), "neardup-roots")
+    roots = scratch.keep(components(links, scratch), "neardup-roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_evidence"))
     placed = slim.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("__doc_id").alias("class_id"))
     placed = materialize(placed.join(least, "root"), "neardup-placed")
+    scratch.drop()
     first = placed.where(F.col("__doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("uid").alias("first"))
     stays = F.col("uid") == F.col("first")
     rows = placed.join(first, "root").select("uid", F.col("__doc_id").alias("doc_id"), "class_id", F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"), stays.alias("stays"))
