@@ -12,6 +12,7 @@ which unlike texts share as seldom as two five-word shingles.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,8 @@ from tessera.llm.kernels import DIGIT, LETTER, Tokens, lower_bytes, mix, slices,
 from tessera.llm.shared import Scratch, materialize
 
 
-#: Cells of a table of two texts' words up to which a pair is aligned by bit vectors.
-BIT_CELLS = 1 << 28
+#: Words of the longer text up to which pairs are aligned many at once, and cells of a table of two texts' words up to which one pair is by bit vectors.
+SHORT_WORDS, BIT_CELLS = 256, 1 << 28
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,10 @@ class NeardupParams:
     picks: int = 4  #: least shingles of a sketch
     short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 2048  #: of the words that a text has an odd number of times
-    rounds: int = 2  #: of comparing with leaders, before all members of a bucket that are not joined yet
+    rounds: int = 1  #: of comparing with leaders, before all members of a bucket that are not joined yet
+    many: int = 4096  #: possible links between two classes from which one of them is tried before the others
     block: int = 1000  #: members of a bucket that are compared with as many others at a time
+    pairs_per_part: int = 4000  #: pairs of texts that a task aligns
     similarity: float = 0.8  #: 1 - edit distance in words / words of the longer text
     slice_bytes: int = 1 << 19
 
@@ -126,12 +129,33 @@ def word_bits(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def banded_distances(left: list[np.ndarray], right: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     """Edit distance in words of each pair, or -1 where it is over the pair's limit.
 
-    Pairs of up to BIT_CELLS cells are aligned by bit vectors. Of longer ones only cells within a band around the diagonal are computed, for many pairs at once; the band is widened for the
-    pairs whose distance is not within it, until it is as wide as their limit.
+    Short pairs are aligned many at once, within a band around the diagonal as wide as their limits. Longer ones of up to BIT_CELLS cells
+    are aligned by bit vectors; of those beyond that the band is narrow at first and is widened for the pairs whose distance is not within it, until it is as wide as their limit.
     """
     out = np.full(len(left), -1, np.int64)
     trimmed = [_trim(a, b) for a, b in zip(left, right)]
+    longest = np.array([max(len(a), len(b)) for a, b in trimmed], np.int64)
+    reach = np.minimum(limits, longest)
     open_ = [p for p, (a, b) in enumerate(trimmed) if abs(len(a) - len(b)) <= limits[p]]
+    short = [p for p in open_ if longest[p] <= SHORT_WORDS]
+    for most in (8, SHORT_WORDS):  # most near pairs differ by a few words
+        wait, group, top = [], [], 0
+        short.sort(key=lambda p: (longest[p], reach[p]))
+        for k, p in enumerate(short):
+            group.append(p)
+            top = max(top, min(most, int(reach[p])), 1)
+            if len(group) * (2 * top + 1) >= 60_000 or k == len(short) - 1 or longest[short[k + 1]] > 1.25 * longest[group[0]] + 8:
+                at = [q for q in group if abs(len(trimmed[q][0]) - len(trimmed[q][1])) <= top]
+                settled = dict(zip(at, _band(trimmed, at, top).tolist())) if at else {}
+                for q in group:
+                    d = settled.get(q, top + 1)
+                    if d <= min(top, limits[q]):
+                        out[q] = d
+                    elif top < reach[q]:
+                        wait.append(q)
+                group, top = [], 0
+        short = wait
+    open_ = [p for p in open_ if longest[p] > SHORT_WORDS]
     for p in open_:
         if len(trimmed[p][0]) * len(trimmed[p][1]) <= BIT_CELLS:
             out[p] = _bit_distance(*trimmed[p], int(limits[p]))
@@ -283,11 +307,11 @@ def _verified(pairs: DataFrame, words: DataFrame, params: NeardupParams) -> Data
     @F.arrow_udf("double")
     def aligned(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.full(len(left), np.nan)
-        for first in range(0, len(left), 256):
-            sides = [[np.frombuffer(x.as_buffer(), np.uint32) for x in side.slice(first, 256)] for side in (left, right)]
+        for first in range(0, len(left), 2048):
+            sides = [[np.frombuffer(x.as_buffer(), np.uint32) for x in side.slice(first, 2048)] for side in (left, right)]
             longest = np.array([max(len(x), len(y), 1) for x, y in zip(*sides)])
             found = banded_distances(*sides, np.floor((1 - params.similarity) * longest + 1e-9).astype(np.int64))
-            out[first : first + 256] = np.where(found >= 0, 1 - found / longest, np.nan)
+            out[first : first + 2048] = np.where(found >= 0, 1 - found / longest, np.nan)
         return pa.array(out, mask=np.isnan(out))
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("left"))
@@ -393,8 +417,8 @@ def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> Data
     `sketched`: (node, n, bands, bits). In each of `params.rounds` rounds one member of a bucket and length class is compared with all its members
     of this and the neighbouring classes: at first the least node, so that a node meets the same leaders in many buckets, then
     the member with the most links. Nodes that links join already need no comparison, so a bucket whose members all have
-    one root is done. In those that are left, all members of different roots are compared by bits of words; of the pairs that
-    these allow, one of each two roots is aligned first, and then all whose roots still differ.
+    one root is done. In those that are left, all members of different roots are compared by bits of words, and the pairs that
+    these allow are aligned. Of two roots with more than `params.many` such pairs one is aligned first, and the others only if that is no link.
     """
     scratch = Scratch(sketched.sparkSession)
     links = materialize(_found_links(sketched, texts, params, scratch), "neardup-links")
@@ -411,7 +435,9 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
     def verify(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = scratch.keep(_verified(scratch.keep(pairs, "neardup-pairs"), words, params), "neardup-verified")
+        pairs = scratch.keep(pairs, "neardup-pairs")
+        parts = max(pairs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs.count() / params.pairs_per_part))
+        found = scratch.keep(_verified(pairs.repartition(parts), words, params), "neardup-verified")
         return found if done is None else scratch.keep(done.unionByName(found), "neardup-done")
 
     open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
@@ -424,38 +450,42 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
         if open_.isEmpty():
             return done.where("similarity is not null")
     met = scratch.keep(_met_all(open_, facts, params), "neardup-met")
-    done = verify(met.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), done)
-    known = _rooted(done.where("similarity is not null"), scratch)
-    for side in ("a", "b"):
-        met = met.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    return verify(met.where(apart).select("a", "b"), done).where("similarity is not null")
+    big = scratch.keep(met.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b")).alias("p")).where(F.col("n") > params.many).select("p.*"), "neardup-big")
+    if not big.isEmpty():
+        done = verify(big, done)
+        known = _rooted(done.where("similarity is not null"), scratch)
+        for side in ("a", "b"):
+            met = met.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        met = met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    return verify(met.select("a", "b"), done).where("similarity is not null")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes of `edges` (a, b).
 
-    Large-star and small-star steps in turn, until nothing changes; each halves long chains. Sums and a count are all
-    the driver sees.
+    Large-star and small-star steps in turn, until all components are stars; each halves long chains. The driver sees no rows.
     """
     keep = scratch.keep if scratch else materialize
     edges = keep(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u != v").distinct(), "components")
-    before = None
-    while True:
+    while not _is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a node that the large star leaves alone is its neighbours' least: they keep it
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.where("m != u").select("u", F.col("m").alias("v"))).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = keep(small, "components")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if state == before:
-            break
-        before = state
-    root = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return root.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(root, "node", "left_anti"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lesser one, which has none: then those are the roots."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("root")))
+    upward = edges.where("v > u").limit(1)
+    wrong = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or (down = 1 and root = 1)")
+    return upward.isEmpty() and wrong.isEmpty()
 
 
 @dataclass(frozen=True)

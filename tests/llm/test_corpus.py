@@ -132,8 +132,10 @@ def test_banded_distances_equal_plain_ones():
     assert N.banded_distances(left, right, limits).tolist() == want and -1 in want
 
 
-def test_long_pairs_are_aligned_in_bands(monkeypatch):
-    monkeypatch.setattr(N, "BIT_CELLS", -1)
+@pytest.mark.parametrize("cells", [-1, 1 << 28], ids=["bands", "bit vectors"])
+def test_long_pairs_are_aligned_alike(monkeypatch, cells):
+    monkeypatch.setattr(N, "SHORT_WORDS", 0)
+    monkeypatch.setattr(N, "BIT_CELLS", cells)
     test_banded_distances_equal_plain_ones()
 
 
