@@ -35,7 +35,7 @@ class MediaParams:
     mask_bits: int = 10  #: a cut every 2**mask_bits bytes or so
     max_chunk: int = 8192
     rate: int = 8000  #: samples a second
-    cells_each: int = 16  #: bits of the filter that tells which digests may be shared, for each of them
+    cells_each: int = 256  #: bits of the filter that tells which digests may be shared, for each of them
     most_bits: int = 28  #: of the filter: 2**most_bits, 32 MB; beyond, more chunks are taken for shared that aren't
 
 
