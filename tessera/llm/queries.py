@@ -66,11 +66,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document are in a mix by source weights, counted in the mixed rows as they were written."""
+    """How many words of every document are in a mix by source weights, counted in the texts of the mixed rows, shard by shard."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     drawn = draw(documents)
-    mixed = materialize(mix_sources(documents, drawn=drawn), "mixed")
-    counted = mixed.select("source", "mix_first", words_in(F.col("text")).alias("words"), "mix_shard")
+    counted = materialize(mix_sources(documents, drawn=drawn).select("source", "mix_first", words_in(F.col("text")).alias("words"), "mix_shard"), "mixed")
     taken = counted.groupBy(F.col("source").alias("of"), "mix_first").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("mix_shard")).alias("shards"))
     found = F.col("source").eqNullSafe(F.col("of")) & (F.col("first_word") == F.col("mix_first")) & (F.col("size") > 0)
     rows = drawn.rows.select(F.col("row.doc_id").alias("doc_id"), "source", "first_word", "size", "source_size", "target").join(taken, found, "left")

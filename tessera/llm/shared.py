@@ -26,7 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again, so that its lineage ends there."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +39,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
