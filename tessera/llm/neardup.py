@@ -5,15 +5,16 @@ order, so that texts meet when the same shingles stand in the same order: a sign
 Texts that meet in a bucket are compared with the bucket's leaders by alignment of their words, then all with all that links
 don't join yet, if bits of their words allow a link. Connected components of what is verified are the classes.
 
-Shingles are of two words, not five: of a text with each fifth word changed no five-word shingle is left, though
-its similarity is 0.8, and of one with 19 % of its words changed at random a third. Four of them make a sketch,
-which unlike texts share as seldom as two five-word shingles.
+Shingles are of five words. A short text has too few of those, so texts of up to 64 words take shingles of two words,
+four to a sketch; those of 52 to 64 words take both, since a text of up to 64 words and a longer one can only be near if
+both have at least 52. Of a longer text with each fifth word changed no five-word shingle is left, though the similarity
+is 0.8: such a pair meets only by chance. Changes of up to a fifth of the words at random places meet, see the tests.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,13 @@ SHORT_WORDS, BIT_CELLS = 256, 1 << 28
 
 @dataclass(frozen=True)
 class NeardupParams:
-    words: int = 2  #: of a shingle
+    words: int = 5  #: of a shingle
     sketches: int = 120
-    picks: int = 4  #: least shingles of a sketch
+    picks: int = 2  #: least shingles of a sketch
+    fine_upto: int = 64  #: words of a text up to which shingles are of `fine_words`
+    fine_sketches: int = 180
+    fine_words: int = 2
+    fine_picks: int = 4
     short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 2048  #: of the words that a text has an odd number of times
     rounds: int = 1  #: of comparing with leaders, before all members of a bucket that are not joined yet
@@ -117,6 +122,23 @@ def short_bands(words: np.ndarray, params: NeardupParams) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def text_bands(words: np.ndarray, starts: np.ndarray, params: NeardupParams) -> list[np.ndarray]:
+    """Each text's bands; a text without a word has none. Texts of a similarity within the threshold have bands of the same shingles."""
+    n = np.diff(starts)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in n]
+    fine = replace(params, sketches=params.fine_sketches, words=params.fine_words, picks=params.fine_picks)
+    long_enough = n >= params.similarity * (params.fine_upto + 1) - 1e-9
+    for own, chosen in ((params, long_enough), (fine, (n > 0) & (n <= params.fine_upto))):
+        at = np.flatnonzero(chosen)
+        if len(at):
+            shingles, begins = _shingles(words[np.repeat(chosen, n)], np.append(0, np.cumsum(n[at])), own.words)
+            for k, bands in zip(at.tolist(), order_sketches(shingles, begins, own)):
+                out[k].append(bands)
+    for k in np.flatnonzero((n > 0) & (n <= params.short)).tolist():
+        out[k].append(short_bands(words[starts[k] : starts[k + 1]], params))
+    return [np.concatenate(x) for x in out]
+
+
 def word_bits(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """For each text (rows) `size` bits, as 64-bit values: whether it has an odd number of words of that hash modulo `size`."""
     out = np.zeros((len(starts) - 1, size // 64), np.uint64)
@@ -270,15 +292,10 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
         for first, part in slices(texts, params.slice_bytes):
             words, starts = _all_words(part)
             bits[first : first + len(part)] = word_bits(words, starts, params.bits)
-            full = np.flatnonzero(np.diff(starts))
             n[first : first + len(part)] = np.diff(starts)
-            if len(full):
-                shingles, begins = _shingles(words, np.append(starts[full], starts[-1]), params.words)
-                own = order_sketches(shingles, begins, params)
-                for k, bands in zip(full.tolist(), own):
-                    x, y = starts[k], starts[k + 1]
-                    parts.append(np.concatenate([bands, short_bands(words[x:y], params)]) if y - x <= params.short else bands)
-                    counts[first + k] = len(parts[-1])
+            own = text_bands(words, starts, params)
+            counts[first : first + len(part)] = [len(bands) for bands in own]
+            parts += own
         bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
         ends = pa.array(np.arange(len(texts) + 1) * bits.shape[1], pa.int32())
         return pa.StructArray.from_arrays([pa.array(n), bands, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], ["n", "bands", "bits"])

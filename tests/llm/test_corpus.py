@@ -257,20 +257,40 @@ def test_links_at_10_15_and_19_percent_equal_brute_force(spark, texts):
         assert len(links & want[k]) >= 0.95 * len(want[k]), (k, len(links & want[k]))
 
 
-@pytest.mark.parametrize("spread", [lambda rng, n: rng.sample(range(n), n // 5), lambda rng, n: range(2, n, 5)], ids=["random", "every fifth"])
-def test_sketches_meet_at_the_threshold(spread):
-    rng, params, met, rows = random.Random(8), N.NeardupParams(), 0, 400
-    for k in range(rows):
-        n = rng.randrange(40, 300)
+def share_that_meets(sizes, spread, rows=400):
+    rng, params, met = random.Random(8), N.NeardupParams(), 0
+    for _ in range(rows):
+        n = rng.randrange(*sizes)
         a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
         b = a.copy()
         for place in spread(rng, n):
             b[place] = rng.getrandbits(64)
-        assert (a != b).sum() >= 0.19 * n - 1
-        shingles, starts = N._shingles(np.concatenate([a, b]), np.array([0, n, 2 * n]), params.words)
-        x, y = N.order_sketches(shingles, starts, params)
-        met += (x == y).any()
-    assert met >= 0.98 * rows
+        x, y = N.text_bands(np.concatenate([a, b]), np.array([0, n, 2 * n]), params)
+        met += len(np.intersect1d(x, y)) > 0
+    return met / rows
+
+
+def fifth_at_random(rng, n):
+    return rng.sample(range(n), n // 5)
+
+
+@pytest.mark.parametrize(("sizes", "least"), [((40, 65), 0.98), ((65, 300), 0.95), ((300, 1000), 0.95)], ids=str)
+def test_sketches_meet_at_the_threshold(sizes, least):
+    assert share_that_meets(sizes, fifth_at_random) >= least
+
+
+def test_short_texts_with_each_fifth_word_changed_meet():
+    assert share_that_meets((40, 65), lambda rng, n: range(2, n, 5)) >= 0.98
+
+
+def test_texts_around_the_border_of_shingle_widths_meet():
+    # words are cut off, so that the shorter text takes the finer shingles
+    rng, params = random.Random(4), N.NeardupParams()
+    for n in range(60, 81):
+        a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        b = a[: n - n // 5]
+        x, y = N.text_bands(np.concatenate([a, b]), np.array([0, n, n + len(b)]), params)
+        assert len(np.intersect1d(x, y)) > 0
 
 
 def test_short_texts_of_one_edit_always_meet():
