@@ -1,9 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Copies of a text stay together, unless they are too many for that. Groups are hashed into a few
-thousand cells; a group that outweighs a cell's due is an item of its own, and one that outweighs
-`piece_share` of everything is split by a hash of its ids. Items are placed, the heaviest first, where
-the dot product with the shard's residual capacity is highest.
+Copies of a text stay together, unless they are too many for that. A group that outweighs 1 / cells of all
+bytes, tokens or rows is an item of its own, lighter ones are hashed into a few thousand cells, which are items;
+a group that outweighs `piece_share` of everything is split by a hash of its ids. Items are placed, the heaviest
+first, where the dot product with the shard's residual capacity is highest.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ from tessera.llm.shared import materialize, ranked
 @dataclass(frozen=True)
 class ShardParams:
     n_shards: int = 8
-    cells: int = 4096  #: of hashed groups; with the heavy groups' pieces they are all the driver sees
+    cells: int = 4096  #: of hashed light groups; with at most three times as many heavy groups, and pieces, they are all the driver sees
     piece_share: float = 1 / 16  #: part of all bytes, tokens or rows above which a group is split
     rows_per_cell: int = 50_000  #: rows that one window partition numbers
 
 
+#: Part of a shard's due by which tokens and rows of two shards may come to differ for the sake of bytes.
+SLACK = 0.02
+
 _DIMENSIONS = ("size", "tokens", "one")
 
 
@@ -45,24 +48,31 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
         best = int(np.argmax(np.where(fit, left @ item, -np.inf))) if fit.any() else int(np.argmax(left[:, 0]))
         left[best] -= item
         out[k] = best
-    return _levelled(parts[:, 0], out, n_shards)
+    return _levelled(parts, out, n_shards)
+
 
+def _levelled(parts: np.ndarray, shard: np.ndarray, n_shards: int) -> np.ndarray:
+    """Moves single items from the shard with most bytes to the one with least while that brings their bytes closer.
 
-def _levelled(size: np.ndarray, shard: np.ndarray, n_shards: int) -> np.ndarray:
-    """Moves single items from the fullest to the emptiest shard while that brings their bytes closer."""
-    load = np.bincount(shard, size, n_shards) if len(size) else np.zeros(n_shards)
-    for _ in range(len(size)):
-        full, empty = int(load.argmax()), int(load.argmin())
+    Of the items that do, the one that brings bytes, tokens and rows of the two shards closest together moves; when none brings all three
+    closer, the one that is best for bytes among those that widen no gap of the others beyond `SLACK` of a shard.
+    """
+    load = np.zeros((n_shards, parts.shape[1]))
+    np.add.at(load, shard, parts)
+    for _ in range(len(parts)):
+        full, empty = int(load[:, 0].argmax()), int(load[:, 0].argmin())
         gap = load[full] - load[empty]
-        own = np.flatnonzero((shard == full) & (size < gap) & (size > 0))
-        if not len(own):
+        own = np.flatnonzero((shard == full) & (parts[:, 0] < gap[0]) & (parts[:, 0] > 0))
+        after = np.abs(gap - 2 * parts[own])
+        closer = (after**2).sum(1) < (gap**2).sum()
+        bounded = (after <= np.maximum(np.abs(gap), SLACK)).all(1)
+        if gap[0] < 1e-7 or not (closer | bounded).any():
             break
-        k = own[np.argmin(np.abs(size[own] - gap / 2))]
+        cost = (after**2).sum(1) if closer.any() else after[:, 0]
+        k = own[np.argmin(np.where(closer if closer.any() else bounded, cost, np.inf))]
         shard[k] = empty
-        load[full] -= size[k]
-        load[empty] += size[k]
-        if gap < 1e-7:
-            break
+        load[full] -= parts[k]
+        load[empty] += parts[k]
     return shard
 
 
@@ -86,9 +96,10 @@ def shard_documents(documents: DataFrame, params: ShardParams = ShardParams(), d
     spark = rows.sparkSession
     totals = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _DIMENSIONS]).first()
     limits = {c: max(1, math.floor(totals[c] * params.piece_share)) for c in _DIMENSIONS}
-    heavy = F.greatest(*[F.ceil(F.col(c) / F.lit(limits[c])) for c in _DIMENSIONS])
-    groups = rows.groupBy("__group").agg(*[F.sum(c).alias(c) for c in _DIMENSIONS]).withColumn("pieces", heavy).where("pieces > 1").select("__group", "pieces")
-    # at most 3 / piece_share groups outweigh the limit
+    pieces = F.greatest(*[F.ceil(F.col(c) / F.lit(limits[c])) for c in _DIMENSIONS])
+    outweighs = F.greatest(*[F.col(c) * params.cells > F.lit(totals[c]) for c in _DIMENSIONS])
+    # at most 3 * cells groups outweigh that
+    groups = rows.groupBy("__group").agg(*[F.sum(c).alias(c) for c in _DIMENSIONS]).where(outweighs).select("__group", F.greatest(pieces, F.lit(1)).alias("pieces"))
     piece = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces"))
     light = F.pmod(F.xxhash64("__group"), F.lit(params.cells))
     rows = rows.join(F.broadcast(groups), "__group", "left").withColumn("__item", F.when(F.col("pieces").isNull(), F.concat(F.lit("cell "), light)).otherwise(F.concat(F.hex("__group"), F.lit(" "), piece)))

@@ -338,6 +338,21 @@ def test_packing_levels_bytes():
     assert S.pack(np.zeros((0, 3)), 8).tolist() == []
 
 
+def test_moves_for_bytes_keep_the_other_loads_near():
+    rng = np.random.default_rng(5)
+    items = np.stack([rng.pareto(2.0, 4000) + 1, rng.pareto(2.0, 4000) + 1, rng.integers(1, 30, 4000).astype(float)], 1)
+    parts, shard = items / items.sum(0) * 8, S.pack(items, 8)
+    loads = np.stack([np.bincount(shard, parts[:, k], 8) for k in range(3)], 1)
+    assert np.ptp(loads[:, 0]) < 2e-3 and (np.ptp(loads, axis=0) < 0.01).all()
+
+
+def test_a_group_above_a_cells_due_is_placed_by_itself(spark, texts):
+    # two such groups that share a hash cell must not move as one
+    rows = [(100 * g + k, t) for g, t in enumerate(texts(24, 40, 60)) for k in range(50)]
+    out = S.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), S.ShardParams(cells=64)).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"), F.first("shard").alias("s")).collect()
+    assert {r["n"] for r in out} == {1} and np.bincount([r["s"] for r in out], minlength=8).tolist() == [3] * 8
+
+
 def test_shards(spark, documents):
     out = S.shard_documents(documents).collect()
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
