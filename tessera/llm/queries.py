@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import END, START, format_conversations, masked_text
+from tessera.llm.fim import fim_restore, fim_transform
 from tessera.llm.imatch import fingerprint_edits
 from tessera.llm.langid import learn_languages, predict_language
 from tessera.llm.media import media_features, new_store, read_media, store_media
@@ -133,6 +134,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and rebuilt from that."""
+    done = fim_transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim_restore(done, F.col("fim.output"), F.col("fim.form"), text="restored")
+    return back.select(
+        "doc_id",
+        F.col("fim.n_tokens").alias("n"),
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(F.col("fim.output"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored"), 256).alias("restored_sha256"),
+    )
+
+
+_OP11_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens FROM h),
+drawn AS (
+  SELECT *, len(tokens) AS n, CAST('0x' || d[1:8] AS UBIGINT) AS h1, CAST('0x' || d[9:16] AS UBIGINT) AS h2,
+    CAST('0x' || d[17:24] AS UBIGINT) AS h3, CAST('0x' || d[25:32] AS UBIGINT) AS h4 FROM cut),
+placed AS (
+  SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:n], '') AS suffix FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -144,7 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_imatch": op9_imatch,
     "op10_sharding": op10_sharding,
+    "op11_fim": op11_fim,
 }
 
 #: The queries that SQL can express, for a second engine on the same tables.
-ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op11_fim": _OP11_SQL}
