@@ -16,6 +16,7 @@ from tessera.llm.mixing import draw, mix_sources, words_in
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pieces import decode_pieces, encode_pieces
 from tessera.llm.quality import QualityParams, learn_quality, score_quality
+from tessera.llm.repair import damaged, repair_report
 from tessera.llm.sharding import shard_documents
 from tessera.llm.shared import held_out, in_training, materialize
 from tessera.llm.toxicity import ToxicityParams, score_toxicity, train_toxicity
@@ -168,6 +169,62 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 """
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged row by row: what is wrong with it and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    told = repair_report(damaged(conversations)).withColumnRenamed("conv_id", "of")
+    every = conversations.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+fated AS (
+  SELECT keyed.*, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(key) + 1), lambda i: CAST(ord(key[i]) AS UBIGINT))),
+    lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) % 20 AS fate FROM keyed, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated WHERE fate <> 0),
+seen AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC, copy DESC) AS k,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM hurt),
+faulty AS (
+  SELECT conv_id, turn, role, text, k, role[1] AS i, before, CASE WHEN trimmed = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(right(trimmed, 1), '[.!?]') THEN 'truncated' ELSE '' END AS fault FROM seen),
+ends AS (SELECT [{'c': 0, 'a': '', 'r': []::VARCHAR[]}, {'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 2, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': []::VARCHAR[]}] AS v),
+best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, v FROM conversations, ends
+  UNION ALL
+  SELECT conv_id, k, [list_min([x[1], {'c': x[3].c + 2, 'a': 'I' || x[3].a, 'r': list_concat(['user:'], x[3].r)}, {'c': x[4].c + 4, 'a': 'II' || x[4].a, 'r': list_concat(['user:', 'assistant:'], x[4].r)}]),
+    list_min([x[2], {'c': x[3].c + 2, 'a': 'I' || x[3].a, 'r': list_concat(['user:'], x[3].r)}, {'c': x[4].c + 4, 'a': 'II' || x[4].a, 'r': list_concat(['user:', 'assistant:'], x[4].r)}]),
+    list_min([x[3], {'c': x[4].c + 2, 'a': 'I' || x[4].a, 'r': list_concat(['assistant:'], x[4].r)}]),
+    list_min([x[4], {'c': x[3].c + 2, 'a': 'I' || x[3].a, 'r': list_concat(['user:'], x[3].r)}])] FROM (
+    SELECT f.conv_id, f.k, list_transform([1, 2, 3, 4], lambda g: list_min(list_filter([
+        {'c': v[g].c + 3, 'a': 'D' || v[g].a, 'r': v[g].r},
+        CASE WHEN fault IN ('', 'truncated') AND n[g] > 0 THEN {'c': v[n[g]].c + CASE fault WHEN '' THEN 0 ELSE 1 END, 'a': 'K' || v[n[g]].a, 'r': list_concat([role || ':' || text], v[n[g]].r)} END,
+        CASE WHEN fault IN ('', 'truncated') THEN {'c': v[m[g]].c + CASE fault WHEN '' THEN 2 ELSE 3 END, 'a': 'R' || v[m[g]].a,
+          'r': list_concat([CASE m[g] WHEN 3 THEN 'user:' ELSE 'assistant:' END || text], v[m[g]].r)} END], lambda o: o IS NOT NULL))) AS x
+    FROM (SELECT b.v, f.*, [3, 3, 4, 3] AS m, CASE i WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS n
+      FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.k = b.k + 1) f) g),
+repaired AS (SELECT conv_id, arg_max(v, k)[1] AS b FROM best GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+FROM repaired r LEFT JOIN counted c ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -180,7 +237,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_imatch": op9_imatch,
     "op10_sharding": op10_sharding,
     "op11_fim": op11_fim,
+    "op13_repair": op13_repair,
 }
 
 #: The queries that SQL can express, for a second engine on the same tables.
-ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op11_fim": _OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op11_fim": _OP11_SQL, "op13_repair": _OP13_SQL}
