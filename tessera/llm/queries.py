@@ -19,6 +19,7 @@ from tessera.llm.quality import QualityParams, learn_quality, score_quality
 from tessera.llm.repair import damaged, repair_report
 from tessera.llm.sharding import shard_documents
 from tessera.llm.shared import held_out, in_training, materialize
+from tessera.llm.simhash import hex_of, simhash_components
 from tessera.llm.toxicity import ToxicityParams, score_toxicity, train_toxicity
 from tessera.llm.quality import labelled
 
@@ -169,6 +170,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 """
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the least document that near fingerprints reach from it."""
+    found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged row by row: what is wrong with it and its cheapest repair."""
     conversations = table(spark, sf_dir, "conversations")
@@ -237,6 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_imatch": op9_imatch,
     "op10_sharding": op10_sharding,
     "op11_fim": op11_fim,
+    "op12_simhash": op12_simhash,
     "op13_repair": op13_repair,
 }
 
