@@ -50,13 +50,13 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def _with_faults(turns: DataFrame, conv_id: str, turn: str, role: str, text: str, parts: int | None) -> DataFrame:
-    """(conv, turn, role, text, fault), dealt by conversation; fault: blank, duplicate, truncated or null."""
+    """(conv, turn, role, text, nth, fault), dealt by conversation; nth: of the conversation's rows of this role and text; fault: blank, duplicate, truncated or null."""
     rows = turns.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(n) for c, n in ((role, "role"), (text, "text"))])
     rows = rows.repartition(parts, "conv") if parts else rows.repartition("conv")
     # rows dealt by conversation need no other exchange for this
-    earlier = F.row_number().over(Window.partitionBy("conv", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "role", "text").orderBy(F.col("turn").asc_nulls_first())))
     trimmed = F.rtrim(F.col("text"), F.lit(WHITE))
-    fault = F.when(trimmed == "", "blank").when(earlier, "duplicate").when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), "truncated")
+    fault = F.when(trimmed == "", "blank").when(F.col("nth") > 1, "duplicate").when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), "truncated")
     return rows.withColumn("fault", fault)
 
 
@@ -181,11 +181,11 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
 def _walked(turns: DataFrame, params: RepairParams, names: tuple[str, str, str, str], parts: int | None) -> DataFrame:
     """Rows from the first turn to the last of each conversation, each with its best edits; sorted within partitions."""
     rows = _with_faults(turns, *names, parts).withColumn("initial", F.substring("role", 1, 1))
-    tie, found = ["role", "text"], F.col("fault").isNotNull()
-    back = rows.sortWithinPartitions("conv", F.col("turn").desc_nulls_last(), *[F.col(c).desc() for c in tie], found.desc())
+    tie = ["role", "text", "nth"]  # no two rows of a conversation are equal in all, so that both orders are each other's reverse
+    back = rows.sortWithinPartitions("conv", F.col("turn").desc_nulls_last(), *[F.col(c).desc() for c in tie])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", best smallint, last boolean"
     edited = back.mapInArrow(_backwards(params), schema)
-    return edited.sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), *tie, found)
+    return edited.sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), *tie)
 
 
 _COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
