@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import exact_percentiles, same_keys
+
 
 def sum_of(value: Column, scale: int | None = None) -> Column:
     """Sum as a double. With a scale, of values rounded to so many decimals, which doesn't depend on the order of rows; they must be below 10**(30 - scale)."""
@@ -55,20 +57,20 @@ def latest_by(df: DataFrame, key: str, order: list[str], columns: list[str]) ->
     return df.groupBy(key).agg(row).select(key, "r.*")
 
 
-def statistics(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
-    """mean, median, p95, min, max, std, count and cv of a value; cv is null for a single value or mean 0."""
+def statistics(df: DataFrame, keys: list[str], value: str, digits: int = 6, means: tuple[str, ...] = ()) -> DataFrame:
+    """mean, median, p95, min, max, std, count and cv of a value; cv is null for a single value or mean 0. Also the `means` of other columns, as `<name>_mean`, not rounded.
+
+    Median and p95 are exact, by ranks: see `exact_percentiles`.
+    """
     v = F.col(value)
     std = F.when(F.count(v) > 1, F.stddev_samp(v))
-    stats = {
-        "mean": F.avg(v),
-        "median": F.percentile(v, F.lit(0.5)),
-        "p95": F.percentile(v, F.lit(0.95)),
-        "min": F.min(v),
-        "max": F.max(v),
-        "std": std,
-        "cv": F.try_divide(std, F.avg(v)),
-    }
-    return df.groupBy(*keys).agg(*[F.round(c, digits).alias(k) for k, c in stats.items()], F.count(v).alias("count"))
+    stats = {"mean": F.avg(v), "min": F.min(v), "max": F.max(v), "std": std, "cv": F.try_divide(std, F.avg(v))}
+    others = [F.avg(m).alias(f"{m}_mean") for m in means]
+    table = df.groupBy(*keys).agg(*[F.round(c, digits).alias(k) for k, c in stats.items()], F.count(v).alias("count"), *others)
+    names = {k: f"__p{i}" for i, k in enumerate(keys)}
+    ranks = exact_percentiles(df, keys, value, {"median": 0.5, "p95": 0.95}).withColumnsRenamed(names)
+    joined = table.join(ranks, same_keys(names), "left").withColumns({c: F.round(c, digits) for c in ("median", "p95")})
+    return joined.select(*keys, "mean", "median", "p95", "min", "max", "std", "cv", "count", *[f"{m}_mean" for m in means])
 
 
 def pivoted(df: DataFrame, key: str, column: str, values: list[str], value: Column, complete: bool = True) -> DataFrame:

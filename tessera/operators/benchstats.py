@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.aggregates import pivoted, statistics
+from tessera.operators.cells import exact_percentiles, with_previous
 
 
 def run_statistics(log: DataFrame, keys: list[str], wall: str = "wall_ms", rows: str = "rows") -> DataFrame:
     """Statistics of the wall time by key, mean rows, and throughput: mean rows a mean second."""
-    stats = statistics(log, keys, wall)
-    mean_rows = log.groupBy(*keys).agg(F.round(F.avg(rows), 6).alias("rows_mean"), F.round(F.try_divide(F.avg(rows), F.avg(wall) / 1000.0), 6).alias("throughput"))
-    return stats.join(mean_rows, keys)
+    spent = log.withColumn("__wall", F.col(wall))
+    stats = statistics(spent, keys, wall, means=(rows, "__wall"))
+    throughput = F.round(F.try_divide(F.col(f"{rows}_mean"), F.col("__wall_mean") / 1000.0), 6)
+    return stats.withColumn("throughput", throughput).withColumn("rows_mean", F.round(f"{rows}_mean", 6)).drop("__wall_mean", *({f"{rows}_mean"} - {"rows_mean"}))
 
 
 def speedup(log: DataFrame, key: str, column: str, slow: str, fast: str, wall: str = "wall_ms") -> DataFrame:
-    """Ratio slow / fast of mean and of median times for each key that has both."""
+    """Ratio slow / fast of mean and of median times for each key that has both; medians by ranks."""
     means = pivoted(log, key, column, [slow, fast], F.avg(wall)).select(key, F.try_divide(F.col(slow), F.col(fast)).alias("speedup_mean"))
-    medians = pivoted(log, key, column, [slow, fast], F.percentile(wall, F.lit(0.5))).select(key, F.try_divide(F.col(slow), F.col(fast)).alias("speedup_median"))
+    medians = exact_percentiles(log.where(F.col(column).isin(slow, fast)), [key, column], wall, {"median": 0.5})
+    medians = pivoted(medians, key, column, [slow, fast], F.max("median")).select(key, F.try_divide(F.col(slow), F.col(fast)).alias("speedup_median"))
     return means.join(medians, key).select(key, F.round("speedup_mean", 6).alias("speedup_mean"), F.round("speedup_median", 6).alias("speedup_median"))
 
 
@@ -29,8 +32,7 @@ def overall_speedup(log: DataFrame, key: str, column: str, slow: str, fast: str,
 
 
 def throughput_trend(log: DataFrame, keys: list[str], order: str, rows: Column, wall: Column) -> DataFrame:
-    """Each run's index and throughput, and its change from the run before."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    per_second = F.round(F.try_divide(rows, wall / 1000.0), 6)
-    own = log.withColumn("run", F.row_number().over(by)).withColumn("throughput", per_second)
-    return own.withColumn("change", F.round(F.col("throughput") - F.lag("throughput").over(by), 6))
+    """Each run's index and throughput, and its change from the run before; a tool's runs are cut into cells of their order."""
+    own = log.withColumn("throughput", F.round(F.try_divide(rows, wall / 1000.0), 6))
+    own = with_previous(own, keys, [order], {"__then": F.col("throughput")}, number="run")
+    return own.withColumn("change", F.round(F.col("throughput") - F.col("__then"), 6)).drop("__then")

@@ -63,6 +63,45 @@ def seasons_of_range(df: DataFrame, start: str, end: str, season: str = "season"
     return df.where(F.col(start) <= F.col(end)).withColumn(season, F.explode(F.sequence(F.col(start), F.col(end))))
 
 
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The fewest aligned blocks that make up the whole numbers from `first` to `last`: an array of (level, block).
+
+    A block of a level has 2**level numbers. There are at most two blocks a level, 40 for a million numbers; none if last < first or a bound is null.
+    """
+    block = lambda level, at: F.struct(level.cast("int").alias("level"), at.alias("block"))
+    empty = F.array().cast("array<struct<level: int, block: bigint>>")
+    start = F.struct(first.cast("long").alias("lo"), (last.cast("long") + 1).alias("hi"), empty.alias("out"))
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def climb(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        taken = lambda test, at: F.when((lo < hi) & test, F.array(block(level, at))).otherwise(empty)
+        up = F.when(odd(lo), lo + 1).otherwise(lo)
+        down = F.when(odd(hi), hi - 1).otherwise(hi)
+        out = F.concat(acc["out"], taken(odd(lo), lo), taken(odd(hi) & (hi - 1 >= up), hi - 1))
+        return F.when(lo >= hi, acc).otherwise(F.struct(F.shiftright(up, 1).alias("lo"), F.shiftright(down, 1).alias("hi"), out.alias("out")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, climb, lambda acc: acc["out"])
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, first: str, last: str) -> DataFrame:
+    """Inner join where `at` lies from `first` to `last` (whole numbers, both included) and the `on` columns are equal, as one equi join.
+
+    An interval becomes a row for each block of its dyadic cover, a point one for each level that any cover has, 63 at most; they
+    meet in exactly one block. Ranges may be long: a million steps make 40 rows at most. A null bound is open: it reaches to the
+    least or greatest point. A null point is in no interval. Columns but `on` must have different names on both sides.
+    """
+    reach = points.agg(F.min(at).cast("long").alias("lo"), F.max(at).cast("long").alias("hi"))
+    low, high = F.coalesce(F.col(first).cast("long"), reach.select("lo").scalar()), F.coalesce(F.col(last).cast("long"), reach.select("hi").scalar())
+    bounded = intervals.withColumn("__low", low).withColumn("__high", high)
+    covered = bounded.withColumn("__b", F.explode(dyadic_cover(F.col("__low"), F.col("__high")))).drop("__low", "__high")
+    covered = covered.select(*intervals.columns, F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
+    levels = covered.agg(F.collect_set("__level")).scalar()
+    leveled = points.where(F.col(at).isNotNull()).withColumn("__levels", levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+    leveled = leveled.withColumn("__block", F.expr(f"shiftright(cast(`{at}` as bigint), __level)"))
+    return leveled.join(covered, [*on, "__level", "__block"]).drop("__level", "__block")
+
+
 def list_members(df: DataFrame, listed: str, member: str, separator: str = ",") -> DataFrame:
     """One row for each member of a delimited list, without white space around it."""
     parts = F.filter(F.transform(F.split(F.col(listed), separator), lambda x: F.trim(x)), lambda x: x != "")

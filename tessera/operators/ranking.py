@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clamp01, ramp
+from tessera.operators.windows import top_n, with_group_total
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,10 @@ def multifactor_rank(df: DataFrame, factors: Factors = Factors(), season: int |
         rows = rows.where(F.col("season") == season)
     if team is not None:
         rows = rows.where(F.upper("team_abbr") == team.upper())
-    squad = Window.partitionBy("season", "team_abbr")
+    squad = ["season", "team_abbr"]
+    rows = with_group_total(rows, squad, {"__minutes": F.sum("mp")})
     mpg = F.round(F.col("mp") / F.col("g"), 1)
-    total = F.sum("mp").over(squad)
+    total = F.col("__minutes")
     share = F.round(F.when(total > 0, 100.0 * F.col("mp") / total), 1)
     estimated = F.col("pts_per_36") * F.col("mp") / 36.0
     points = F.when(F.col("team_pts") > 0, F.round(100.0 * estimated / F.col("team_pts"), 1))
@@ -62,8 +64,7 @@ def multifactor_rank(df: DataFrame, factors: Factors = Factors(), season: int |
     damp = 0.5 * ramp(F.col("minutes_per_game"), *factors.minutes) + 0.5 * ramp(F.col("g"), *factors.games)
     rows = rows.withColumn("score", raw * damp)
     order = [F.col(c).desc_nulls_last() for c in ("score", "team_minutes_share", "mp")]
-    by = squad.orderBy(*order, F.col("player_id").asc_nulls_last())
-    ranked = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= factors.keep)
+    ranked = top_n(rows, squad, [*order, F.col("player_id").asc_nulls_last()], factors.keep)
     shown = {"mp": 1, "usage_pct": 1, "ts_percent": 3, "pts_per_36": 1, "score": digits}
     kept = ["season", "team_abbr", "rank", "player_id", "player_name", "pos", "g", "gs", "mp", "minutes_per_game", "team_minutes_share", "usage_pct", "ts_percent", "pts_per_36", "team_pts_share", "ws", "vorp", "score"]
     return ranked.select(*[F.round(c, shown[c]).alias(c) if c in shown else F.lower(c).alias(c) if c == "player_name" else F.col(c) for c in kept])

@@ -1,10 +1,12 @@
-"""Ranks, shares, runs and pages over partitions; no window here spans a whole large table unless it is said."""
+"""Ranks, shares, standings and pages; no window here has a whole table or a group of any size to itself, see `cells`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import CELL, last_streaks, same_keys, with_cells
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key; each task keeps n of a key before the shuffle."""
@@ -12,23 +14,20 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(by)).where(F.col(rank) <= n)
 
 
-def share_of_group(df: DataFrame, keys: list[str], value: str, name: str, digits: int = 1) -> DataFrame:
-    """A value's percentage of its group's sum; null where that is 0."""
-    total = F.sum(value).over(Window.partitionBy(*keys))
-    return df.withColumn(name, F.round(F.try_divide(100.0 * F.col(value), total), digits))
+def with_group_total(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of each row's group, null keys being keys like any other.
 
-
-def run_index(df: DataFrame, keys: list[str], order: list[str], name: str = "run") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    They are aggregated in every task first and joined to the rows, so a group of any size is split like any skewed join.
+    """
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    sums = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.join(sums, same_keys(names), "left").drop(*names.values())
 
 
-def streaks(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
-    """Adds `streak`: rows of the same flag in a row up to this one, in order, within a key."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.when(F.lag(flag).over(by).eqNullSafe(F.col(flag)), 0).otherwise(1)
-    islands = df.withColumn("__island", F.sum(changed).over(by))
-    within = Window.partitionBy(*keys, "__island").orderBy(*order)
-    return islands.withColumn("streak", F.row_number().over(within)).drop("__island")
+def share_of_group(df: DataFrame, keys: list[str], value: str, name: str, digits: int = 1) -> DataFrame:
+    """A value's percentage of its group's sum; null where that is 0."""
+    share = F.round(F.try_divide(100.0 * F.col(value), F.col("__total")), digits)
+    return with_group_total(df, keys, {"__total": F.sum(value)}).withColumn(name, share).drop("__total")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int, total: str | None = None) -> DataFrame:
@@ -40,15 +39,31 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, total: str
     return rows if total is None else rows.withColumn(total, df.agg(F.count(F.lit(1))).scalar())
 
 
-def standings(results: DataFrame, group: str, team: str, order: list[str], won: str) -> DataFrame:
+def page_by_rank(df: DataFrame, order: list[str | Column], number: int, size: int, rank: str = "rank", total: str | None = None, n_cells: int | None = None) -> DataFrame:
+    """Rows of one page (from 1) of any depth, with their `rank` from 1; only the cells of the order that the page touches are sorted.
+
+    Counts of all cells tell which ranks each holds; there are at most `n_cells` of them, so they are broadcast. `order`: ascending
+    keys that tell rows apart (`cells.descending` turns a number around). `total` as in `page`.
+    """
+    first, last = (number - 1) * size, number * size
+    rows = with_cells(df, order, n_cells)
+    cells = rows.groupBy(CELL).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of a row a cell
+    cells = cells.withColumn("__before", before)
+    touched = cells.where((F.col("__before") < last) & (F.col("__before") + F.col("__n") > first)).select(CELL, "__before")
+    local = F.row_number().over(Window.partitionBy(CELL).orderBy(*order))
+    found = rows.join(F.broadcast(touched), CELL).withColumn(rank, F.col("__before") + local).where((F.col(rank) > first) & (F.col(rank) <= last))
+    found = found.select(*df.columns, rank).orderBy(rank)
+    return found if total is None else found.withColumn(total, df.agg(F.count(F.lit(1))).scalar())
+
+
+def standings(results: DataFrame, group: str, team: str, order: list[str], won: str, cell: Column | None = None) -> DataFrame:
     """w, l, games behind the leader and the current streak (`W3`, `L1`) of each team in a group.
 
     `results`: one row for each team and game, `won` 1 or 0. Behind: ((leader's w - w) + (l - leader's l)) / 2, the leader
-    being the team with the greatest w - l.
+    being the team with the greatest w - l. A team's games are folded by cells of the order, or by `cell`, a column that grows with it.
     """
-    runs = streaks(results, [group, team], order, won)
-    last = F.max_by(F.struct(won, "streak"), F.struct(*order))
-    table = runs.groupBy(group, team).agg(F.sum(won).cast("long").alias("w"), F.sum(1 - F.col(won)).cast("long").alias("l"), last.alias("last"))
-    lead = F.max(F.col("w") - F.col("l")).over(Window.partitionBy(group))
-    streak = F.concat(F.when(F.col("last")[won] == 1, "W").otherwise("L"), F.col("last.streak").cast("string"))
-    return table.select(group, team, "w", "l", ((lead - (F.col("w") - F.col("l"))) / 2.0).alias("gb"), streak.alias("streak"))
+    table = last_streaks(results, [group, team], order, won, {"w": F.col(won)}, cell).withColumn("l", F.col("n") - F.col("w"))
+    leader = F.max(F.col("w") - F.col("l")).over(Window.partitionBy(group))  # a row a team
+    streak = F.concat(F.when(F.col(won) == 1, "W").otherwise("L"), F.col("streak").cast("string"))
+    return table.select(group, team, F.col("w").cast("long").alias("w"), F.col("l").cast("long").alias("l"), ((leader - (F.col("w") - F.col("l"))) / 2.0).alias("gb"), streak.alias("streak"))

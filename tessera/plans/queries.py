@@ -152,7 +152,7 @@ def conference_standings(games: DataFrame) -> DataFrame:
     home_won = F.when(F.col("home_pts") > F.col("away_pts"), 1).otherwise(0)
     sides = F.inline(F.array(F.struct(F.col("home_id").alias("team"), home_won.alias("won")), F.struct(F.col("away_id").alias("team"), (1 - home_won).alias("won"))))
     rows = games.where("home_pts is not null and away_pts is not null").select("conference", "game_date", "game_id", sides)
-    table = W.standings(rows, "conference", "team", ["game_date", "game_id"], "won")
+    table = W.standings(rows, "conference", "team", ["game_date", "game_id"], "won", F.trunc("game_date", "month"))
     return table.orderBy("conference", "gb", F.col("w").desc(), "team")
 
 

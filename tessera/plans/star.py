@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
 from tessera.operators import benchstats as B
+from tessera.operators import cells as O
 from tessera.operators import checks as C
 from tessera.operators import joins as J
 from tessera.operators import resolve as R
@@ -216,6 +217,23 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(tenure, ["season", "c_nationkey"])
 
 
+@_query("""
+WITH s AS (SELECT s_suppkey, s_nationkey AS nation, date_diff('day', DATE '1970-01-01', DATE '1992-01-01') + (s_suppkey * 37) % 1500 AS a FROM supplier),
+t AS (SELECT s_suppkey, nation, a, CASE WHEN s_suppkey % 5 <> 0 THEN a + (s_suppkey * 91) % 900 END AS b FROM s),
+o AS (SELECT o_orderkey, c_nationkey AS nation, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT s_suppkey, count(*) AS orders, CAST(min(day) AS INTEGER) AS first_day FROM t JOIN o ON o.nation = t.nation AND day >= a AND (b IS NULL OR day <= b) GROUP BY 1""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a supplier's nation in a tenure of up to 900 days, or one without an end, as an equi join on dyadic blocks."""
+    days = F.datediff(F.lit("1992-01-01").cast("date"), F.lit("1970-01-01").cast("date")) + (F.col("s_suppkey") * 37) % 1500
+    tenures = _table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), days.alias("a"))
+    tenures = tenures.withColumn("b", F.when(F.col("s_suppkey") % 5 != 0, F.col("a") + (F.col("s_suppkey") * 91) % 900))
+    customer = _table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    orders = _table(spark, d, "orders").join(customer, "o_custkey").groupBy("nation", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    found = J.interval_join(orders, tenures, ["nation"], "day", "a", "b")
+    return found.groupBy("s_suppkey").agg(F.sum("n").alias("orders"), F.min("day").alias("first_day"))
+
+
 _CODES = "['LAL','SEA','NJN','WSB','PHO','BOS']"
 _FRANCHISE_VALUES = ", ".join(f"('{code}', '{name}')" for name, codes in S.FRANCHISES.items() for code in codes)
 _CANON_VALUES = ", ".join(f"('{old}', '{new}')" for new, olds in S.CANONICAL.items() for old in olds)
@@ -271,19 +289,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY season, team_abbr ORDER BY round
 SELECT season, team_abbr, player_id, minutes_per_game, team_minutes_share, round(score, 6) AS score FROM r WHERE k <= 15""")
 def multifactor(spark: SparkSession, d: str) -> DataFrame:
     """The multi-factor ranking, customers being players and nations teams."""
-    line = _table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber")
-    orders = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "season")
-    customer = _table(spark, d, "customer")
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    keys = [F.col("season"), F.col("c_nationkey").cast("string").alias("team_abbr"), F.col("o_custkey").cast("string").alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_mktsegment").alias("pos")]
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("g"), F.count_distinct("o_orderstatus").cast("int").alias("gs"), F.sum("l_quantity").alias("mp"), F.sum("l_linenumber").cast("double").alias("pts"))
-    number, squad = F.col("player_id").cast("long"), Window.partitionBy("season", "team_abbr")
+    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("g"), F.sum("l_quantity").alias("mp"), F.sum("l_linenumber").alias("pts"))
+    orders = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "season").join(lines, "o_orderkey")
+    sums = orders.groupBy("season", "o_custkey").agg(F.sum("g").cast("int").alias("g"), F.size(F.collect_set("o_orderstatus")).alias("gs"), F.sum("mp").alias("mp"), F.sum("pts").cast("double").alias("pts"))
+    keys = ["season", F.col("c_nationkey").cast("string").alias("team_abbr"), F.col("o_custkey").cast("string").alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_mktsegment").alias("pos")]
+    base = sums.join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(*keys, "g", "gs", "mp", "pts")
+    base = W.with_group_total(base, ["season", "team_abbr"], {"__pts": F.sum("pts")})
+    number = F.col("player_id").cast("long")
     base = base.select(
         "*",
         F.when(number % 7 != 0, F.col("mp") / 10).alias("usage_pct"),
         (F.col("pts") / F.col("mp")).alias("ts_percent"),
         S.per_36(F.col("pts"), F.col("mp")).alias("pts_per_36"),
-        (F.sum("pts").over(squad) * 2).alias("team_pts"),
+        (F.col("__pts") * 2).alias("team_pts"),
         F.when(number % 5 != 0, F.col("g") - 8.0).alias("ws"),
         (F.col("pts") / 20 - 1).alias("vorp"),
     )
@@ -392,18 +410,28 @@ def run_throughput(spark: SparkSession, d: str) -> DataFrame:
 @_query("""
 SELECT event_id, user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS run FROM events""")
 def run_index(spark: SparkSession, d: str) -> DataFrame:
-    """Arrival index within a key."""
-    return W.run_index(_table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], [F.col("event_id")])
+    """Arrival index within a key, carried over cells of the order."""
+    return O.numbered(_table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"], "run")
 
 
 @_query("""
-WITH a AS (SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 1)
+WITH a AS (SELECT o_orderkey AS orderkey, year(o_orderdate) AS year FROM orders), b AS (SELECT l_orderkey AS orderkey, year(l_shipdate) AS year FROM lineitem WHERE l_linenumber = 1)
 SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def dataset_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that one of two tables has more often."""
-    orders = _table(spark, d, "orders")
-    columns = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-    return C.difference(orders.where("o_orderkey % 3 <> 0").select(*columns), orders.where("o_orderkey % 3 <> 1").select(*columns))
+    """Rows that one of two tables has more often: orders by the year they were placed in, and by the year their first line was shipped in."""
+    placed = _table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.year("o_orderdate").alias("year"))
+    shipped = _table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("orderkey"), F.year("l_shipdate").alias("year"))
+    return C.difference(placed, shipped)
+
+
+@_query("""
+WITH a AS (SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT c_custkey AS custkey, CAST(10 AS BIGINT) AS n FROM customer)
+SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def dataset_diff_by_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The same by digests of buckets, after which only buckets that differ are compared: customers' numbers of orders against ten each."""
+    counted = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n"))
+    expected = _table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.lit(10).cast("long").alias("n"))
+    return C.difference_by_digest(counted, expected)
 
 
 @_query("""
@@ -433,6 +461,15 @@ def page_slice(spark: SparkSession, d: str) -> DataFrame:
     return W.page(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), order, 3, 25, total="total")
 
 
+@_query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(k AS BIGINT) AS rank, (SELECT count(*) FROM lineitem) AS total FROM (
+  SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k > 5000 AND k <= 5050""")
+def page_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Page 101 of 50 by price; only the cells of the order that hold it are sorted."""
+    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return W.page_by_rank(lines, [O.descending(F.col("l_extendedprice")), "l_orderkey", "l_linenumber"], 101, 50, total="total")
+
+
 @_query(f"""
 SELECT CAST({_SEASON} AS INTEGER) AS season, n_name, CAST(round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice)) AS INTEGER) AS avg_price, count(o_totalprice) AS orders
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
@@ -531,7 +568,18 @@ def standings(spark: SparkSession, d: str) -> DataFrame:
     games = _games(spark, d)
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "away", "home_pts"]
     results = games.select((F.col("home") % 2).alias("conf"), F.col("home").alias("team"), F.when(F.col("home_pts") > F.col("away_pts"), 1).otherwise(0).alias("won"), *order)
-    return W.standings(results, "conf", "team", order, "won")
+    return W.standings(results, "conf", "team", order, "won", F.trunc("l_shipdate", "month"))
+
+
+@_query(f"""
+WITH g AS ({_GAMES}), r AS (SELECT home AS team, l_shipdate, l_orderkey, l_linenumber, away, CASE WHEN home_pts > away_pts THEN 1 ELSE 0 END AS won FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k, row_number() OVER (PARTITION BY team, won ORDER BY l_shipdate, l_orderkey, l_linenumber) AS kw FROM r)
+SELECT team, l_orderkey, l_linenumber, won, CAST(row_number() OVER (PARTITION BY team, won, k - kw ORDER BY k) AS INTEGER) AS streak FROM o""")
+def game_streaks(spark: SparkSession, d: str) -> DataFrame:
+    """The running streak of every home game, a team's games being split over tasks."""
+    games = _games(spark, d).select(F.col("home").alias("team"), "l_shipdate", "l_orderkey", "l_linenumber", F.when(F.col("home_pts") > F.col("away_pts"), 1).otherwise(0).alias("won"))
+    found = O.streaks(games, ["team"], ["l_shipdate", "l_orderkey", "l_linenumber"], "won", F.trunc("l_shipdate", "month"))
+    return found.select("team", "l_orderkey", "l_linenumber", "won", "streak")
 
 
 @_query("""

@@ -13,36 +13,50 @@ FEATURES = ["home_form", "away_form", "home_rest", "away_rest", "home_baseline"]
 MOST_REST = 14
 
 
+def daily_form(sides: DataFrame, days: int = 365) -> DataFrame:
+    """Of each team and day with games: form, rest and home baseline before that day. `sides`: (team, day, at_home, won), a row a team and game.
+
+    Games are added up by team and day first. A team's days are cut into buckets of `days`; each day goes to its own bucket and, as a halo, to
+    the next one, which is all that a form of `days` needs, so a team is as many tasks as it has buckets. What reaches back further,
+    the home record, is carried from bucket to bucket as sums.
+    """
+    home = F.when(F.col("at_home"), F.col("won"))
+    daily = sides.groupBy("team", "day").agg(F.count("won").alias("n"), F.sum("won").alias("w"), F.count(home).alias("home_n"), F.coalesce(F.sum(home), F.lit(0)).alias("home_w"))
+    daily = daily.withColumn("bucket", F.floor(F.col("day") / days))
+    sums = daily.groupBy("team", "bucket").agg(F.sum("home_n").alias("n"), F.sum("home_w").alias("w"))
+    earlier = Window.partitionBy("team").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # of a row a bucket
+    sums = sums.select(F.col("team").alias("of"), F.col("bucket").alias("then"), F.sum("n").over(earlier).alias("before_n"), F.sum("w").over(earlier).alias("before_w")).where("before_n > 0")
+    spread = daily.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("halo")).withColumn("at", F.col("bucket") + F.col("halo"))
+    # within a bucket the halo's days come first, as they are earlier
+    own = Window.partitionBy("team", "at").orderBy("day")
+    before, so_far = own.rangeBetween(-days, -1), own.rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda c: F.coalesce(F.sum(F.when(F.col("halo") == 0, F.col(c))).over(so_far), F.lit(0))
+    spread = spread.withColumns({"form": F.try_divide(F.sum("w").over(before), F.sum("n").over(before)), "rest": F.col("day") - F.lag("day").over(own), "own_n": inside("home_n"), "own_w": inside("home_w")})
+    found = spread.where("halo = 0").join(sums, F.col("team").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("then")), "left")
+    baseline = F.try_divide(F.col("own_w") + F.coalesce("before_w", F.lit(0)), F.col("own_n") + F.coalesce("before_n", F.lit(0)))
+    rest = F.least(F.coalesce("rest", F.lit(MOST_REST)), F.lit(MOST_REST)).cast("double")
+    return found.select("team", "day", F.coalesce("form", F.lit(0.5)).alias("form"), rest.alias("rest"), F.coalesce(baseline, F.lit(0.5)).alias("baseline"))
+
+
 def game_features(games: DataFrame, days: int = 365) -> DataFrame:
     """Features of each game from games before it: (game_id, game_date, home_id, away_id, home_win, and FEATURES).
 
-    Form is the part of games won in the `days` before, rest the days since the last game, the home baseline the part of
-    home games won so far. Without a game before: form and baseline 0.5, rest the most. Windows are by team.
+    Form is the part of games won in the `days` before (MOST_REST or more), rest the days since the last game, the home baseline the part of
+    home games won so far. Without a game before: form and baseline 0.5, rest the most. See `daily_form` for how teams are split.
     Games without both scores or a date are left out.
     """
+    if days < MOST_REST:
+        raise ValueError(f"form of fewer than {MOST_REST} days doesn't tell the rest")
     games = games.where("home_pts is not null and away_pts is not null and game_date is not null")
     home_win = F.when(F.col("home_pts") > F.col("away_pts"), 1).otherwise(0)
-    sides = F.inline(F.array(F.struct(F.lit("home").alias("side"), F.col("home_id").alias("team"), home_win.alias("won")), F.struct(F.lit("away").alias("side"), F.col("away_id").alias("team"), (1 - home_win).alias("won"))))
-    rows = games.select("game_id", "game_date", "home_id", "away_id", home_win.alias("home_win"), sides)
-    rows = rows.withColumn("__day", F.datediff("game_date", F.lit("1970-01-01").cast("date")))
-    before = Window.partitionBy("team").orderBy("__day").rangeBetween(-days, -1)
-    all_before = Window.partitionBy("team").orderBy("__day").rangeBetween(Window.unboundedPreceding, -1)
-    at_home = F.when(F.col("side") == "home", F.col("won"))
-    rows = rows.select(
-        "game_id",
-        "game_date",
-        "home_id",
-        "away_id",
-        "home_win",
-        "side",
-        F.coalesce(F.avg("won").over(before), F.lit(0.5)).alias("form"),
-        F.least(F.coalesce(F.col("__day") - F.max("__day").over(all_before), F.lit(MOST_REST)), F.lit(MOST_REST)).cast("double").alias("rest"),
-        F.coalesce(F.avg(at_home).over(all_before), F.lit(0.5)).alias("baseline"),
-    )
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    return rows.groupBy("game_id", "game_date", "home_id", "away_id", "home_win").agg(
-        of("home", "form").alias("home_form"), of("away", "form").alias("away_form"), of("home", "rest").alias("home_rest"), of("away", "rest").alias("away_rest"), of("home", "baseline").alias("home_baseline")
-    )
+    games = games.select("game_id", "game_date", "home_id", "away_id", home_win.alias("home_win"), F.datediff("game_date", F.lit("1970-01-01").cast("date")).alias("__day"))
+    side = lambda team, at_home, won: F.struct(F.col(team).alias("team"), F.lit(at_home).alias("at_home"), won.alias("won"))
+    sides = games.select(F.col("__day").alias("day"), F.inline(F.array(side("home_id", True, F.col("home_win")), side("away_id", False, 1 - F.col("home_win")))))
+    form = daily_form(sides, days)
+    for name in ("home", "away"):
+        of = form.select(F.col("team").alias("__team"), F.col("day").alias("__of"), *[F.col(c).alias(f"{name}_{c}") for c in ("form", "rest", "baseline")])
+        games = games.join(of, F.col(f"{name}_id").eqNullSafe(F.col("__team")) & (F.col("__day") == F.col("__of"))).drop("__team", "__of")
+    return games.select("game_id", "game_date", "home_id", "away_id", "home_win", *FEATURES)
 
 
 def fit_home_win(features: DataFrame, reg_param: float = 0.01, elastic_net: float = 0.0, test_percent: int = 20, model_path: str | None = None) -> tuple[LogisticRegressionModel, DataFrame]:

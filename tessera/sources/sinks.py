@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ def append_log(spark: SparkSession, path: str, record: dict[str, str | int | flo
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path holds anything, in any file system that Spark reads."""
+    """Whether a path holds anything, in any file system that Spark reads; not whether a job that wrote there has ended, see `Snapshots`."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -47,19 +48,83 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+class Snapshots:
+    """Whole versions of a table below one path, and a pointer to the current one.
+
+    A version is written to a folder of its own, and only when its job has ended is a pointer to it put in place, by renaming a
+    finished file. So a reader sees a whole version at any time: a job that is lost leaves the version before,
+    and a plan that reads the current version may itself make the next one. Old versions stay readable until `prune`. Works in any
+    file system that Spark writes to; of two writers at once the later pointer wins, and both versions are whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Versions that pointers name, oldest first; the last is current."""
+        if not self._fs.exists(self._at("pointers")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at("pointers"))]
+        return [n.split(".", 1)[1] for n in sorted(names) if not n.startswith(("_", "."))]
+
+    def write(self, df: DataFrame) -> str:
+        """Writes a version and makes it current; its name."""
+        version = f"v{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/versions/{version}")
+        number = 1 + max((int(n.getPath().getName().split(".")[0]) for n in self._pointer_files()), default=0)
+        unfinished = self._at("pointers", f"_{version}")
+        self._fs.create(unfinished).close()
+        while not self._fs.rename(unfinished, self._at("pointers", f"{number:012d}.{version}")):
+            number += 1
+        return version
+
+    def _pointer_files(self) -> list:
+        if not self._fs.exists(self._at("pointers")):
+            return []
+        return [f for f in self._fs.listStatus(self._at("pointers")) if not f.getPath().getName().startswith(("_", "."))]
+
+    def read(self, version: str | None = None) -> DataFrame:
+        """The current version or a named one; raises if there is none."""
+        known = self.versions()
+        if not known or (version and version not in known):
+            raise ValueError(f"{self.path} has no version {version or ''}".rstrip())
+        return self.spark.read.parquet(f"{self.path}/versions/{version or known[-1]}")
+
+    def prune(self, keep: int = 2) -> None:
+        """Removes all but the latest versions, and what no pointer names; not while others write or read old ones."""
+        kept = self.versions()[-keep:]
+        for f in self._pointer_files():
+            if f.getPath().getName().split(".", 1)[1] not in kept:
+                self._fs.delete(f.getPath(), True)
+        if self._fs.exists(self._at("versions")):
+            for f in self._fs.listStatus(self._at("versions")):
+                if f.getPath().getName() not in kept:
+                    self._fs.delete(f.getPath(), True)
+
+
 def snapshot(df: DataFrame, view: str, path: str) -> DataFrame:
-    """Writes a view's rows and registers the view over what is written; later plans begin there."""
-    df.write.mode("overwrite").parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a view's rows as the next version below a path and registers the view over it; later plans begin there.
+
+    `df` may read the view or the version before.
+    """
+    store = Snapshots(df.sparkSession, path)
+    stored = store.read(store.write(df))
     stored.createOrReplaceTempView(view)
     return stored
 
 
 def materialize_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
-    """What is at a path; built and written first if nothing is there, or if it shall not be reused."""
-    if not (reuse and exists(spark, path)):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The current version below a path; built and written first if there is none, or if it shall not be reused.
+
+    What a lost job left counts as nothing.
+    """
+    store = Snapshots(spark, path)
+    if not (reuse and store.versions()):
+        store.write(build())
+    return store.read()
 
 
 def load_and_count(df: DataFrame, path: str, expected: int | None = None) -> int:
