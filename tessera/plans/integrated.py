@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
+from tessera.operators.checks import lowered, missing_columns
 from tessera.plans import queries as Q
 from tessera.plans import views as V
 
@@ -79,7 +81,7 @@ STAGES = {
     # the views' outputs, as far as the users' queries read them
     "player_season": """SELECT 'P' || CAST(c_custkey AS STRING) AS player_id, 'jo ' || CAST(c_custkey AS STRING) AS player_name, y AS season, 'N' || CAST(c_nationkey AS STRING) AS team_abbr, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'G' END AS position, CAST(180 + c_custkey % 30 AS INT) AS height_cm, CAST(80 + c_custkey % 40 AS INT) AS weight_kg,
       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey * 13 % 40 AS DOUBLE) END AS per, CAST(c_custkey % 60 AS DOUBLE) AS ts_percent, CAST(n % 9 AS DOUBLE) AS ws, CAST(n % 5 AS DOUBLE) AS vorp FROM {py}""",
-    "team_season": """SELECT y AS season, 'T' || CAST(c_nationkey AS STRING) AS team_abbr, CASE WHEN c_nationkey % 9 = 8 THEN NULL WHEN y < 1995 THEN 'City old ' || CAST(c_nationkey AS STRING) ELSE 'City team ' || CAST(c_nationkey AS STRING) END AS team_name, 'coach ' || CAST(y % 7 AS STRING) AS coach, 'arena' AS arena_name, CAST(n * 10 AS DOUBLE) AS attend, CAST(n % 100 AS DOUBLE) AS attend_g,
+    "team_season": """SELECT y AS season, 'T' || CAST(c_nationkey AS STRING) AS team_abbr, CASE WHEN c_nationkey % 9 = 8 THEN NULL WHEN y < 1998 THEN 'City old ' || CAST(c_nationkey AS STRING) ELSE 'City team ' || CAST(c_nationkey AS STRING) END AS team_name, 'coach ' || CAST(y % 7 AS STRING) AS coach, 'arena' AS arena_name, CAST(n * 10 AS DOUBLE) AS attend, CAST(n % 100 AS DOUBLE) AS attend_g,
       CAST(100 + c_nationkey AS DOUBLE) AS o_rtg, CAST(100 + n % 9 AS DOUBLE) AS d_rtg, CAST(c_nationkey AS DOUBLE) AS n_rtg, CAST(90 AS DOUBLE) AS pace, CAST(1 AS DOUBLE) AS srs, CAST(55 AS DOUBLE) AS ts_percent, CASE WHEN c_nationkey % 2 = 0 THEN NULL ELSE CAST(n % 30 + 90 AS DOUBLE) END AS points_per_game FROM {ty}""",
     "usage": "SELECT y AS season, 'jo ' || CAST(c_custkey AS STRING) AS player_name, 'P' || CAST(c_custkey AS STRING) AS player_id, 'N' || CAST(c_nationkey AS STRING) AS team_abbr, CAST(n AS DOUBLE) AS g, CAST(n * (c_custkey % 50 + 1) AS DOUBLE) AS minutes FROM {py}",
     "box": """SELECT CAST(l_orderkey AS STRING) AS game_id, 'T' || CAST(l_suppkey % 30 AS STRING) AS team_abbr, 'jo ' || CAST(l_suppkey AS STRING) AS player_name, CAST(year(l_shipdate) AS INT) AS season, CAST(l_partkey % 30 AS DOUBLE) AS pts, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_partkey % 17 AS DOUBLE) END AS reb, CAST(l_suppkey % 9 AS DOUBLE) AS oreb, CAST(l_partkey % 5 AS DOUBLE) AS dreb, CAST(l_partkey % 13 AS DOUBLE) AS ast FROM {lineitem}""",
@@ -118,6 +120,8 @@ def _with(sql: str) -> str:
 
     for n in list(parts):
         place(n)
+    if not order:
+        return body
     views = ", ".join(f"{n} AS ({parts[n]})" for n in order)
     return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
 
@@ -242,7 +246,7 @@ _BOX_NUMBERS = ["fgm", "fga", "fg_pct", "fg3m", "fg3a", "fg3_pct", "ftm", "fta",
 @_query(f"""SELECT season, game_id, lower(player_name) AS player_name, upper(team) AS team_abbr, game_date, lower(matchup) AS matchup, lower(wl) AS wl, CAST(trim(min) AS DOUBLE) AS minutes,
   {", ".join(f"try_cast({c} AS DOUBLE) AS {c}" for c in _BOX_NUMBERS)} FROM {{player_box_score}}""", "player_box_score")
 def view_player_game_box(df: DataFrame) -> DataFrame:
-    """N6, F9."""
+    """N6, F25."""
     return _dated(V.player_game_box(df))
 
 
@@ -281,8 +285,12 @@ def view_team_points(flat: DataFrame) -> DataFrame:
 
 @_query(f"""WITH p AS ({_TEAM_POINTS}) SELECT game_id, season, home_away, team_id, team_city, team_name, opponent_team_id, points FROM p WHERE season <> '' AND points IS NOT NULL""", "games_flat")
 def view_team_points_complete(flat: DataFrame) -> DataFrame:
-    """N12 with all fields known, P3, D6."""
-    return V.team_points(_documents(flat), complete=True)
+    """N12 with all fields known, P3, D6: column names as some source writes them, which must hold all that is needed."""
+    spelt = flat.select(*[F.col(c).alias(c.upper() if k % 2 else c.capitalize()) for k, c in enumerate(flat.columns)])
+    named = lowered(spelt)
+    if missing := missing_columns(named, ["game_id", "season", "home_team_id", "away_team_id", "home_score", "away_score"]):
+        raise ValueError(f"columns {missing} are missing")
+    return V.team_points(_documents(named), complete=True)
 
 
 @_query(f"""WITH p AS ({_TEAM_POINTS}) SELECT team_id, arg_min(team_city, CAST(game_id AS BIGINT)) FILTER (team_city IS NOT NULL) AS team_city, arg_min(team_name, CAST(game_id AS BIGINT)) FILTER (team_name IS NOT NULL) AS team_name
@@ -362,10 +370,10 @@ def user_compare_teams(team_season: DataFrame) -> DataFrame:
     return Q.compare_teams(team_season, ["T1", "t10"], 1997)
 
 
-@_query("SELECT season, team_abbr, team_name, attend, attend_g FROM {team_season} WHERE season = 1994", "team_season")
+@_query("SELECT season, team_abbr, team_name, attend, attend_g FROM {team_season} WHERE season = 1996", "team_season")
 def user_season_attendance(team_season: DataFrame) -> DataFrame:
     """Q11."""
-    return Q.season_attendance(team_season, 1994)
+    return Q.season_attendance(team_season, 1996)
 
 
 @_query("""SELECT g.season, team_abbr, CAST(round(CAST(sum(attendance) AS DOUBLE) / count(attendance)) AS INT) AS avg_attendance, count(attendance) AS games FROM {game} g
@@ -406,6 +414,14 @@ def user_game_dates(box: DataFrame, game: DataFrame) -> DataFrame:
     return Q.with_game_dates(box.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")), game)
 
 
+@_query("""WITH n AS (SELECT DISTINCT lower(trim(home_team_name)) AS team FROM {games_flat} UNION SELECT DISTINCT CASE WHEN c_nationkey % 3 = 0 THEN 'portland trail blazers' ELSE 'los angeles ' || lower(c_mktsegment) END FROM customer)
+SELECT team, CASE WHEN team LIKE '%trail blazers' THEN 'trail blazers' ELSE regexp_extract(team, '[^ ]+$') END AS nickname FROM n""", "games_flat", "customer")
+def user_nicknames(flat: DataFrame, customer: DataFrame) -> DataFrame:
+    """the last word of a team's name, or both where it has two."""
+    named = flat.select(F.lower(F.trim("home_team_name")).alias("team")).union(customer.select(F.when(F.col("c_nationkey") % 3 == 0, "portland trail blazers").otherwise(F.concat(F.lit("los angeles "), F.lower("c_mktsegment"))))).distinct()
+    return named.select("team", S.nickname(F.col("team")).alias("nickname"))
+
+
 _CAREER = ["g", "pts", "ast", "reb", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta"]
 
 

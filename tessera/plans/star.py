@@ -20,6 +20,7 @@ from tessera.operators import resolve as R
 from tessera.operators import reshape as P
 from tessera.operators import windows as W
 from tessera.operators.ranking import Factors, multifactor_rank
+from tessera.sources.staging import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,21 +583,39 @@ def game_streaks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("team", "l_orderkey", "l_linenumber", "won", "streak")
 
 
-@_query("""
+_SEARCH = """
 WITH e AS (SELECT 'customer' AS _entity, CAST(c_custkey AS VARCHAR) AS _id, c_name AS _title, c_mktsegment AS _subtitle, CAST(c_nationkey AS VARCHAR) AS _extra FROM customer
   UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, '', CAST(s_nationkey AS VARCHAR) FROM supplier)
 SELECT _entity, _id, _title, _subtitle, _extra FROM e
-WHERE contains(lower(_title || ' ' || _subtitle || ' ' || _extra), 'blue') AND contains(lower(_title || ' ' || _subtitle || ' ' || _extra), '1')
-ORDER BY (CASE WHEN contains(lower(_title), 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(lower(_title), '1') THEN 1 ELSE 0 END) DESC, _entity, _title, _id LIMIT 200""")
-def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    """All tokens must occur; the more in the title, the higher."""
-    from tessera.plans.queries import search
+WHERE contains(lower(_title || ' ' || _subtitle || ' ' || _extra), '{0}') AND contains(lower(_title || ' ' || _subtitle || ' ' || _extra), '{1}')
+ORDER BY (CASE WHEN contains(lower(_title), '{0}') THEN 1 ELSE 0 END + CASE WHEN contains(lower(_title), '{1}') THEN 1 ELSE 0 END) DESC, _entity, _title, _id LIMIT 200"""
 
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, parts and suppliers as entities to search."""
     text = lambda c: F.col(c).cast("string")
     customer = _table(spark, d, "customer").select(F.lit("customer").alias("_entity"), text("c_custkey").alias("_id"), F.col("c_name").alias("_title"), F.col("c_mktsegment").alias("_subtitle"), text("c_nationkey").alias("_extra"))
     part = _table(spark, d, "part").select(F.lit("part").alias("_entity"), text("p_partkey").alias("_id"), F.col("p_name").alias("_title"), F.col("p_brand").alias("_subtitle"), F.col("p_type").alias("_extra"))
     supplier = _table(spark, d, "supplier").select(F.lit("supplier").alias("_entity"), text("s_suppkey").alias("_id"), F.col("s_name").alias("_title"), F.lit("").alias("_subtitle"), text("s_nationkey").alias("_extra"))
-    return search(customer.unionByName(part).unionByName(supplier), "1 Blue", limit=200)
+    return customer.unionByName(part).unionByName(supplier)
+
+
+@_query(_SEARCH.format("blue", "1"))
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    """All tokens must occur; the more in the title, the higher."""
+    from tessera.plans.queries import search
+
+    return search(_entities(spark, d), "1 Blue", limit=200)
+
+
+@_query(_SEARCH.format("conom", "red"))
+def entity_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Q21: the same search by an index of trigrams, of which it reads the rarest ones' lists only."""
+    from tessera.plans.queries import search, search_index
+
+    entities = _entities(spark, d)
+    index = search_index(entities, staging_path(spark, "search-index"))
+    return search(entities, "Red ConOM", limit=200, index=index)
 
 
 @_query(None)

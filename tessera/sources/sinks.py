@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -51,7 +53,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 class Snapshots:
     """Whole versions of a table below one path, and a pointer to the current one.
 
-    A version is written to a folder of its own, and only when its job has ended is a pointer to it put in place, by renaming a
+    A version is written to a folder of its own, and only when its job has ended is a pointer to it, which holds its schema, put in place, by renaming a
     finished file. So a reader sees a whole version at any time: a job that is lost leaves the version before,
     and a plan that reads the current version may itself make the next one. Old versions stay readable until `prune`. Works in any
     file system that Spark writes to; of two writers at once the later pointer wins, and both versions are whole.
@@ -70,13 +72,15 @@ class Snapshots:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._at("pointers"))]
         return [n.split(".", 1)[1] for n in sorted(names) if not n.startswith(("_", "."))]
 
-    def write(self, df: DataFrame) -> str:
-        """Writes a version and makes it current; its name."""
+    def write(self, df: DataFrame, by: list[str] | None = None) -> str:
+        """Writes a version, in folders of the columns `by`, and makes it current; its name."""
         version = f"v{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/versions/{version}")
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.path}/versions/{version}")
         number = 1 + max((int(n.getPath().getName().split(".")[0]) for n in self._pointer_files()), default=0)
         unfinished = self._at("pointers", f"_{version}")
-        self._fs.create(unfinished).close()
+        out = self._fs.create(unfinished)
+        out.write(df.schema.json().encode())
+        out.close()
         while not self._fs.rename(unfinished, self._at("pointers", f"{number:012d}.{version}")):
             number += 1
         return version
@@ -91,7 +95,12 @@ class Snapshots:
         known = self.versions()
         if not known or (version and version not in known):
             raise ValueError(f"{self.path} has no version {version or ''}".rstrip())
-        return self.spark.read.parquet(f"{self.path}/versions/{version or known[-1]}")
+        version = version or known[-1]
+        (pointer,) = (f.getPath() for f in self._pointer_files() if f.getPath().getName().endswith(f".{version}"))
+        stream = self._fs.open(pointer)
+        schema = StructType.fromJson(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        stream.close()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/{version}")
 
     def prune(self, keep: int = 2) -> None:
         """Removes all but the latest versions, and what no pointer names; not while others write or read old ones."""

@@ -203,3 +203,62 @@ def test_form_by_buckets_of_days(spark, rows):
         assert [tuple(round(x, 9) for x in r) for r in rows(got)] == sorted((tuple(round(x, 9) for x in r) for r in naive_features(games, days)), key=lambda r: tuple(map(str, r)))
     with pytest.raises(ValueError):
         M.game_features(frame, 3)
+
+
+def test_searches_by_the_index_find_the_same(spark, tmp_path, rows):
+    from tessera.plans import queries as Q
+
+    rng = random.Random(3)
+    words = ["Lakers", "lake", "Éric", "eric", "o'neal", "x", "yz", "Los", "Angeles", "laker"]
+    table = [(rng.choice(["player", "team"]), str(k % 150), " ".join(rng.choices(words, k=rng.randint(0, 4))) or None, rng.choice([None, "Los Angeles"]), str(k)) for k in range(200)]
+    frame = spark.createDataFrame(table, "_entity string, _id string, _title string, _subtitle string, _extra string")
+    index = Q.search_index(frame, f"{tmp_path}/i")
+    assert index.exists()
+    for query in ("lake", "LAKE eric", "éric", "x", "yz lake", "nosuchword", "lakers angeles x", "angel", ""):
+        for entity in (None, "team"):
+            assert Q.search(frame, query, entity, 500, index).collect() == Q.search(frame, query, entity, 500).collect(), query
+    assert index.candidates(["yz"]) is None and index.candidates(["lakers"]).count() < 150 and index.candidates(["zzzz"]).count() == 0
+    plan = index.candidates(["lakers"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert Q.search(frame, "lake", None, 500, Q.search_index(frame.limit(0), f"{tmp_path}/none")).count() == 0  # an index of other rows names none of these
+
+
+def test_a_database_is_read_in_parts(spark, rows):
+    """An embedded database stands in for a server: written and read through JDBC."""
+    from tessera.sources import registry as G
+
+    url, driver = "jdbc:derby:memory:tessera;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.range(100).selectExpr("cast(id as int) as id", "cast(id % 7 as string) as v")
+    df.write.format("jdbc").options(url=url, driver=driver, dbtable="things").mode("overwrite").save()
+    whole = G.jdbc("things", url=url, driver=driver)(spark)
+    parts = G.first_available(G.jdbc("no_such", url=url, driver=driver), G.jdbc("things", url=url, driver=driver, partitionColumn="id", lowerBound=0, upperBound=100, numPartitions=4))(spark)
+    assert parts.rdd.getNumPartitions() == 4 and rows(parts.toDF("id", "v")) == rows(whole.toDF("id", "v")) == rows(df)
+    some = G.jdbc('(select "id" from things where "id" < 30) t', url=url, driver=driver)(spark)
+    assert some.count() == 30
+
+
+def test_the_win_model_is_the_plain_fit(spark, rows):
+    """Coefficients of the library's fit against plain gradient steps on the same games."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 600
+    x = np.column_stack([rng.random(n), rng.random(n), rng.integers(1, 15, n), rng.integers(1, 15, n), rng.random(n)])
+    won = (rng.random(n) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] + 0.1 * x[:, 2] - 0.05 * x[:, 3])))).astype(int)
+    table = [(k, f"2020-01-{k % 28 + 1:02}", f"h{k % 9}", f"a{k % 7}", int(won[k]), *map(float, x[k])) for k in range(n)]
+    frame = spark.createDataFrame(table, "game_id int, game_date string, home_id string, away_id string, home_win int, " + ", ".join(f"{f} double" for f in M.FEATURES))
+    model, scored = M.fit_home_win(frame, reg_param=0.01)
+    test = {r["game_id"]: r["p_home_win"] for r in scored.collect()}
+    train = np.array([k for k in range(n) if k not in test])
+    z, y = x[train], won[train]
+    mean, sd = z.mean(0), z.std(0, ddof=1)
+    z = (z - mean) / sd  # the penalty is on standardised coefficients
+    w, b = np.zeros(5), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(z @ w + b)))
+        w -= 0.5 * (z.T @ (p - y) / len(y) + 0.01 * w)
+        b -= 0.5 * (p - y).mean()
+    assert np.allclose(model.coefficients.toArray(), w / sd, atol=2e-3) and abs(model.intercept - (b - (w / sd * mean).sum())) < 5e-3
+    for k, p in list(test.items())[:50]:
+        assert abs(p - 1 / (1 + np.exp(-((x[k] - mean) / sd @ w + b)))) < 2e-3
+    assert 0.1 * n < len(test) < 0.3 * n

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessera.plans import integrated, star
+from tessera.plans import central, integrated, roundtrips, star  # noqa: F401  (two of them register with integrated)
 
 ALL = star.QUERIES | integrated.QUERIES
 ALL_SQL = star.ORACLE_SQL | integrated.ORACLE_SQL
