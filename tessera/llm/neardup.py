@@ -6,8 +6,9 @@ Texts that meet in a bucket are compared with the bucket's leaders by alignment
 don't join yet, if bits of their words allow a link. Connected components of what is verified are the classes.
 
 Shingles are of two words, not five: of a text with each fifth word changed no five-word shingle is left, though
-its similarity is 0.8, and of one with 19 % of its words changed at random a third. Four of them make a sketch,
-which unlike texts share as seldom as two five-word shingles.
+its similarity is 0.8, and of one with 19 % of its words changed at random a third. Three of them make a sketch.
+
+Words are runs of letters, marks and digits of any script in lower case; of scripts that don't divide words each character is one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import DIGIT, LETTER, Tokens, lower_bytes, mix, slices, tokenised
+from tessera.llm.kernels import DIGIT, LETTER, Tokens, mix, slices, tokenised
 from tessera.llm.shared import Scratch, materialize
 
 
@@ -31,8 +33,8 @@ SHORT_WORDS, BIT_CELLS = 256, 1 << 28
 @dataclass(frozen=True)
 class NeardupParams:
     words: int = 2  #: of a shingle
-    sketches: int = 120
-    picks: int = 4  #: least shingles of a sketch
+    sketches: int = 64
+    picks: int = 3  #: least shingles of a sketch
     short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 2048  #: of the words that a text has an odd number of times
     rounds: int = 1  #: of comparing with leaders, before all members of a bucket that are not joined yet
@@ -51,10 +53,23 @@ def _words(tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return tok.hashes[kept], before[tok.doc_starts]
 
 
+#: Scripts without spaces between words.
+_UNDIVIDED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def plain_words(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, with a space for each mark or sign beyond ASCII and around each character of scripts that don't divide words."""
+    texts = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring_regex(texts, _UNDIVIDED)).as_py():
+        texts = pc.replace_substring_regex(texts, _UNDIVIDED, r" \1 ")
+    return pc.replace_substring_regex(texts, r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " ")
+
+
 def _all_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The same of all texts of a slice, long ones joined from their windows."""
+    texts = plain_words(texts)
     parts, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
-    for tok in tokenised(texts, fold=lower_bytes):
+    for tok in tokenised(texts):
         words, starts = _words(tok)
         parts.append(words)
         counts[tok.first_doc : tok.first_doc + len(starts) - 1] += np.diff(starts)

@@ -13,6 +13,7 @@ import corpus_pipeline
 from tessera.llm import mixing as X
 from tessera.llm import neardup as N
 from tessera.llm import sharding as S
+from tessera.llm.kernels import lower_bytes
 from tessera.llm.shared import materialize, ranked
 
 
@@ -171,7 +172,7 @@ def test_classes_equal_brute_force(spark, documents, texts):
     got = {r["doc_id"]: r["class_id"] for r in out}
     words = {}
     for i, t in rows:
-        for tok in N.tokenised(pa.array([t]), fold=N.lower_bytes):
+        for tok in N.tokenised(pa.array([t]), fold=lower_bytes):
             words[i] = N._words(tok)[0]
     bags = {i: collections.Counter(w.tolist()) for i, w in words.items()}
     order = sorted(words, key=lambda i: len(words[i]))
