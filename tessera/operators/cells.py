@@ -30,32 +30,25 @@ def default_cells(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_cells(df: DataFrame, order: list[str | Column], n_cells: int | None = None, name: str = CELL) -> DataFrame:
+def with_cells(df: DataFrame, order: list[str | Column], n_cells: int | None = None, name: str = CELL, boundary: str | None = None) -> DataFrame:
     """Adds the number of each row's cell, an int that never falls along `order`; cells have about the same number of rows.
 
-    The boundaries are quantiles of a sample of at most 64 rows a cell, the least by a hash of their order columns, so that every
+    With `boundary`, a boolean of that name tells which rows have the least key of their cell, in all cells but number 0. The boundaries are quantiles of a sample of at most 64 rows a cell, the least by a hash of their order columns, so that every
     use of the result finds the same ones. Rows that are equal in all order columns share a cell. An empty table has one cell.
     """
     n_cells = n_cells or default_cells(df)
     key = F.struct(*order)
     drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(n_cells * SAMPLE).distinct()
-    ranked = drawn.agg(F.array_sort(F.collect_list("k")).alias("k"))
-    at = lambda i: F.get("k", F.floor(i * F.size("k") / n_cells).cast("int"))
-    bounds = ranked.select(F.when(F.size("k") > 0, F.transform(F.sequence(F.lit(1), F.lit(n_cells - 1)), at)).alias("b"))
-    return df.withColumn("__bounds", bounds.scalar()).withColumn(name, _bounds_up_to(F.col("__bounds"), key, n_cells)).drop("__bounds")
-
-
-def _bounds_up_to(bounds: Column, key: Column, n_cells: int) -> Column:
-    """How many of the sorted bounds are not above a key, by bisection."""
-    span = F.struct(F.lit(0).alias("lo"), F.lit(n_cells - 1).alias("hi"))
-
-    def half(acc: Column, _: Column) -> Column:
-        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
-        up = F.get(bounds, middle) <= key
-        return F.when(acc["lo"] >= acc["hi"], acc).when(up, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
-
-    steps = F.sequence(F.lit(1), F.lit(max(1, (n_cells - 1).bit_length())))
-    return F.coalesce(F.aggregate(steps, span, half, lambda acc: acc["lo"]), F.lit(0))
+    at = f"transform(sequence(1, {n_cells - 1}), i -> get(k, cast(floor(i * size(k) / {n_cells}) as int)))"
+    bounds = drawn.agg(F.array_sort(F.collect_list("k")).alias("k")).select(F.expr(f"case when size(k) > 0 and {n_cells} > 1 then {at} end"))
+    # how many of the sorted boundaries aren't above a row, by bisection
+    half = "cast((a.lo + a.hi) div 2 as int)"
+    step = f"case when a.lo >= a.hi then a when get(__bounds, {half}) <= __key then named_struct('lo', {half} + 1, 'hi', a.hi) else named_struct('lo', a.lo, 'hi', {half}) end"
+    found = F.expr(f"coalesce(aggregate(sequence(1, {max(1, (n_cells - 1).bit_length())}), named_struct('lo', 0, 'hi', {n_cells - 1}), (a, i) -> {step}, a -> a.lo), 0)")
+    rows = df.withColumn("__bounds", bounds.scalar()).withColumn("__key", key).withColumn(name, found)
+    if boundary:  # a boundary is the key of a row
+        rows = rows.withColumn(boundary, F.coalesce(F.when(F.col(name) > 0, F.col("__key").eqNullSafe(F.expr(f"get(__bounds, `{name}` - 1)"))), F.lit(False)))
+    return rows.drop("__bounds", "__key")
 
 
 def _cut(df: DataFrame, keys: list[str], order: list[str], cell: Column | None, n_cells: int | None) -> DataFrame:

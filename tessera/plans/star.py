@@ -337,6 +337,13 @@ def dq_report(spark: SparkSession, d: str) -> DataFrame:
     return C.key_report("lines", base, line, ["l_orderkey", "l_linenumber"])
 
 
+@_query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orders must be unique by their key; order lines needn't be by part and supplier."""
+    C.require_unique(_table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    return C.duplicate_keys(_table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
 @_query("""
 SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey
 WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) AND NOT EXISTS (SELECT 1 FROM customer x WHERE lower(x.c_name) = lower(customer.c_name) AND x.c_mktsegment = 'BUILDING')""")
