@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import with_cells
+
 
 @dataclass(frozen=True)
 class ImatchParams:
@@ -27,7 +29,6 @@ class ImatchParams:
     subsets: int = 8  #: of each density
     densities: tuple[int, ...] = (2, 4, 6, 8, 10)  #: each is a part 2**-d of the lexicon
     rows_per_part: int = 4000  #: documents between two boundaries of ids
-    max_parts: int = 1024
 
 
 def terms(text: Column) -> Column:
@@ -117,37 +118,35 @@ def with_fingerprint(rows: DataFrame, bitmap: list[int], text: str, out: str, pa
 def fingerprint_documents(documents: DataFrame, text: str = "text", out: str = "fingerprint", params: ImatchParams = ImatchParams()) -> DataFrame:
     """Adds string `fingerprint` of the whole text (null: empty); all columns are kept, one of that name is replaced."""
     bitmap = lexicon(documents, text, params)
-    rows = documents.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    return with_fingerprint(rows, bitmap, "__text", "__hashes", params).withColumn(out, as_text(F.col("__hashes"))).drop("__text", "__hashes")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = with_fingerprint(rows, bitmap, "text", "hashes", params)
+    names = documents.columns if out in documents.columns else [*documents.columns, out]
+    return found.select(*[as_text(F.col("hashes")).alias(out) if c == out else F.col("row")[c].alias(c) for c in names])
 
 
 def fingerprint_edits(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ImatchParams = ImatchParams()) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     Of n code points, the edited text has the last floor(n / 2) replaced by the first as many, or all, of the
-    next document's by ascending id (null last, then by text); after the last document comes the first. The ids
-    are cut into parts at approximate quantiles, so that no window spans the table; each part also gets the
+    next document's by ascending id (of any type; null last, then by text); after the last document comes the first. The
+    rows are cut into parts of about `rows_per_part` along ids and texts, so that no window spans the table or one id, and each part also gets the
     first row of the next. A null text is empty. An empty table gives an empty result.
     """
     bitmap = lexicon(documents, text, params)
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("key"))
-    n = documents.count()
-    parts = max(1, min(params.max_parts, math.ceil(n / params.rows_per_part)))
-    bounds: list[int] = []
-    if parts > 1:
-        places = [k / parts for k in range(1, parts)]
-        bounds = sorted(set(own.agg(F.percentile_approx("key", places, 20 * parts).alias("b")).first()["b"]))
-    table = F.expr("array(" + ",".join(f"{b}L" for b in bounds) + ")").cast("array<bigint>")
-    own = own.withColumn("part", F.size(F.filter(table, lambda b: b <= F.col("key"))) if bounds else F.lit(0))
-    firsts = own.groupBy("part").agg(F.min("key").alias("key")).collect()  # at most max_parts rows
-    firsts.sort(key=lambda r: r["part"])
-    before = [(r["key"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)]
-    starts = own.sparkSession.createDataFrame(before, "first_key long, into int")
-    start_rows = own.join(F.broadcast(starts), F.col("key") == F.col("first_key")).groupBy("into").agg(F.min("text").alias("text"))
-    guests = start_rows.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(2**63 - 1).alias("key"), F.col("into").alias("part"), F.lit(True).alias("guest"))
+    own = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("unknown", F.col("doc_id").isNull())
+    parts = max(1, math.ceil(documents.count() / params.rows_per_part))
+    # the beginning of a text is in order with the text
+    own = with_cells(own, ["unknown", "doc_id", F.substring("text", 1, 64)], parts, "part", boundary="begins")
+    least = own.orderBy("unknown", "doc_id", "text").limit(1).where("part = 0")
+    starts = own.where("begins").unionByName(least).groupBy("part").agg(F.min("text").alias("text"))  # of each part that has rows
+    turns = Window.orderBy("part")  # of a number for each part
+    numbers = starts.select("part").withColumn("into", F.lag("part").over(turns)).withColumn("last", F.max("part").over(Window.partitionBy()))
+    guests = starts.join(numbers.select("part", F.coalesce("into", "last").alias("into")), "part")
+    guests = guests.select(F.lit(None).cast(dict(own.dtypes)["doc_id"]).alias("doc_id"), "text", F.lit(True).alias("unknown"), F.col("into").alias("part"), F.lit(True).alias("guest"))
+    own = own.drop("begins")
     rows = own.withColumn("guest", F.lit(False)).unionByName(guests)
     rows = with_fingerprint(rows, bitmap, "text", "hashes", params)
-    following = Window.partitionBy("part").orderBy("guest", "key", "text")
+    following = Window.partitionBy("part").orderBy("guest", "unknown", "doc_id", "text")
     rows = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_hashes", F.lead("hashes").over(following)).where(~F.col("guest"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     kept = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int"))
