@@ -6,7 +6,8 @@ Texts that meet in a bucket are compared with the bucket's leaders by alignment
 don't join yet, if bits of their words allow a link. Connected components of what is verified are the classes.
 
 Shingles are of two words, not five: of a text with each fifth word changed no five-word shingle is left, though
-its similarity is 0.8, and of one with 19 % of its words changed at random a third. Three of them make a sketch.
+its similarity is 0.8, and of one with 19 % of its words changed at random a third. Four of them make a sketch, three
+in short texts, of which few shingles are left; texts of 31 to 40 words have sketches of both kinds, so that any two near texts have one kind in common.
 
 Words are runs of letters, marks and digits of any script in lower case; of scripts that don't divide words each character is one.
 """
@@ -14,12 +15,12 @@ Words are runs of letters, marks and digits of any script in lower case; of scri
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import DIGIT, LETTER, Tokens, mix, slices, tokenised
@@ -33,8 +34,11 @@ SHORT_WORDS, BIT_CELLS = 256, 1 << 28
 @dataclass(frozen=True)
 class NeardupParams:
     words: int = 2  #: of a shingle
-    sketches: int = 64
-    picks: int = 3  #: least shingles of a sketch
+    sketches: int = 120
+    picks: int = 4  #: least shingles of a sketch
+    short_sketches: int = 64
+    short_picks: int = 3
+    short_words: tuple[int, int] = (30, 40)  #: up to the first a text has short sketches only, beyond the second none; texts in between are up to 0.8 as long
     short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 2048  #: of the words that a text has an odd number of times
     rounds: int = 1  #: of comparing with leaders, before all members of a bucket that are not joined yet
@@ -121,6 +125,23 @@ def order_sketches(shingles: np.ndarray, starts: np.ndarray, params: NeardupPara
     return out
 
 
+def text_bands(words: np.ndarray, starts: np.ndarray, params: NeardupParams) -> list[np.ndarray]:
+    """The bands of each text: hashes of its sketches, and of what `short_bands` gives; none without a word."""
+    n = np.diff(starts)
+    doc = np.repeat(np.arange(len(n)), n)
+    parts: list[list[np.ndarray]] = [[] for _ in n]
+    few, many = params.short_words
+    for chosen, kind in (((n > few), params), ((n > 0) & (n <= many), replace(params, sketches=params.short_sketches, picks=params.short_picks))):
+        texts = np.flatnonzero(chosen)
+        if len(texts):
+            shingles, begins = _shingles(words[chosen[doc]], np.append(0, np.cumsum(n[texts])), params.words)
+            for k, bands in zip(texts.tolist(), order_sketches(shingles, begins, kind)):
+                parts[k].append(bands)
+    for k in np.flatnonzero((n > 0) & (n <= params.short)).tolist():
+        parts[k].append(short_bands(words[starts[k] : starts[k + 1]], params))
+    return [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
+
+
 def short_bands(words: np.ndarray, params: NeardupParams) -> np.ndarray:
     """Hashes of all words, and of all but each one: texts that differ by one word have one in common."""
     n = len(words)
@@ -285,15 +306,10 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
         for first, part in slices(texts, params.slice_bytes):
             words, starts = _all_words(part)
             bits[first : first + len(part)] = word_bits(words, starts, params.bits)
-            full = np.flatnonzero(np.diff(starts))
             n[first : first + len(part)] = np.diff(starts)
-            if len(full):
-                shingles, begins = _shingles(words, np.append(starts[full], starts[-1]), params.words)
-                own = order_sketches(shingles, begins, params)
-                for k, bands in zip(full.tolist(), own):
-                    x, y = starts[k], starts[k + 1]
-                    parts.append(np.concatenate([bands, short_bands(words[x:y], params)]) if y - x <= params.short else bands)
-                    counts[first + k] = len(parts[-1])
+            own = text_bands(words, starts, params)
+            counts[first : first + len(part)] = [len(x) for x in own]
+            parts += own
         bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
         ends = pa.array(np.arange(len(texts) + 1) * bits.shape[1], pa.int32())
         return pa.StructArray.from_arrays([pa.array(n), bands, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], ["n", "bands", "bits"])
@@ -340,10 +356,14 @@ def _length_class(n: Column, params: NeardupParams) -> Column:
 
 
 def _in_buckets(sketched: DataFrame) -> DataFrame:
-    """(band, node, n) of the buckets with several nodes; `sketched`: (node, n, bands)."""
-    single = sketched.select("node", F.explode("bands").alias("band"))
-    several = single.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
-    return single.join(several, "band").join(sketched.select("node", "n"), "node").select("band", "node", "n")
+    """(band, node, n) of the buckets with several nodes; `sketched`: (node, n, bands).
+
+    Bands are shuffled once: a node that has another before or after it in its bucket isn't alone there, which a task sees as rows pass by.
+    """
+    by = Window.partitionBy("band").orderBy("node")
+    single = sketched.select("node", "n", F.explode("bands").alias("band"))
+    beside = F.lag("node").over(by).isNotNull() | F.lead("node").over(by).isNotNull()
+    return single.withColumn("__several", beside).where("__several").select("band", "node", "n")
 
 
 def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams) -> Column:

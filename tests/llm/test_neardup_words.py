@@ -9,7 +9,7 @@ import pytest
 from tessera.llm import neardup as N
 
 
-@pytest.mark.parametrize("n", [10, 11, 12, 15, 20, 25, 30, 40])
+@pytest.mark.parametrize("n", [10, 11, 12, 15, 20, 25, 30, 31, 40, 41, 60])
 @pytest.mark.parametrize("spread", ["each fifth word", "random words"])
 def test_short_texts_meet_at_the_threshold(n, spread):
     rng, params, met, rows = random.Random(n), N.NeardupParams(), 0, 400
@@ -18,12 +18,25 @@ def test_short_texts_meet_at_the_threshold(n, spread):
         b = a.copy()
         for place in range(4, n, 5) if spread == "each fifth word" else rng.sample(range(n), n // 5):
             b[place] = rng.getrandbits(64)
-        shingles, starts = N._shingles(np.concatenate([a, b]), np.array([0, n, 2 * n]), params.words)
-        x, y = N.order_sketches(shingles, starts, params)
-        met += (x == y).any()
+        x, y = N.text_bands(np.concatenate([a, b]), np.array([0, n, 2 * n]), params)
+        met += len(np.intersect1d(x, y)) > 0
     assert met >= 0.9 * rows
 
 
+def test_near_texts_have_one_kind_of_sketches_in_common():
+    """A text may lose or gain a fifth of its words: lengths on both sides of the bounds still share a kind."""
+    rng, params = random.Random(1), N.NeardupParams()
+    for long in range(11, 60):
+        short = long - long // 5
+        met = 0
+        for _ in range(40):
+            b = np.array([rng.getrandbits(64) for _ in range(long)], np.uint64)
+            a = np.delete(b, rng.randrange(long - (long - short) + 1) + np.arange(long - short))
+            x, y = N.text_bands(np.concatenate([a, b]), np.array([0, short, short + long]), params)
+            met += len(np.intersect1d(x, y)) > 0
+        assert met >= 36, (short, long)
+
+
 def words_of(text):
     words, starts = N._all_words(pa.array([text], pa.string()))
     assert starts.tolist() == [0, len(words)]
