@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the sample for each cell that is wanted.
+#: Rows of the sample for each cell that is wanted, about.
 SAMPLE = 64
 CELL = "__cell"
 
@@ -33,12 +33,14 @@ def default_cells(df: DataFrame) -> int:
 def with_cells(df: DataFrame, order: list[str | Column], n_cells: int | None = None, name: str = CELL, boundary: str | None = None) -> DataFrame:
     """Adds the number of each row's cell, an int that never falls along `order`; cells have about the same number of rows.
 
-    With `boundary`, a boolean of that name tells which rows have the least key of their cell, in all cells but number 0. The boundaries are quantiles of a sample of at most 64 rows a cell, the least by a hash of their order columns, so that every
+    With `boundary`, a boolean of that name tells which rows have the least key of their cell, in all cells but number 0. The boundaries are quantiles of a sample of about 64 rows a cell, those with the least hashes of their order columns, so that every
     use of the result finds the same ones. Rows that are equal in all order columns share a cell. An empty table has one cell.
     """
     n_cells = n_cells or default_cells(df)
     key = F.struct(*order)
-    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(n_cells * SAMPLE).distinct()
+    # every task draws by itself; of equal keys it sends one
+    part = F.lit(float(n_cells * SAMPLE)) / F.greatest(df.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    drawn = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(2**31)) / F.lit(2.0**31) < part).distinct()
     at = f"transform(sequence(1, {n_cells - 1}), i -> get(k, cast(floor(i * size(k) / {n_cells}) as int)))"
     bounds = drawn.agg(F.array_sort(F.collect_list("k")).alias("k")).select(F.expr(f"case when size(k) > 0 and {n_cells} > 1 then {at} end"))
     # how many of the sorted boundaries aren't above a row, by bisection
