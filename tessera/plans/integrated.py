@@ -83,6 +83,7 @@ STAGES = {
       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey * 13 % 40 AS DOUBLE) END AS per, CAST(c_custkey % 60 AS DOUBLE) AS ts_percent, CAST(n % 9 AS DOUBLE) AS ws, CAST(n % 5 AS DOUBLE) AS vorp FROM {py}""",
     "team_season": """SELECT y AS season, 'T' || CAST(c_nationkey AS STRING) AS team_abbr, CASE WHEN c_nationkey % 9 = 8 THEN NULL WHEN y < 1998 THEN 'City old ' || CAST(c_nationkey AS STRING) ELSE 'City team ' || CAST(c_nationkey AS STRING) END AS team_name, 'coach ' || CAST(y % 7 AS STRING) AS coach, 'arena' AS arena_name, CAST(n * 10 AS DOUBLE) AS attend, CAST(n % 100 AS DOUBLE) AS attend_g,
       CAST(100 + c_nationkey AS DOUBLE) AS o_rtg, CAST(100 + n % 9 AS DOUBLE) AS d_rtg, CAST(c_nationkey AS DOUBLE) AS n_rtg, CAST(90 AS DOUBLE) AS pace, CAST(1 AS DOUBLE) AS srs, CAST(55 AS DOUBLE) AS ts_percent, CASE WHEN c_nationkey % 2 = 0 THEN NULL ELSE CAST(n % 30 + 90 AS DOUBLE) END AS points_per_game FROM {ty}""",
+    "home_game": "SELECT season, home_team_city, CASE WHEN season < 1998 THEN replace(home_team_name, 'team ', 'old ') ELSE home_team_name END AS home_team_name, attendance FROM {game}",
     "usage": "SELECT y AS season, 'jo ' || CAST(c_custkey AS STRING) AS player_name, 'P' || CAST(c_custkey AS STRING) AS player_id, 'N' || CAST(c_nationkey AS STRING) AS team_abbr, CAST(n AS DOUBLE) AS g, CAST(n * (c_custkey % 50 + 1) AS DOUBLE) AS minutes FROM {py}",
     "box": """SELECT CAST(l_orderkey AS STRING) AS game_id, 'T' || CAST(l_suppkey % 30 AS STRING) AS team_abbr, 'jo ' || CAST(l_suppkey AS STRING) AS player_name, CAST(year(l_shipdate) AS INT) AS season, CAST(l_partkey % 30 AS DOUBLE) AS pts, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_partkey % 17 AS DOUBLE) END AS reb, CAST(l_suppkey % 9 AS DOUBLE) AS oreb, CAST(l_partkey % 5 AS DOUBLE) AS dreb, CAST(l_partkey % 13 AS DOUBLE) AS ast FROM {lineitem}""",
     "season_box": """SELECT o_custkey AS player_id, CAST(year(o_orderdate) AS INT) AS season, count(*) AS g, sum(o_orderkey % 31) AS pts, sum(o_orderkey % 7) AS ast, sum(o_orderkey % 11) AS reb, sum(o_orderkey % 9) AS fgm, sum(o_orderkey % 9 + o_orderkey % 4) AS fga, sum(o_orderkey % 3) AS fg3m, sum(o_orderkey % 3 + o_orderkey % 2) AS fg3a, sum(o_orderkey % 5) AS ftm, sum(o_orderkey % 5 + o_orderkey % 3) AS fta FROM {orders} GROUP BY o_custkey, year(o_orderdate)""",
@@ -376,10 +377,10 @@ def user_season_attendance(team_season: DataFrame) -> DataFrame:
     return Q.season_attendance(team_season, 1996)
 
 
-@_query("""SELECT g.season, team_abbr, CAST(round(CAST(sum(attendance) AS DOUBLE) / count(attendance)) AS INT) AS avg_attendance, count(attendance) AS games FROM {game} g
-JOIN (SELECT DISTINCT season, lower(team_name) AS name, team_abbr FROM {team_season}) t ON t.season = g.season AND t.name = lower(home_team_city || ' ' || home_team_name) WHERE attendance IS NOT NULL GROUP BY 1, 2""", "game", "team_season")
+@_query("""SELECT g.season, team_abbr, CAST(round(CAST(sum(attendance) AS DOUBLE) / count(attendance)) AS INT) AS avg_attendance, count(attendance) AS games FROM {home_game} g
+JOIN (SELECT DISTINCT season, lower(team_name) AS name, team_abbr FROM {team_season}) t ON t.season = g.season AND t.name = lower(home_team_city || ' ' || home_team_name) WHERE attendance IS NOT NULL GROUP BY 1, 2""", "home_game", "team_season")
 def user_home_attendance(game: DataFrame, team_season: DataFrame) -> DataFrame:
-    """Q12, A10."""
+    """Q12, A10: a home team has the name of its season, so every season has its rows."""
     return Q.home_attendance(game, team_season)
 
 
