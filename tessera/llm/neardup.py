@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import DIGIT, LETTER, Tokens, mix, slices, tokenised
-from tessera.llm.shared import Scratch, materialize
+from tessera.llm.shared import Scratch, may_be_among, materialize, without
 
 
 #: Words of the longer text up to which pairs are aligned many at once, and cells of a table of two texts' words up to which one pair is by bit vectors.
@@ -42,8 +42,8 @@ class NeardupParams:
     short: int = 9  #: words up to which texts also meet if they differ by one word, which is all that the similarity allows
     bits: int = 2048  #: of the words that a text has an odd number of times
     rounds: int = 1  #: of comparing with leaders, before all members of a bucket that are not joined yet
-    many: int = 4096  #: possible links between two classes from which one of them is tried before the others
     block: int = 1000  #: members of a bucket that are compared with as many others at a time
+    block_words: int = 1 << 21  #: words of these members; where they have more, there are more blocks
     pairs_per_part: int = 4000  #: pairs of texts that a task aligns
     similarity: float = 0.8  #: 1 - edit distance in words / words of the longer text
     slice_bytes: int = 1 << 19
@@ -373,10 +373,14 @@ def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams)
     return (F.abs(F.col(n[0]) - F.col(n[1])) <= longest + 1e-6) & (changed <= 2 * longest + 1e-6)
 
 
-def _met_leaders(members: DataFrame, lead: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
-    """(a, b): members and the leaders of their bucket in this and the neighbouring length classes, of different roots."""
+def _met_leaders(members: DataFrame, lead: DataFrame) -> DataFrame:
+    """(node, leader): members and the leaders of their bucket in this and the neighbouring length classes, of different roots."""
     near = lead.withColumn("class", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
-    met = members.join(near, ["band", "class"]).where((F.col("node") != F.col("leader")) & (F.col("root") != F.col("led")))
+    return members.join(near, ["band", "class"]).where((F.col("node") != F.col("leader")) & (F.col("root") != F.col("led"))).select("node", "leader")
+
+
+def _possible(met: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
+    """(a, b): the pairs (node, leader) whose lengths and bits of words allow a link."""
     pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     left = facts.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
     right = facts.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
@@ -396,40 +400,120 @@ def unlinked_pairs(n: np.ndarray, root: np.ndarray, bits: np.ndarray, left: np.n
     return both[0], both[1]
 
 
-def _met_all(members: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
-    """(a, b, ra, rb): all members of a bucket with each other, where their roots differ and a link is possible.
+#: Each pair of members is compared in one of the buckets that it shares, the least after a change of bits; there are eight changes, so that pairs of a group spread over buckets.
+_SPREAD = mix(np.arange(8, dtype=np.uint64), 53)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Lists of numbers, one for each member of a group: row i is values[starts[i] : starts[i + 1]], none empty; counts beside them."""
+
+    starts: np.ndarray
+    values: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Lists:
+        """The distinct values of each row, as numbers from 0 in their order, and how often each comes."""
+        known, number = np.unique(np.concatenate(rows), return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        both, counts = np.unique(row * len(known) + number, return_counts=True)
+        return Lists(np.searchsorted(both, np.arange(len(rows) + 1) * len(known)), both % len(known), counts)
+
+    def marked(self, i: int) -> np.ndarray:
+        """How often each value comes in row i."""
+        own = slice(self.starts[i], self.starts[i + 1])
+        out = np.zeros(int(self.values.max()) + 1, np.int64)
+        out[self.values[own]] = self.counts[own]
+        return out
+
+    def at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the values of these rows, where each row's begin among them, and the rows' lengths."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        begins = np.cumsum(sizes) - sizes
+        return np.arange(sizes.sum()) + np.repeat(self.starts[rows] - begins, sizes), begins, sizes
+
+
+def words_allow(n: np.ndarray, bags: Lists, i: int, others: np.ndarray, params: NeardupParams) -> np.ndarray:
+    """Of the members `others` those whose words, in any order, leave the distance to member i within the limit."""
+    at, begins, _ = bags.at(others)
+    common = np.add.reduceat(np.minimum(bags.marked(i)[bags.values[at]], bags.counts[at]), begins)
+    longest = np.maximum(n[others], n[i])
+    return others[longest - common <= (1 - params.similarity) * longest + 1e-6]
+
+
+def met_here(band: int, bands: np.ndarray, node: np.ndarray, held: Lists, i: int, others: np.ndarray) -> np.ndarray:
+    """Of the members `others` those that member i is compared with in this bucket.
+
+    `held`: all buckets of each member, as places in `bands`, which are sorted.
+    """
+    at, begins, sizes = held.at(others)
+    change = _SPREAD[(node[others] ^ node[i]) & 7]
+    order = bands[held.values[at]] ^ np.repeat(change, sizes)
+    before = (held.marked(i)[held.values[at]] > 0) & (order < np.repeat(np.uint64(band) ^ change, sizes))
+    return others[~np.logical_or.reduceat(before, begins)]
+
+
+def _aligned_links(i: int, others: np.ndarray, root: np.ndarray, words: list[np.ndarray], parent: dict[int, int], params: NeardupParams) -> list[tuple[int, float]]:
+    """(j, similarity) of links from member i. Members that links have joined to it by then are left out, so each other root is tried by one, then by more."""
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    found, wait, most = [], others.tolist(), 1
+    while wait:
+        own, tried, later, seen = find(int(root[i])), [], [], {}
+        for j in wait:
+            if (r := find(int(root[j]))) != own:
+                seen[r] = seen.get(r, 0) + 1
+                (tried if seen[r] <= most else later).append(j)
+        longest = np.array([max(len(words[i]), len(words[j]), 1) for j in tried], np.int64)
+        distances = banded_distances([words[i]] * len(tried), [words[j] for j in tried], np.floor((1 - params.similarity) * longest + 1e-9).astype(np.int64))
+        for j, d, n in zip(tried, distances.tolist(), longest.tolist()):
+            if d >= 0:
+                found.append((j, 1 - d / n))
+                parent[find(int(root[j]))] = find(int(root[i]))
+        wait, most = later, most * 4
+    return found
+
+
+def _met_all(members: DataFrame, facts: DataFrame, words: DataFrame, params: NeardupParams) -> DataFrame:
+    """(a, b, similarity): links between members of a bucket whose roots differ, enough to join all that links join.
 
     A bucket is dealt into blocks of about `params.block` members, and each two blocks meet in a group of their own, so that
-    no task has all pairs of a large bucket; what leaves a group are only the pairs that bits of words allow.
+    no task has all pairs of a large bucket. Pairs that bits of words and then the words themselves allow are aligned in the group, so what leaves it are links only.
     """
 
-    @F.arrow_udf("array<struct<a: bigint, b: bigint, ra: bigint, rb: bigint>>")
-    def compared(groups: pa.Array) -> pa.Array:
-        flat = groups.flatten()
-        node, n, root, block = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "root", "block"))
-        bits = flat.field("bits").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(flat), -1)
-        ends = np.append(0, np.cumsum(groups.value_lengths().to_numpy(zero_copy_only=False)))
-        counts, found = [], []
-        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            own = np.arange(x, y)
-            first = block[x:y] == block[x:y].min()
-            if first.all():
-                pairs = [unlinked_pairs(n, root, bits, own[k : k + 1], own[k + 1 :], params) for k in range(len(own) - 1)]
-                i, j = (np.concatenate([p[side] for p in pairs]) for side in (0, 1)) if pairs else (own[:0], own[:0])
-            else:
-                i, j = unlinked_pairs(n, root, bits, own[first], own[~first], params)
-            counts.append(len(i))
-            found.append(np.stack([np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)]))
-        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        values = pa.StructArray.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], ["a", "b", "ra", "rb"])
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
-
-    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("blocks"))
-    own = members.join(blocks, "band").join(facts.select("node", "bits"), "node")
+    def compared(key: tuple, group: pa.Table) -> pa.Table:
+        node, n, root, block = (group[k].to_numpy() for k in ("node", "n", "root", "block"))
+        bits = group["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(node), -1)
+        words = [np.frombuffer(x.as_buffer(), np.uint32) for x in group["words"]]
+        buckets = [np.array(x, np.int64).view(np.uint64) for x in group["held"].to_pylist()]
+        bands, bags, held = np.unique(np.concatenate(buckets)), Lists.of(words), Lists.of(buckets)
+        band, own, first = key[0].as_py() % (1 << 64), np.arange(len(node)), block == block.min()
+        rows, parent = [], {}
+        for i in own[first].tolist():
+            _, near = unlinked_pairs(n, root, bits, own[i : i + 1], own[i + 1 :] if first.all() else own[~first], params)
+            if len(near):
+                near = words_allow(n, bags, i, near, params)
+            if len(near):
+                near = met_here(band, bands, node, held, i, near)
+            rows += [(min(node[i], node[j]), max(node[i], node[j]), like) for j, like in _aligned_links(i, near, root, words, parent, params)]
+        a, b, like = zip(*rows) if rows else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(like, pa.float64())})
+
+    size = F.greatest(F.count(F.lit(1)) / params.block, F.sum("n") / params.block_words)
+    blocks = members.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks"))
+    held = members.groupBy("node").agg(F.collect_list("band").alias("held"))
+    own = members.select("band", "node", "n", "root").join(blocks, "band").join(held, "node").join(facts.select("node", "bits"), "node").join(words, "node")
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = own.groupBy("band", F.least("block", "other"), F.greatest("block", "other")).agg(F.collect_list(F.struct("node", "n", "root", "block", "bits")).alias("group"))
-    met = groups.select(F.explode(compared("group")).alias("p")).select("p.*")
-    return met.distinct()
+    own = own.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    parts = max(4 * own.sparkSession.sparkContext.defaultParallelism, math.ceil(members.count() / params.pairs_per_part))
+    own = own.repartition(parts, "band", "low", "high")  # small in bytes, long in work
+    return own.groupBy("band", "low", "high").applyInArrow(compared, "a long, b long, similarity double").distinct()
 
 
 def _rooted(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -438,22 +522,23 @@ def _rooted(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(components(links, scratch).join(degree, "node"), "neardup-known")
 
 
-def _still_open(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members with their roots so far, of the buckets whose members have several."""
-    placed = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-    # two members have met in the first round
-    several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("k > 2 and r != s").select("band")
+def _still_open(members: DataFrame, known: DataFrame, scratch: Scratch, least: int = 3) -> DataFrame:
+    """Members with their roots so far, of the buckets of `least` members whose members have several."""
+    placed = members.drop("root", "degree").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    # two members have met when leaders have met all
+    several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where(f"k >= {least} and r != s").select("band")
     return scratch.keep(placed.join(several, "band", "left_semi"), "neardup-open")
 
 
 def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> DataFrame:
     """(a, b, similarity) of verified pairs, enough to join all nodes that links between members of a bucket join.
 
-    `sketched`: (node, n, bands, bits). In each of `params.rounds` rounds one member of a bucket and length class is compared with all its members
+    `sketched`: (node, n, bands, bits). At first each node is compared with the least of its leaders, which are the least nodes of its
+    buckets: a node of many copies meets one leader, not one in each bucket. In each of `params.rounds` rounds one member of a bucket and length class is then compared with all its members
     of this and the neighbouring classes: at first the least node, so that a node meets the same leaders in many buckets, then
     the member with the most links. Nodes that links join already need no comparison, so a bucket whose members all have
     one root is done. In those that are left, all members of different roots are compared by bits of words, and the pairs that
-    these allow are aligned. Of two roots with more than `params.many` such pairs one is aligned first, and the others only if that is no link.
+    these allow are aligned, in one of the buckets that the pair shares.
     """
     scratch = Scratch(sketched.sparkSession)
     links = materialize(_found_links(sketched, texts, params, scratch), "neardup-links")
@@ -462,12 +547,15 @@ def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> Data
 
 
 def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, scratch: Scratch) -> DataFrame:
-    facts = sketched.select("node", "n", "bits")
     members = scratch.keep(_in_buckets(sketched).withColumn("class", _length_class(F.col("n"), params)), "neardup-members")
     scratch.release()
-    words = scratch.keep(word_lists(texts.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi"), params), "neardup-words")
+    # texts and bits stay where they are: a few of other nodes do no harm, and those of nodes that are alone go
+    among = may_be_among(scratch.keep(members.select("node").distinct(), "neardup-met"))
+    facts = scratch.keep(sketched.select("node", "n", "bits").where(among(F.col("node"))), "neardup-facts")
+    words = scratch.keep(word_lists(texts.where(among(F.col("uid"))), params), "neardup-words")
 
-    def verify(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    def verify(met: DataFrame, done: DataFrame | None) -> DataFrame:
+        pairs = _possible(met, facts, params)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "neardup-pairs")
@@ -475,24 +563,19 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
         found = scratch.keep(_verified(pairs.repartition(parts), words, params), "neardup-verified")
         return found if done is None else scratch.keep(done.unionByName(found), "neardup-done")
 
-    open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
-    for _ in range(params.rounds):
+    def lead(of: DataFrame) -> DataFrame:
         first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
-        lead = open_.groupBy("band", F.col("class").alias("of")).agg(first).select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"))
-        done = verify(_met_leaders(open_, lead, facts, params), done)
+        return of.groupBy("band", F.col("class").alias("of")).agg(first).select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"))
+
+    open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
+    for number in range(params.rounds + 1):
+        met = _met_leaders(open_, lead(open_))
+        done = verify(met if number else met.groupBy("node").agg(F.min("leader").alias("leader")), done)
         known = _rooted(done.where("similarity is not null"), scratch)
-        open_ = _still_open(members, known, scratch)
+        open_ = _still_open(open_, known, scratch, 3 if number else 2)
         if open_.isEmpty():
             return done.where("similarity is not null")
-    met = scratch.keep(_met_all(open_, facts, params), "neardup-met")
-    big = scratch.keep(met.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b")).alias("p")).where(F.col("n") > params.many).select("p.*"), "neardup-big")
-    if not big.isEmpty():
-        done = verify(big, done)
-        known = _rooted(done.where("similarity is not null"), scratch)
-        for side in ("a", "b"):
-            met = met.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        met = met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    return verify(met.select("a", "b"), done).where("similarity is not null")
+    return done.where("similarity is not null").unionByName(_met_all(open_, facts, words, params)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -547,7 +630,7 @@ def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(
     texts = table.select("uid", F.coalesce(F.col("row")[text], F.lit("")).alias("__text"))
     nodes = table.groupBy("digest").agg(F.min("uid").alias("node"))
     slim = materialize(table.select("uid", "__doc_id", "digest").join(nodes, "digest").drop("digest"), "neardup-nodes")
-    distinct = texts.join(slim.where("uid = node").select("uid"), "uid", "left_semi")
+    distinct = without(texts, slim.where("uid != node").select("uid"), "uid")
     scratch = Scratch(documents.sparkSession)
     unique = scratch.keep(_sketched(distinct, "__text", params).select(F.col("uid").alias("node"), "__sketch.*"), "neardup-unique")
     links = _links(unique, texts, params)
@@ -566,5 +649,5 @@ def near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(
 def drop_near_duplicates(documents: DataFrame, params: NeardupParams = NeardupParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without all but one row of each class; their columns as they are."""
     found = near_duplicates(documents, params, doc_id, text)
-    gone = found.rows.where("not stays").select("uid")
-    return found.table.join(gone, "uid", "left_anti").select("row.*")
+    gone = materialize(found.rows.where("not stays").select("uid"), "neardup-gone")
+    return without(found.table, gone, "uid").select("row.*")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +61,44 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+_BLOCK = 1 << 16  #: bits of a bitmap that are made in one group
+
+
+def may_be_among(ids: DataFrame, cells_each: int = 16, most_bits: int = 26) -> Callable[[Column], Column]:
+    """A test whether a long may be among `ids` (one column without nulls, cheap to read twice): true for all that are, and for few others.
+
+    It reads a broadcast bitmap of `cells_each` cells for each id, at most 2**most_bits (8 MB); beyond, more of the others are let pass.
+    """
+    spark = ids.sparkSession
+    bits = min(most_bits, max(16, (cells_each * ids.count()).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(_BLOCK, bool)
+        own[rows["cell"].to_numpy() % _BLOCK] = True
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    cells = ids.select(place(F.col(ids.columns[0])).alias("cell")).distinct().withColumn("block", F.shiftright("cell", _BLOCK.bit_length() - 1))
+    out = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, _BLOCK // 8)
+    for r in cells.groupBy("block").applyInPandas(block, "block long, bits binary").collect():  # at most 2**most_bits bits in all
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    held = spark.sparkContext.broadcast(out.ravel())
+
+    @F.arrow_udf("boolean")
+    def among(cells: pa.Array) -> pa.Array:
+        at = cells.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: among(place(c))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key`, a long, is not among `gone` (one column of that name). Only the rows whose key may be there are shuffled."""
+    among = may_be_among(gone)
+    passed, asked = rows.where(~among(F.col(key))), rows.where(among(F.col(key)))
+    return passed.unionByName(asked.join(gone, key, "left_anti").select(*rows.columns))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from all learning: crc32 of its id as text, mod 4, is 2 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
