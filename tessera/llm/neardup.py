@@ -507,8 +507,10 @@ def _met_all(members: DataFrame, facts: DataFrame, words: DataFrame, params: Nea
 
     size = F.greatest(F.count(F.lit(1)) / params.block, F.sum("n") / params.block_words)
     blocks = members.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks"))
-    held = members.groupBy("node").agg(F.collect_list("band").alias("held"))
-    own = members.select("band", "node", "n", "root").join(blocks, "band").join(held, "node").join(facts.select("node", "bits"), "node").join(words, "node")
+    # bits and words meet a node's one row, which then goes to its buckets
+    nodes = members.join(blocks, "band").groupBy("node", "n", "root").agg(F.collect_list(F.struct("band", "blocks")).alias("in"))
+    nodes = nodes.join(facts.select("node", "bits"), "node").join(words, "node")
+    own = nodes.select("node", "n", "root", "bits", "words", F.col("in.band").alias("held"), F.explode("in").alias("at")).select("*", "at.*").drop("at")
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     parts = max(4 * own.sparkSession.sparkContext.defaultParallelism, math.ceil(members.count() / params.pairs_per_part))

@@ -69,3 +69,30 @@ def test_words_allow_equals_brute_force():
     for i in range(60):
         want = [j for j in range(60) if N._may_match(words[i], words[j], int(0.2 * max(n[i], n[j]) + 1e-9))]
         assert N.words_allow(n, bags, i, np.arange(60), params).tolist() == want
+
+
+def _joined_rows(plan):
+    """Rows that each join of a plan that ran has made."""
+    name, rows = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return _joined_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _joined_rows(plan.plan())
+    if "Join" in name:
+        rows.append((plan.simpleString(100), plan.metrics().get("numOutputRows").get().value()))
+    children = plan.children()
+    for k in range(children.size()):
+        rows += _joined_rows(children.apply(k))
+    return rows
+
+
+def test_words_are_joined_once_for_a_text_not_once_for_each_of_its_buckets(spark):
+    """A group of texts that share 40 buckets; the first two are near."""
+    n, bands = 50, 40
+    texts = spark.createDataFrame([(k, " ".join(word((k if k > 1 else 0) * 30 + i if i < 25 else k) for i in range(30))) for k in range(n)], "uid long, __text string")
+    sketched = N._sketched(texts, "__text", N.NeardupParams()).select(F.col("uid").alias("node"), "__sketch.n", "__sketch.bits").persist()
+    members = sketched.select("node", "n", F.col("node").alias("root"), F.explode(F.sequence(F.lit(1), F.lit(bands)).cast("array<bigint>")).alias("band"))
+    found = N._met_all(members, sketched, N.word_lists(texts, N.NeardupParams()), N.NeardupParams())
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
+    rows = [r for text, r in _joined_rows(found._jdf.queryExecution().executedPlan()) if "[node" in text]
+    assert len(rows) == 2 and max(rows) == n
