@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import segment_sums, slices, text_bytes
+from tessera.llm.worker import kept, thrifty
 
 #: Between words: any run of characters that are not letters.
 GAP = 0
 _LETTERS: list[np.ndarray] = []
-_TABLES: dict[str, Transitions] = {}
 
 
 @dataclass(frozen=True)
@@ -170,29 +170,30 @@ class Transitions:
 
 def transitions(model: LangidModel, params: LangidParams) -> Transitions:
     """Kept by each Python worker for the model it last used."""
-    if (key := model.key) not in _TABLES:
-        _TABLES.clear()
-        chars, uses = np.unique(np.append(model.edges[:, 1], GAP), return_counts=True)
-        dense = np.sort(chars[np.lexsort((chars, -uses))[: params.dense]])
-        columns, codes = np.full(0x110000, len(dense), np.int16), np.full(0x110000, len(chars), np.int32)
-        columns[dense], codes[chars] = np.arange(len(dense)), np.arange(len(chars))
-        table = np.zeros((model.n_states + len(model.languages), len(dense) + 2), np.int32)
-        of_edge = columns[model.edges[:, 1]]
-        sizes = np.diff(np.append(model.roots, model.n_states))
-        for k, (root, size) in enumerate(zip(model.roots, sizes)):
-            from_root = np.full(len(dense) + 1, model.n_states + k, np.int32)
-            own = (model.edges[:, 0] == root) & (of_edge < len(dense))
-            from_root[of_edge[own]] = model.edges[own, 2]
-            table[root : root + size, :-1] = ~from_root
-            table[model.n_states + k, :-1] = ~from_root
-        own = of_edge < len(dense)
-        table[model.edges[own, 0], of_edge[own]] = model.edges[own, 2]
-        table[:, -1] = np.arange(len(table))
-        n_codes = len(chars) + 1
-        keys = model.edges[~own, 0].astype(np.int64) * n_codes + codes[model.edges[~own, 1]]
-        order = np.argsort(keys)
-        _TABLES[key] = Transitions(table, columns, codes, keys[order], model.edges[~own, 2][order], model.roots, n_codes, model.n_states)
-    return _TABLES[key]
+    return kept("transitions", model.key, lambda: _transitions(model, params))
+
+
+def _transitions(model: LangidModel, params: LangidParams) -> Transitions:
+    chars, uses = np.unique(np.append(model.edges[:, 1], GAP), return_counts=True)
+    dense = np.sort(chars[np.lexsort((chars, -uses))[: params.dense]])
+    columns, codes = np.full(0x110000, len(dense), np.int16), np.full(0x110000, len(chars), np.int32)
+    columns[dense], codes[chars] = np.arange(len(dense)), np.arange(len(chars))
+    table = np.zeros((model.n_states + len(model.languages), len(dense) + 2), np.int32)
+    of_edge = columns[model.edges[:, 1]]
+    sizes = np.diff(np.append(model.roots, model.n_states))
+    for k, (root, size) in enumerate(zip(model.roots, sizes)):
+        from_root = np.full(len(dense) + 1, model.n_states + k, np.int32)
+        own = (model.edges[:, 0] == root) & (of_edge < len(dense))
+        from_root[of_edge[own]] = model.edges[own, 2]
+        table[root : root + size, :-1] = ~from_root
+        table[model.n_states + k, :-1] = ~from_root
+    own = of_edge < len(dense)
+    table[model.edges[own, 0], of_edge[own]] = model.edges[own, 2]
+    table[:, -1] = np.arange(len(table))
+    n_codes = len(chars) + 1
+    keys = model.edges[~own, 0].astype(np.int64) * n_codes + codes[model.edges[~own, 1]]
+    order = np.argsort(keys)
+    return Transitions(table, columns, codes, keys[order], model.edges[~own, 2][order], model.roots, n_codes, model.n_states)
 
 
 def _parse(step: Transitions, state: np.ndarray, columns: np.ndarray, codes: np.ndarray, stops: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -280,6 +281,7 @@ def predict_language(documents: DataFrame, model: LangidModel, params: LangidPar
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rate: double>")
+    @thrifty
     def predicted(texts: pa.Array) -> pa.Array:
         own = shared.value
         n = len(texts)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernels import DIGIT, LETTER, Tokens, mix, slices, tokenised
 from tessera.llm.shared import Scratch, may_be_among, materialize, without
+from tessera.llm.worker import thrifty
 
 
 #: Words of the longer text up to which pairs are aligned many at once, and cells of a table of two texts' words up to which one pair is by bit vectors.
@@ -300,6 +301,7 @@ def _sketched(documents: DataFrame, text: str, params: NeardupParams) -> DataFra
     """Adds struct `__sketch`: n, the text's words, bands, the hashes of the sketches, of a text without a word none, and bits."""
 
     @F.arrow_udf("struct<n: bigint, bands: array<bigint>, bits: array<bigint>>")
+    @thrifty
     def sketch(texts: pa.Array) -> pa.Array:
         counts, parts, n = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
         bits = np.zeros((len(texts), params.bits // 64), np.int64)
@@ -321,6 +323,7 @@ def word_lists(texts: DataFrame, params: NeardupParams) -> DataFrame:
     """(node, words) of texts (uid, __text): the words' hashes as bytes of 32-bit values."""
 
     @F.arrow_udf("binary")
+    @thrifty
     def listed(values: pa.Array) -> pa.Array:
         out = []
         for _, part in slices(values, params.slice_bytes):
@@ -336,6 +339,7 @@ def _verified(pairs: DataFrame, words: DataFrame, params: NeardupParams) -> Data
     """(a, b, similarity): of each pair of nodes, null where it is below the threshold. `words`: (node, words)."""
 
     @F.arrow_udf("double")
+    @thrifty
     def aligned(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.full(len(left), np.nan)
         for first in range(0, len(left), 2048):

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import slices
+from tessera.llm.worker import kept, thrifty
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A place where one word ends and another begins.
 _BREAK = re.compile(f"[^ {MARK}][ {MARK}]")
-_READY: dict[str, Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -225,9 +225,7 @@ class Decoder:
 
 
 def _ready(path: str, kind: type):
-    if (key := f"{kind.__name__}:{path}") not in _READY:
-        _READY[key] = kind.load(path)
-    return _READY[key]
+    return kept(f"{kind.__name__}:{path}", path, lambda: kind.load(path))
 
 
 @dataclass(frozen=True)
@@ -246,6 +244,7 @@ def encode_pieces(documents: DataFrame, params: PieceParams | None = None, text:
     path, most = (params or PieceParams()).vocabulary, (params or PieceParams()).batch_bytes
 
     @F.arrow_udf("array<int>")
+    @thrifty
     def encoded(texts: pa.Array) -> pa.Array:
         encoder, ends, out = _ready(path, Encoder), np.zeros(len(texts) + 1, np.int32), bytearray()
         for first, part in slices(texts, most):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernels import mix, segment_sums, tokenised
 from tessera.llm.linear import Leader, sigmoid
+from tessera.llm.worker import give_back, thrifty
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,8 @@ def train_quality(sample: DataFrame, params: QualityParams = QualityParams()) ->
                 model.update(found, w, (sigmoid(w @ x) - label) * x)
         w = model.weights(slice(None))
         kept = np.flatnonzero(w)
+        del docs, model
+        give_back()
         return pd.DataFrame({"feature": np.append(kept, -1), "weight": np.append(w[kept], 1.0)})
 
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(params.shards))
@@ -139,6 +142,7 @@ def score_quality(documents: DataFrame, model: LinearModel, params: QualityParam
     shared = documents.sparkSession.sparkContext.broadcast(model.weights)
 
     @F.arrow_udf("double")
+    @thrifty
     def scored(texts: pa.Array) -> pa.Array:
         w, out, n = shared.value, np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for first, at, starts in _features(texts, params.bits, params.grams):
