@@ -458,6 +458,13 @@ def met_here(band: int, bands: np.ndarray, node: np.ndarray, held: Lists, i: int
     return others[~np.logical_or.reduceat(before, begins)]
 
 
+def possible_here(band: int, bands: np.ndarray, node: np.ndarray, held: Lists, n: np.ndarray, bags: Lists, i: int, others: np.ndarray, params: NeardupParams) -> np.ndarray:
+    """Of the members `others` those to align with member i in this bucket. Words, which are many, are counted in one of the buckets that a pair shares only."""
+    if len(others):
+        others = met_here(band, bands, node, held, i, others)
+    return words_allow(n, bags, i, others, params) if len(others) else others
+
+
 def _aligned_links(i: int, others: np.ndarray, root: np.ndarray, words: list[np.ndarray], parent: dict[int, int], params: NeardupParams) -> list[tuple[int, float]]:
     """(j, similarity) of links from member i. Members that links have joined to it by then are left out, so each other root is tried by one, then by more."""
 
@@ -501,10 +508,7 @@ def _met_all(members: DataFrame, facts: DataFrame, words: DataFrame, params: Nea
         rows, parent = [], {}
         for i in own[first].tolist():
             _, near = unlinked_pairs(n, root, bits, own[i : i + 1], own[i + 1 :] if first.all() else own[~first], params)
-            if len(near):
-                near = words_allow(n, bags, i, near, params)
-            if len(near):
-                near = met_here(band, bands, node, held, i, near)
+            near = possible_here(band, bands, node, held, n, bags, i, near, params)
             rows += [(min(node[i], node[j]), max(node[i], node[j]), like) for j, like in _aligned_links(i, near, root, words, parent, params)]
         a, b, like = zip(*rows) if rows else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(like, pa.float64())})
@@ -528,12 +532,29 @@ def _rooted(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(components(links, scratch).join(degree, "node"), "neardup-known")
 
 
-def _still_open(members: DataFrame, known: DataFrame, scratch: Scratch, least: int = 3) -> DataFrame:
+def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with the roots and links that they have so far."""
+    return members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def _leaders(placed: DataFrame) -> DataFrame:
+    """(band, of, leader, led, r, s): of each length class `of` of a bucket the member with the most links and its root; the least and greatest root."""
+    first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
+    found = placed.groupBy("band", F.col("class").alias("of")).agg(first, F.min("root").alias("r"), F.max("root").alias("s"))
+    return found.select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"), "r", "s")
+
+
+def _led_buckets(placed: DataFrame) -> DataFrame:
+    """(band, leads): the buckets whose members have several roots, one row each, with the leaders of their length classes, which are few."""
+    leads = F.collect_list(F.struct("of", "leader", "led")).alias("leads")
+    return _leaders(placed).groupBy("band").agg(leads, F.min("r").alias("r"), F.max("s").alias("s")).where("r != s").select("band", "leads")
+
+
+def _still_open(members: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """Members with their roots so far, of the buckets of `least` members whose members have several."""
-    placed = members.drop("root", "degree").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-    # two members have met when leaders have met all
+    placed = _placed(members, known)
     several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where(f"k >= {least} and r != s").select("band")
-    return scratch.keep(placed.join(several, "band", "left_semi"), "neardup-open")
+    return placed.join(several, "band", "left_semi")
 
 
 def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> DataFrame:
@@ -569,18 +590,21 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
         found = scratch.keep(_verified(pairs.repartition(parts), words, params), "neardup-verified")
         return found if done is None else scratch.keep(done.unionByName(found), "neardup-done")
 
-    def lead(of: DataFrame) -> DataFrame:
-        first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
-        return of.groupBy("band", F.col("class").alias("of")).agg(first).select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"))
-
-    open_, done = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long")), None
-    for number in range(params.rounds + 1):
-        met = _met_leaders(open_, lead(open_))
-        done = verify(met if number else met.groupBy("node").agg(F.min("leader").alias("leader")), done)
-        known = _rooted(done.where("similarity is not null"), scratch)
-        open_ = _still_open(open_, known, scratch, 3 if number else 2)
-        if open_.isEmpty():
+    placed = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
+    done = verify(_met_leaders(placed, _leaders(placed)).groupBy("node").agg(F.min("leader").alias("leader")), None)
+    known = _rooted(done.where("similarity is not null"), scratch)
+    for _ in range(params.rounds):
+        buckets = scratch.keep(_led_buckets(_placed(members, known)), "neardup-buckets")
+        if buckets.isEmpty():
             return done.where("similarity is not null")
+        # members stay where they are: a few of other buckets find no leader
+        members = scratch.keep(members.where(may_be_among(buckets.select("band"))(F.col("band"))), "neardup-left")
+        done = verify(_met_leaders(_placed(members, known), buckets.select("band", F.inline("leads"))), done)
+        known = _rooted(done.where("similarity is not null"), scratch)
+    # two members have met when leaders have met all
+    open_ = scratch.keep(_still_open(members, known, 3 if params.rounds else 2), "neardup-open")
+    if open_.isEmpty():
+        return done.where("similarity is not null")
     return done.where("similarity is not null").unionByName(_met_all(open_, facts, words, params)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 

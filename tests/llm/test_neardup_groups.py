@@ -96,3 +96,36 @@ def test_words_are_joined_once_for_a_text_not_once_for_each_of_its_buckets(spark
     assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
     rows = [r for text, r in _joined_rows(found._jdf.queryExecution().executedPlan()) if "[node" in text]
     assert len(rows) == 2 and max(rows) == n
+
+
+def test_rounds_with_leaders_copy_no_members(spark, monkeypatch):
+    """A group of unlike texts that share all buckets: its members leave their table once, for the last step, not once a round."""
+    n, bands, made = 30, 8, []
+    texts = spark.createDataFrame([(k, " ".join(word((k if k > 1 else 0) * 30 + i if i < 25 else k) for i in range(30))) for k in range(n)], "uid long, __text string")
+    sketched = N._sketched(texts, "__text", N.NeardupParams()).select(F.col("uid").alias("node"), "__sketch.*")
+    frame, join = type(texts), type(texts).join
+
+    def counted(self, other, on=None, how=None):
+        found = join(self, other, on, how)
+        if how == "left_semi":
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(frame, "join", counted)
+    links = N._links(sketched.withColumn("bands", F.array(*[F.lit(k).cast("long") for k in range(bands)])), texts, N.NeardupParams())
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(0, 1)}
+    assert sum(made) <= n * bands
+
+
+def test_words_of_a_pair_are_counted_in_one_bucket(monkeypatch):
+    """All members share five buckets; in each all pairs come by, in one of them with their words."""
+    rng, params, allow, seen = np.random.default_rng(9), N.NeardupParams(), N.words_allow, collections.Counter()
+    monkeypatch.setattr(N, "words_allow", lambda n, bags, i, others, p: (seen.update((i, j) for j in others.tolist()), allow(n, bags, i, others, p))[1])
+    words = [rng.integers(0, 9, rng.integers(8, 12)).astype(np.uint32) for _ in range(40)]
+    node, n, bands = rng.integers(0, 1 << 40, 40), np.array([len(w) for w in words]), np.sort(rng.integers(0, 1 << 63, 5).astype(np.uint64))
+    bags, held, found = N.Lists.of(words), N.Lists.of([bands] * 40), collections.Counter()
+    for band in bands.tolist():
+        for i in range(39):
+            found.update((i, j) for j in N.possible_here(band, bands, node, held, n, bags, i, np.arange(i + 1, 40), params).tolist())
+    assert seen == {(i, j): 1 for i in range(40) for j in range(i + 1, 40)}
+    assert found == {(i, j): 1 for i in range(40) for j in range(i + 1, 40) if N._may_match(words[i], words[j], int(0.2 * max(n[i], n[j]) + 1e-9))}
