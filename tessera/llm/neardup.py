@@ -374,13 +374,24 @@ def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams)
     """Whether lengths and word bits allow the similarity: an edit of one word changes at most two bits."""
     longest = F.greatest(*n) * (1 - params.similarity)
     changed = sum((F.bit_count(F.get(bits[0], F.lit(k)).bitwiseXOR(F.get(bits[1], F.lit(k)))) for k in range(params.bits // 64)), F.lit(0))
-    return (F.abs(F.col(n[0]) - F.col(n[1])) <= longest + 1e-6) & (changed <= 2 * longest + 1e-6)
+    return _lengths_allow(*n, params) & (changed <= 2 * longest + 1e-6)
 
 
-def _met_leaders(members: DataFrame, lead: DataFrame) -> DataFrame:
-    """(node, leader): members and the leaders of their bucket in this and the neighbouring length classes, of different roots."""
+def _lengths_allow(n: str, other: str, params: NeardupParams) -> Column:
+    return F.abs(F.col(n) - F.col(other)) <= F.greatest(n, other) * (1 - params.similarity) + 1e-6
+
+
+def _met_leaders(members: DataFrame, lead: DataFrame, params: NeardupParams) -> DataFrame:
+    """(node, leader): members and the leaders of their bucket, of different roots and of lengths that allow a link, which are in this or the neighbouring length classes."""
     near = lead.withColumn("class", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
-    return members.join(near, ["band", "class"]).where((F.col("node") != F.col("leader")) & (F.col("root") != F.col("led"))).select("node", "leader")
+    others = (F.col("node") != F.col("leader")) & (F.col("root") != F.col("led")) & _lengths_allow("n", "ln", params)
+    return members.join(near, ["band", "class"]).where(others).select("node", "leader")
+
+
+def _one_of_each_root(placed: DataFrame) -> DataFrame:
+    """Of each root in a bucket and length class the member with the most links."""
+    first = F.min_by(F.struct("node", "n"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
+    return placed.groupBy("band", "class", "root").agg(first).select("band", "class", "root", "first.*")
 
 
 def _possible(met: DataFrame, facts: DataFrame, params: NeardupParams) -> DataFrame:
@@ -538,15 +549,15 @@ def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _leaders(placed: DataFrame) -> DataFrame:
-    """(band, of, leader, led, r, s): of each length class `of` of a bucket the member with the most links and its root; the least and greatest root."""
-    first = F.min_by(F.struct("node", "root"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
+    """(band, of, leader, led, ln, r, s): of each length class `of` of a bucket the member with the most links, its root and words; the least and greatest root."""
+    first = F.min_by(F.struct("node", "root", "n"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
     found = placed.groupBy("band", F.col("class").alias("of")).agg(first, F.min("root").alias("r"), F.max("root").alias("s"))
-    return found.select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"), "r", "s")
+    return found.select("band", "of", F.col("first.node").alias("leader"), F.col("first.root").alias("led"), F.col("first.n").alias("ln"), "r", "s")
 
 
 def _led_buckets(placed: DataFrame) -> DataFrame:
     """(band, leads): the buckets whose members have several roots, one row each, with the leaders of their length classes, which are few."""
-    leads = F.collect_list(F.struct("of", "leader", "led")).alias("leads")
+    leads = F.collect_list(F.struct("of", "leader", "led", "ln")).alias("leads")
     return _leaders(placed).groupBy("band").agg(leads, F.min("r").alias("r"), F.max("s").alias("s")).where("r != s").select("band", "leads")
 
 
@@ -561,9 +572,8 @@ def _links(sketched: DataFrame, texts: DataFrame, params: NeardupParams) -> Data
     """(a, b, similarity) of verified pairs, enough to join all nodes that links between members of a bucket join.
 
     `sketched`: (node, n, bands, bits). At first each node is compared with the least of its leaders, which are the least nodes of its
-    buckets: a node of many copies meets one leader, not one in each bucket. In each of `params.rounds` rounds one member of a bucket and length class is then compared with all its members
-    of this and the neighbouring classes: at first the least node, so that a node meets the same leaders in many buckets, then
-    the member with the most links. Nodes that links join already need no comparison, so a bucket whose members all have
+    buckets: a node of many copies meets one leader, not one in each bucket. In each of `params.rounds` rounds the member of a bucket and length class with the most links is then compared with
+    one member of each other root of this and the neighbouring classes. Nodes that links join already need no comparison, so a bucket whose members all have
     one root is done. In those that are left, all members of different roots are compared by bits of words, and the pairs that
     these allow are aligned, in one of the buckets that the pair shares.
     """
@@ -591,7 +601,7 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
         return found if done is None else scratch.keep(done.unionByName(found), "neardup-done")
 
     placed = members.withColumn("root", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
-    done = verify(_met_leaders(placed, _leaders(placed)).groupBy("node").agg(F.min("leader").alias("leader")), None)
+    done = verify(_met_leaders(placed, _leaders(placed), params).groupBy("node").agg(F.min("leader").alias("leader")), None)
     known = _rooted(done.where("similarity is not null"), scratch)
     for _ in range(params.rounds):
         buckets = scratch.keep(_led_buckets(_placed(members, known)), "neardup-buckets")
@@ -599,7 +609,7 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
             return done.where("similarity is not null")
         # members stay where they are: a few of other buckets find no leader
         members = scratch.keep(members.where(may_be_among(buckets.select("band"))(F.col("band"))), "neardup-left")
-        done = verify(_met_leaders(_placed(members, known), buckets.select("band", F.inline("leads"))), done)
+        done = verify(_met_leaders(_one_of_each_root(_placed(members, known)), buckets.select("band", F.inline("leads")), params), done)
         known = _rooted(done.where("similarity is not null"), scratch)
     # two members have met when leaders have met all
     open_ = scratch.keep(_still_open(members, known, 3 if params.rounds else 2), "neardup-open")

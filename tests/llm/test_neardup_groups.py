@@ -129,3 +129,11 @@ def test_words_of_a_pair_are_counted_in_one_bucket(monkeypatch):
             found.update((i, j) for j in N.possible_here(band, bands, node, held, n, bags, i, np.arange(i + 1, 40), params).tolist())
     assert seen == {(i, j): 1 for i in range(40) for j in range(i + 1, 40)}
     assert found == {(i, j): 1 for i in range(40) for j in range(i + 1, 40) if N._may_match(words[i], words[j], int(0.2 * max(n[i], n[j]) + 1e-9))}
+
+
+def test_a_leader_meets_one_member_of_each_other_root(spark):
+    """Two roots of twenty members, one of a member too long for a link with the leader."""
+    rows = [(7, k, 100, 20, k // 20 * 20, k % 20) for k in range(40)] + [(7, 40, 130, 21, 40, 0)]
+    placed = spark.createDataFrame(rows, "band long, node long, n long, class int, root long, degree long")
+    met = N._met_leaders(N._one_of_each_root(placed), N._leaders(placed).where("of = 20"), N.NeardupParams())
+    assert [tuple(r) for r in met.collect()] == [(39, 19)]
