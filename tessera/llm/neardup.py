@@ -374,20 +374,37 @@ def _may_link(n: tuple[str, str], bits: tuple[str, str], params: NeardupParams)
     """Whether lengths and word bits allow the similarity: an edit of one word changes at most two bits."""
     longest = F.greatest(*n) * (1 - params.similarity)
     changed = sum((F.bit_count(F.get(bits[0], F.lit(k)).bitwiseXOR(F.get(bits[1], F.lit(k)))) for k in range(params.bits // 64)), F.lit(0))
-    return _lengths_allow(*n, params) & (changed <= 2 * longest + 1e-6)
+    return _lengths_allow(F.col(n[0]), F.col(n[1]), params) & (changed <= 2 * longest + 1e-6)
 
 
-def _lengths_allow(n: str, other: str, params: NeardupParams) -> Column:
-    return F.abs(F.col(n) - F.col(other)) <= F.greatest(n, other) * (1 - params.similarity) + 1e-6
+def _lengths_allow(n: Column, other: Column, params: NeardupParams) -> Column:
+    return F.abs(n - other) <= F.greatest(n, other) * (1 - params.similarity) + 1e-6
+
+
+def _may_follow(leader: Column, led: Column, ln: Column, params: NeardupParams) -> Column:
+    """Whether a member (node, n, root) is to be compared with this leader: of another root, of a length that allows a link."""
+    return (F.col("node") != leader) & (F.col("root") != led) & _lengths_allow(F.col("n"), ln, params)
 
 
 def _met_leaders(members: DataFrame, lead: DataFrame, params: NeardupParams) -> DataFrame:
     """(node, leader): members and the leaders of their bucket, of different roots and of lengths that allow a link, which are in this or the neighbouring length classes."""
     near = lead.withColumn("class", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
-    others = (F.col("node") != F.col("leader")) & (F.col("root") != F.col("led")) & _lengths_allow("n", "ln", params)
+    others = _may_follow(F.col("leader"), F.col("led"), F.col("ln"), params)
     return members.join(near, ["band", "class"]).where(others).select("node", "leader")
 
 
+def _met_in_lists(members: DataFrame, buckets: DataFrame, params: NeardupParams) -> DataFrame:
+    """The distinct rows of `_met_leaders`; `buckets`: (band, leads), as `_led_buckets` gives them.
+
+    A member has one row in a bucket, with a list of the at most three leaders, and a node's lists lose the leaders that it meets in several buckets before they become rows.
+    """
+    near = buckets.select("band", "leads", F.explode("leads.of").alias("class"))
+    near = near.select("band", "class", F.filter("leads", lambda x: F.abs(x["of"] - F.col("class")) <= 1).alias("leads"))
+    others = lambda x: _may_follow(x["leader"], x["led"], x["ln"], params)
+    met = members.join(near, ["band", "class"]).where(F.exists("leads", others)).select("node", F.filter("leads", others)["leader"].alias("leaders"))
+    return met.groupBy("node").agg(F.flatten(F.collect_list("leaders")).alias("leaders")).select("node", F.explode(F.array_distinct("leaders")).alias("leader"))
+
+
 def _one_of_each_root(placed: DataFrame) -> DataFrame:
     """Of each root in a bucket and length class the member with the most links."""
     first = F.min_by(F.struct("node", "n"), F.struct(-F.col("degree"), F.col("node"))).alias("first")
@@ -609,7 +626,7 @@ def _found_links(sketched: DataFrame, texts: DataFrame, params: NeardupParams, s
             return done.where("similarity is not null")
         # members stay where they are: a few of other buckets find no leader
         members = scratch.keep(members.where(may_be_among(buckets.select("band"))(F.col("band"))), "neardup-left")
-        done = verify(_met_leaders(_one_of_each_root(_placed(members, known)), buckets.select("band", F.inline("leads")), params), done)
+        done = verify(_met_in_lists(_one_of_each_root(_placed(members, known)), buckets, params), done)
         known = _rooted(done.where("similarity is not null"), scratch)
     # two members have met when leaders have met all
     open_ = scratch.keep(_still_open(members, known, 3 if params.rounds else 2), "neardup-open")

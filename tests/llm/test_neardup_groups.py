@@ -137,3 +137,33 @@ def test_a_leader_meets_one_member_of_each_other_root(spark):
     placed = spark.createDataFrame(rows, "band long, node long, n long, class int, root long, degree long")
     met = N._met_leaders(N._one_of_each_root(placed), N._leaders(placed).where("of = 20"), N.NeardupParams())
     assert [tuple(r) for r in met.collect()] == [(39, 19)]
+
+
+def test_a_round_makes_one_row_of_a_member_in_a_bucket(spark, monkeypatch):
+    """Unlike texts of three neighbouring length classes share all buckets: most members meet three leaders, the same ones in each bucket."""
+    lengths, bands, made, possible = [28] * 3 + [31] * 20 + [36] * 3, 8, [], N._possible
+    texts = spark.createDataFrame([(k, " ".join(word(k * 40 + i) for i in range(n))) for k, n in enumerate(lengths)], "uid long, __text string")
+    sketched = N._sketched(texts, "__text", N.NeardupParams()).select(F.col("uid").alias("node"), "__sketch.*")
+
+    def seen(met, facts, params):
+        rows = sorted((r["node"], r["leader"]) for r in met.collect())
+        made.append((rows, sum(r for text, r in _joined_rows(met._jdf.queryExecution().executedPlan()) if "[band" in text)))
+        return possible(met, facts, params)
+
+    monkeypatch.setattr(N, "_possible", seen)
+    links = N._links(sketched.withColumn("bands", F.array(*[F.lit(k).cast("long") for k in range(bands)])), texts, N.NeardupParams())
+    assert links.isEmpty()
+    (_, _), (rows, joined) = made
+    near = [(k, lead) for k, n in enumerate(lengths) for lead in (0, 3, 23) if k != lead and abs(n - lengths[lead]) <= 0.2 * max(n, lengths[lead])]
+    assert rows == near and len(near) > 2 * len(lengths)
+    assert 0 < joined <= len(lengths) * bands
+
+
+def test_lists_of_leaders_give_the_pairs_of_leaders(spark):
+    rng, params = random.Random(8), N.NeardupParams()
+    nodes = [(k, rng.randint(20, 60), rng.choice([k, k // 7]), rng.randint(0, 3)) for k in range(120)]
+    rows = [(band, k, n, r, d) for k, n, r, d in nodes for band in rng.sample(range(12), 4)]
+    placed = spark.createDataFrame(rows, "band long, node long, n long, root long, degree long").withColumn("class", N._length_class(F.col("n"), params))
+    want = N._met_leaders(N._one_of_each_root(placed), N._leaders(placed), params).distinct().collect()
+    got = N._met_in_lists(N._one_of_each_root(placed), N._led_buckets(placed), params).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 200
