@@ -100,8 +100,8 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], previous: di
 
 
 def _runs(rows: DataFrame, keys: list[str], order: list[str], flag: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """(keys, cell, __n, __flag, __run, sums): rows of a group in a cell, its last flag, and how many rows at its end have that."""
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, CELL).orderBy(*order)))
+    """(keys, cell, __n, __flag, __run, sums): rows of a group in a cell, its last flag, and how many rows at its end have that; ties as in `streaks`."""
+    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, CELL).orderBy(*order, flag)))
     added = {k: F.sum(v).alias(k) for k, v in (sums or {}).items()}
     ends = placed.groupBy(*keys, CELL, F.col(flag).alias("__flag")).agg(F.max("__at").alias("__end"), F.count(F.lit(1)).alias("__rows"), *added.values())
     # the run at the end begins after the last row of another flag
@@ -113,10 +113,10 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flag: str, cell: C
     """Adds `streak`: how many rows in a row, up to and with this one, have the same flag in their group; null is a flag like any other.
 
     Runs add up over cells: of each cell its last flag and the rows at its end that have it, or all of them. A run that fills cells
-    goes on from those before. `order` must tell a group's rows apart.
+    goes on from those before. Rows that are equal in all order columns come in the order of their flags, nulls first.
     """
     rows = _cut(df, keys, order, cell, n_cells)
-    by = Window.partitionBy(*keys, CELL).orderBy(*order)
+    by = Window.partitionBy(*keys, CELL).orderBy(*order, flag)
     changed = F.when(F.row_number().over(by) == 1, 1).when(F.lag(flag).over(by).eqNullSafe(F.col(flag)), 0).otherwise(1)
     local = rows.withColumn("__new", changed).withColumn("__island", F.sum("__new").over(by))
     local = local.withColumn("streak", F.row_number().over(Window.partitionBy(*keys, CELL, "__island").orderBy(*order)))
