@@ -163,6 +163,18 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def ratio_or_infinity(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: infinite where b is 0, NaN where both are."""
+    return F.coalesce(safe_ratio(a, b), a.cast("double") * F.pow(b.cast("double"), -1))
+
+
+def round_scaled(value: Column, digits: int) -> Column:
+    """A double rounded by its product with 10**digits, as SQL engines do that round doubles without decimals; `round` takes its shortest decimal form."""
+    scale = 10.0**digits
+    scaled = value * scale
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / scale).otherwise(value)
+
+
 def least_known(*values: Column) -> Column:
     """The least value; null if any is null."""
     any_null = values[0].isNull()

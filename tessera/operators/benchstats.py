@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import ratio_or_infinity, round_scaled
 from tessera.operators.aggregates import pivoted, statistics
 from tessera.operators.cells import exact_percentiles, with_previous
 
@@ -32,7 +33,10 @@ def overall_speedup(log: DataFrame, key: str, column: str, slow: str, fast: str,
 
 
 def throughput_trend(log: DataFrame, keys: list[str], order: str, rows: Column, wall: Column) -> DataFrame:
-    """Each run's index and throughput, and its change from the run before; a tool's runs are cut into cells of their order."""
-    own = log.withColumn("throughput", F.round(F.try_divide(rows, wall / 1000.0), 6))
+    """Each run's index and throughput, and its change from the run before; a tool's runs are cut into cells of their order.
+
+    A run that took no time has an infinite throughput, or NaN without rows.
+    """
+    own = log.withColumn("throughput", round_scaled(ratio_or_infinity(rows, wall / 1000.0), 6))
     own = with_previous(own, keys, [order], {"__then": F.col("throughput")}, number="run")
-    return own.withColumn("change", F.round(F.col("throughput") - F.col("__then"), 6)).drop("__then")
+    return own.withColumn("change", round_scaled(F.col("throughput") - F.col("__then"), 6)).drop("__then")
