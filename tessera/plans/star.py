@@ -20,7 +20,7 @@ from tessera.operators import resolve as R
 from tessera.operators import reshape as P
 from tessera.operators import windows as W
 from tessera.operators.ranking import Factors, multifactor_rank
-from tessera.sources.staging import staging_path
+from tessera.sources.staging import staged, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,12 +79,16 @@ def topn_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _games(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as games: the supplier's nation at home, the customer's away; scores are quantity and line number by ten."""
+    """Order lines as games: the supplier's nation at home, the customer's away; scores are quantity and line number by ten.
+
+    Orders get their customers before lines get their orders, so lines are shuffled by their order only.
+    """
     line = _table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_linenumber", "l_shipdate")
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customer = _table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("away"))
     supplier = _table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("home"))
-    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "home", "away", F.col("l_quantity").alias("home_pts"), (F.col("l_linenumber") * 10.0).alias("away_pts"))
 
 
@@ -631,5 +635,5 @@ def home_win_model(spark: SparkSession, d: str) -> DataFrame:
     from tessera.plans.winmodel import fit_home_win, game_features
 
     games = _games(spark, d).groupBy(F.to_date("l_shipdate").alias("game_date"), F.col("home").alias("home_id"), F.col("away").alias("away_id")).agg(F.sum("home_pts").alias("home_pts"), F.sum("away_pts").alias("away_pts"), F.min("l_orderkey").alias("game_id"))
-    features = game_features(games.where("home_id <> away_id"))
+    features = game_features(staged(games.where("home_id <> away_id"), "games"))  # which reads them several times
     return fit_home_win(features)[1]

@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import staged
+
 FEATURES = ["home_form", "away_form", "home_rest", "away_rest", "home_baseline"]
 #: Rest of a first game, and the most that counts.
 MOST_REST = 14
@@ -62,8 +64,10 @@ def game_features(games: DataFrame, days: int = 365) -> DataFrame:
 def fit_home_win(features: DataFrame, reg_param: float = 0.01, elastic_net: float = 0.0, test_percent: int = 20, model_path: str | None = None) -> tuple[LogisticRegressionModel, DataFrame]:
     """A model of the training games, and p_home_win, p_away_win and winner of the test games.
 
-    A game's part depends on a hash of what it is, so reruns agree. With `model_path` the model is saved there.
+    A game's part depends on a hash of what it is, so reruns agree. With `model_path` the model is saved there. Features are staged, as
+    the fit takes several jobs and the test games one more.
     """
+    features = staged(features.select("game_id", "game_date", "home_id", "away_id", "home_win", *FEATURES), "features")
     part = F.pmod(F.xxhash64("game_id", "game_date", "home_id", "away_id"), F.lit(100)) < test_percent
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features).withColumn("test", part)
     model = LogisticRegression(labelCol="home_win", regParam=reg_param, elasticNetParam=elastic_net, maxIter=50).fit(assembled.where("not test"))

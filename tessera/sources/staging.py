@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def staging_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"{tempfile.gettempdir()}/tessera-{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a fresh staging path and read from there: what several jobs read is computed once, and its shuffles are made once."""
+    path = staging_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
